@@ -1,0 +1,37 @@
+"""Byte-pair token counts with a rank table given by the caller."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
+
+
+@dataclass(frozen=True)
+class Encoding:
+    """Byte-pair encoding: split pattern and merge ranks by token bytes."""
+
+    pattern: str
+    ranks: dict[bytes, int] = field(hash=False)
+    name: str = "custom"
+
+
+def bpe_token_counter(encoding: Encoding):
+    """Column function counting tokens; equal texts of a batch are encoded once."""
+
+    # Plain values, so that workers unpickle them without this package.
+    name, pattern, ranks = encoding.name, encoding.pattern, encoding.ranks
+
+    @F.pandas_udf(LongType())
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import tiktoken
+
+        encoder = tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        for texts in batches:
+            counts = {t: len(encoder.encode_ordinary(t)) for t in texts.dropna().unique()}
+            yield texts.map(counts).astype("Int64")
+
+    return count
