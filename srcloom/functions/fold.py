@@ -11,9 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FANOUT = 16
-
-
 def bind(df: DataFrame, target: str, inputs: list[str], body: str) -> DataFrame:
     """Add column ``target`` = ``body``, which reads its inputs as ``s.<input>``.
 
@@ -42,13 +39,14 @@ def window_of(items: str, first: str, length: str) -> str:
 
 
 def with_running(
-    df: DataFrame, source: str, target: str, combine: str, zero: str, levels: int = 3
+    df: DataFrame, source: str, target: str, combine: str, zero: str, levels: int = 2, fanout: int = 16
 ) -> DataFrame:
     """Add the inclusive running aggregate of an array column.
 
-    ``combine`` is SQL over ``a`` and ``b``. Values are combined in blocks of ``FANOUT``,
-    blocks of blocks and so on, and each result combines one stretch per level, so the
-    cost is about linear in the length.
+    ``combine`` is SQL over ``a`` and ``b``. Values are combined in blocks of ``fanout``,
+    blocks of blocks and so on, and each result combines one stretch per level. The cost is
+    linear in the length but for the top level, where it is the square of
+    ``length / fanout ** levels``.
     """
 
     def stretch(arr: str, first: str, last: str) -> str:
@@ -59,22 +57,22 @@ def with_running(
     done = [target] + [f"{target}_run{k}" for k in range(1, levels + 1)]
     for k in range(levels):
         arr = f"s.{sums[k]}"
-        last = f"least(g * {FANOUT} + {FANOUT - 1}, size({arr}) - 1)"
-        count = f"int(ceil(size({arr}) / {FANOUT}))"
-        block = stretch(arr, f"g * {FANOUT}", last)
+        last = f"least(g * {fanout} + {fanout - 1}, size({arr}) - 1)"
+        count = f"int(ceil(size({arr}) / {fanout}))"
+        block = stretch(arr, f"g * {fanout}", last)
         df = bind(df, sums[k + 1], [sums[k]], f"transform({positions('0', count)}, g -> {block})")
     top = f"s.{sums[levels]}"
     df = bind(df, done[levels], [sums[levels]], f"transform({top}, (v, i) -> {stretch(top, '0', 'i')})")
     for k in reversed(range(levels)):
         arr, before = f"s.{sums[k]}", f"s.{done[k + 1]}"
-        start = f"if(i >= {FANOUT}, {before}[i div {FANOUT} - 1], {zero})"
-        total = let("a", start, let("b", stretch(arr, f"i - i % {FANOUT}", "i"), combine))
+        start = f"if(i >= {fanout}, {before}[i div {fanout} - 1], {zero})"
+        total = let("a", start, let("b", stretch(arr, f"i - i % {fanout}", "i"), combine))
         df = bind(df, done[k], [sums[k], done[k + 1]], f"transform({arr}, (v, i) -> {total})")
     return df.drop(*sums[1:], *done[1:])
 
 
-def with_running_sum(df: DataFrame, source: str, target: str, levels: int = 2) -> DataFrame:
-    return with_running(df, source, target, "a + b", "0L", levels)
+def with_running_sum(df: DataFrame, source: str, target: str) -> DataFrame:
+    return with_running(df, source, target, "a + b", "0L", levels=1, fanout=64)
 
 
 def last_at_most(totals: str, bound: str) -> str:

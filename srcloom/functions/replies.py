@@ -88,55 +88,95 @@ def _at(json: Column, path: str, kind: str) -> Column:
     return F.try_variant_get(json, f"$.{path}", kind)
 
 
-def _type_at(json: Column, path: str) -> Column:
-    return F.schema_of_variant(_at(json, path, "variant"))
+def _types(json: Column) -> Column:
+    """Struct of the JSON type at every schema path; null where nothing is."""
+    paths = (*OBJECT_FIELDS, *(f.path for f in FIELDS))
+    return F.struct(
+        *[F.schema_of_variant(_at(json, p, "variant")).alias(p.replace(".", "_")) for p in paths]
+    )
+
+
+def _values(json: Column) -> Column:
+    kinds = {"string": "string", "list": "array<string>"}
+    return F.struct(*[_at(json, f.path, kinds[f.kind]).alias(f.path.replace(".", "_")) for f in FIELDS])
 
 
-def _field_ok(json: Column, field: Field) -> Column:
-    found = _type_at(json, field.path)
+def _is_object(types: Column, name: str) -> Column:
+    return F.coalesce(types[name].startswith("OBJECT"), F.lit(False))
+
+
+def _field_ok(types: Column, values: Column, field: Field) -> Column:
+    found, value = types[field.path.replace(".", "_")], values[field.path.replace(".", "_")]
     if field.kind == "string":
         ok = found == "STRING"
         if field.nonempty:
-            ok = ok & (F.char_length(_at(json, field.path, "string")) >= 1)
+            ok = ok & (F.char_length(value) >= 1)
     else:
-        items = _at(json, field.path, "array<string>")
         # A list of nulls shows as ARRAY<VOID> like an empty one; nulls among strings do
         # not show in the type at all.
-        ok = ((found == "ARRAY<STRING>") & ~F.exists(items, lambda x: x.isNull())) | (
-            (found == "ARRAY<VOID>") & (F.size(items) == 0)
+        ok = ((found == "ARRAY<STRING>") & ~F.exists(value, lambda x: x.isNull())) | (
+            (found == "ARRAY<VOID>") & (F.size(value) == 0)
         )
     return F.coalesce(ok, F.lit(not field.required))
 
 
-def field_errors(json: Column) -> Column:
+def _field_errors(types: Column, values: Column) -> Column:
     """Names of the fields that break the schema, in schema order; empty for a valid reply.
 
     A null is no string and no list; only an absent optional field takes its default.
     """
-    checks = []
-    for name in OBJECT_FIELDS:
-        bad = ~F.coalesce(_type_at(json, name).startswith("OBJECT"), F.lit(False))
-        checks.append(F.when(bad, F.lit(name)))
+    checks = [F.when(~_is_object(types, name), F.lit(name)) for name in OBJECT_FIELDS]
     for field in FIELDS:
-        bad = ~_field_ok(json, field)
+        bad = ~_field_ok(types, values, field)
         if field.parent:
-            bad = bad & F.coalesce(_type_at(json, field.parent).startswith("OBJECT"), F.lit(False))
+            bad = bad & _is_object(types, field.parent)
         checks.append(F.when(bad, F.lit(field.path)))
     return F.array_compact(F.array(*checks))
 
 
-def reply_fields(json: Column) -> dict[str, Column]:
-    """Typed value per schema path, with defaults for absent optional fields."""
-    values = {}
-    for field in FIELDS:
-        if field.kind == "list":
-            value = F.coalesce(_at(json, field.path, "array<string>"), F.array().cast("array<string>"))
-        elif field.required:
-            value = _at(json, field.path, "string")
-        else:
-            value = F.coalesce(_at(json, field.path, "string"), F.lit(""))
-        values[field.path] = value
-    return values
+def _with_defaults(values: Column) -> dict[str, Column]:
+    defaults = {"list": F.array().cast("array<string>"), "string": F.lit("")}
+    found = {f.path: values[f.path.replace(".", "_")] for f in FIELDS}
+    return {f.path: found[f.path] if f.required else F.coalesce(found[f.path], defaults[f.kind]) for f in FIELDS}
+
+
+def checked_reply(text: Column) -> Column:
+    """Struct of a reply text: ``json`` found, failing ``errors``, ``error`` message, ``reply``.
+
+    ``reply`` is the typed nested reply, null unless valid. One expression with bound steps:
+    as separate columns a filter on the outcome would be pushed below them and copy the
+    parsing into every place that reads it.
+    """
+
+    def bound(value: Column, body) -> Column:
+        return F.transform(F.array(value), body)[0]
+
+    def outcome(text: Column, json: Column, types: Column, values: Column) -> Column:
+        errors = F.when(json.isNull(), F.array(F.lit("json"))).otherwise(_field_errors(types, values))
+
+        def result(errors: Column) -> Column:
+            invalid = F.concat(F.lit("validation failed: "), F.array_join(errors, ", "))
+            error = F.coalesce(extraction_error(text, json), F.when(F.size(errors) > 0, invalid))
+            typed = F.struct(*nested(_with_defaults(values)))
+            return F.struct(
+                json.alias("json"),
+                errors.alias("errors"),
+                error.alias("error"),
+                F.when(F.size(errors) == 0, typed).alias("reply"),
+            )
+
+        return bound(errors, result)
+
+    return bound(
+        text,
+        lambda t: bound(
+            extract_json(t),
+            lambda j: bound(
+                F.struct(_types(j).alias("types"), _values(j).alias("values")),
+                lambda s: outcome(t, j, s["types"], s["values"]),
+            ),
+        ),
+    )
 
 
 def nested(values: dict[str, Column]) -> list[Column]:

@@ -72,7 +72,7 @@ def with_blocks(texts: DataFrame, text: str, max_tokens: int = MAX_CHUNK_TOKENS)
     tokens = f"bigint(floor(char_length(x) * {tx.TOKENS_PER_CHAR}D))"
     df = texts.withColumn("_lines", F.split(F.col(text), "\n", -1))
     df = bind(df, "_line_tokens", ["_lines"], f"transform(s._lines, x -> {tokens})")
-    df = with_running_sum(df, "_line_tokens", "_totals", levels=3)
+    df = with_running_sum(df, "_line_tokens", "_totals")
     # Two neighbouring blocks together exceed the budget, which bounds their number.
     rounds = f"sequence(1, least(size(s._totals), int(2 * s._totals[size(s._totals) - 1] div {max_tokens} + 2)))"
     start = "a[size(a) - 1]"

@@ -14,6 +14,7 @@ from srcloom.functions import text as tx
 from srcloom.operators.ordering import with_global_position
 
 OK, INVALID, MISSING = "ok", "invalid", "missing"
+NO_REPLY = "no reply"
 
 
 @dataclass(frozen=True)
@@ -68,30 +69,40 @@ def assign_models(chunks: DataFrame, models: Sequence[str], order: list[str]) ->
 
 
 def latest_replies(responses: DataFrame, version: str | None = None) -> DataFrame:
-    """One reply per chunk id: the one with the highest version, else the greatest.
+    """One validated reply per chunk id: the one with the highest version, else the greatest.
 
-    Without this the join below would multiply rows.
+    Without this the join below would multiply rows. Validation runs here, once per id and
+    not once per copy of a chunk.
     """
     reply = F.struct("raw", "tokens")
     rank = F.struct(*([F.col(version)] if version else []), F.col("tokens"), F.col("raw"))
-    return responses.groupBy("chunk_id").agg(F.max_by(reply, rank).alias("reply")).select(
-        "chunk_id", "reply.raw", "reply.tokens", F.lit(True).alias("replied")
-    )
+    latest = F.max_by(reply, rank)
+    checked = F.transform(
+        F.array(latest),
+        lambda r: F.struct(
+            F.coalesce(r["raw"], F.lit("")).alias("raw"),
+            F.coalesce(r["tokens"], F.lit(0)).cast("bigint").alias("tokens"),
+            replies.checked_reply(F.coalesce(r["raw"], F.lit(""))).alias("checked"),
+        ),
+    )[0]
+    return responses.groupBy("chunk_id").agg(checked.alias("answer"))
 
 
 def join_responses(chunks: DataFrame, responses: DataFrame, version: str | None = None) -> DataFrame:
-    """Chunks with their reply; no reply text gives '', no usage gives 0.
+    """Chunks with their validated reply; no reply text gives '', no usage gives 0.
 
     A content id with many copies is hot on the chunk side alone, the reply side has one
     row per id; the adaptive skew join splits the hot partition.
     """
-    one_each = latest_replies(responses, version)
-    joined = chunks.join(one_each, "chunk_id", "left")
+    joined = chunks.join(latest_replies(responses, version), "chunk_id", "left")
+    replied = F.col("answer").isNotNull()
     return joined.select(
         *chunks.columns,
-        F.coalesce("raw", F.lit("")).alias("raw_response"),
-        F.coalesce("tokens", F.lit(0).cast("bigint")).cast("bigint").alias("tokens_used"),
-        F.coalesce("replied", F.lit(False)).alias("replied"),
+        F.coalesce("answer.raw", F.lit("")).alias("raw_response"),
+        F.coalesce("answer.tokens", F.lit(0).cast("bigint")).alias("tokens_used"),
+        replied.alias("replied"),
+        F.when(replied, F.col("answer.checked.error")).otherwise(F.lit(NO_REPLY)).alias("error"),
+        F.col("answer.checked.reply").alias("reply"),
     )
 
 
@@ -114,37 +125,18 @@ def call_models(
 
 
 def validate_responses(rows: DataFrame, text: str = "raw_response") -> DataFrame:
-    """Add ``json`` (VARIANT), ``errors`` (array of failing fields) and ``error`` (message)."""
-    parsed = rows.withColumn("json", replies.extract_json(F.col(text)))
-    checked = parsed.withColumn(
-        "errors",
-        F.when(F.col("json").isNull(), F.array(F.lit("json"))).otherwise(replies.field_errors(F.col("json"))),
-    )
-    message = F.coalesce(
-        replies.extraction_error(F.col(text), F.col("json")),
-        F.when(
-            F.size("errors") > 0,
-            F.concat(F.lit("validation failed: "), F.array_join("errors", ", ")),
-        ),
-    )
-    return checked.withColumn("error", message)
-
-
-def validated_reply(rows: DataFrame, text: str = "raw_response") -> DataFrame:
-    """Add ``reply``: the typed nested reply, null for one that is not valid."""
-    checked = validate_responses(rows, text)
-    typed = F.struct(*replies.nested(replies.reply_fields(F.col("json"))))
-    return checked.withColumn("reply", F.when(F.col("error").isNull(), typed)).drop("json")
+    """Add ``errors`` (failing fields), ``error`` (message) and ``reply`` (null if invalid)."""
+    checked = rows.withColumn("_checked", replies.checked_reply(F.col(text)))
+    return checked.select(*rows.columns, "_checked.errors", "_checked.error", "_checked.reply")
 
 
 def assemble_results(joined: DataFrame, markers: FailureText = FailureText()) -> DataFrame:
-    """Result row per chunk with a status.
+    """Result row per chunk with a status, from rows with a validated reply.
 
     A reply that fails validation keeps its row, filled with failure markers: one marker in
     each list. A chunk without a reply keeps a row too, with status 'missing'.
     """
-    keep = [c for c in joined.columns if c not in ("raw_response", "tokens_used", "replied")]
-    checked = validate_responses(joined)
+    used = ("raw_response", "tokens_used", "replied", "errors", "error", "reply")
     failed = F.col("error").isNotNull()
     placeholders = {
         "function_role": F.concat(F.lit(markers.marker), tx.short_message(F.col("error"))),
@@ -156,14 +148,21 @@ def assemble_results(joined: DataFrame, markers: FailureText = FailureText()) ->
         "notes": F.concat(F.lit(markers.note), F.col("error")),
     }
     values = {
-        path: F.when(failed, placeholders.get(path, F.lit(markers.marker))).otherwise(value)
-        for path, value in replies.reply_fields(F.col("json")).items()
+        f.path: F.when(failed, placeholders.get(f.path, F.lit(markers.marker))).otherwise(
+            F.col(f"reply.{f.path}")
+        )
+        for f in replies.FIELDS
     }
     status = (
         F.when(~F.col("replied"), F.lit(MISSING)).when(failed, F.lit(INVALID)).otherwise(F.lit(OK))
     )
-    return checked.select(
-        *keep, *replies.nested(values), "raw_response", "tokens_used", status.alias("status"), "error"
+    return joined.select(
+        *[c for c in joined.columns if c not in used],
+        *replies.nested(values),
+        "raw_response",
+        "tokens_used",
+        status.alias("status"),
+        "error",
     )
 
 

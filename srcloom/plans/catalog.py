@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from srcloom.functions import replies
 from srcloom.functions import text as tx
 from srcloom.operators import chunks as ck
 from srcloom.operators import documents, graph, ordering, reports, results, retries, snapshot, vectors
@@ -369,20 +370,18 @@ def assign_models(spark, sf_dir):
 
 @query
 def extract_json(spark, sf_dir):
-    from srcloom.functions import replies
-
-    raw = tables.responses(spark, sf_dir).withColumn("json", replies.extract_json(F.col("raw")))
-    return raw.select(
+    checked = tables.responses(spark, sf_dir).withColumn("c", replies.checked_reply(F.col("raw")))
+    return checked.select(
         "chunk_id",
         "version",
-        F.col("json").isNotNull().alias("found"),
-        F.try_variant_get("json", "$.function_role", "string").alias("role"),
+        F.col("c.json").isNotNull().alias("found"),
+        F.try_variant_get("c.json", "$.function_role", "string").alias("role"),
     )
 
 
 @query
 def validate_responses(spark, sf_dir):
-    checked = results.validated_reply(tables.responses(spark, sf_dir), "raw")
+    checked = results.validate_responses(tables.responses(spark, sf_dir), "raw")
     return checked.select(
         "chunk_id",
         "version",
@@ -687,7 +686,7 @@ def vector_upsert(spark, sf_dir):
 @query
 def stream_append(spark, sf_dir):
     """Replies validated as they arrive and appended to a table."""
-    stream = streams.file_stream(spark, f"{sf_dir}/part.parquet")
+    stream = streams.file_stream(spark, f"{sf_dir}/part.parquet*")
 
     def transform(parts):
         replied = parts.where(tables.REPLIED).select(
@@ -697,7 +696,7 @@ def stream_append(spark, sf_dir):
             F.expr("bigint(p_size * 10)").alias("tokens_used"),
             F.lit(True).alias("replied"),
         )
-        rows = results.assemble_results(replied)
+        rows = results.assemble_results(results.validate_responses(replied))
         return rows.select("file_path", "chunk_name", "status", "function_role", "tokens_used")
 
     return streams.append_results(stream, transform)
@@ -706,14 +705,14 @@ def stream_append(spark, sf_dir):
 @query
 def stream_dedup(spark, sf_dir):
     """Distinct event contents; all events lie within one expiry, so each shows once."""
-    stream = streams.file_stream(spark, f"{sf_dir}/events.parquet")
+    stream = streams.file_stream(spark, f"{sf_dir}/events.parquet*")
     keyed = stream.select(F.expr("sha2(concat(event_type, props), 256)").alias("hash"), "ts")
     return streams.dedup_results(keyed, "hash", "ts").select("hash")
 
 
 @query
 def stream_stats(spark, sf_dir):
-    stream = streams.file_stream(spark, f"{sf_dir}/events.parquet")
+    stream = streams.file_stream(spark, f"{sf_dir}/events.parquet*")
     counters = {"n": "count(*)", "tokens": "sum(user_id)"}
     return streams.running_counters(stream, "event_type", counters)
 

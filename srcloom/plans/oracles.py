@@ -189,6 +189,9 @@ def _checked(rows: str, raw: str) -> str:
 _FAIL = FailureText()
 
 
+NO_REPLY = "case when replied then error else 'no reply' end"
+
+
 def _value(path: str, failed: str) -> str:
     return f"case when error is not null then {failed} else coalesce(json_extract_string(j, '$.{path}'), '') end"
 
@@ -198,7 +201,7 @@ def _list(path: str, marker: str) -> str:
     return f"case when error is not null then ['{marker}'] else {items} end"
 
 
-CTES["c_checked"] = _checked("c_joined", "raw_response")
+CTES["c_checked"] = f"select * replace ({NO_REPLY} as error) from ({_checked('c_joined', 'raw_response')})"
 _MARK = f"'{_FAIL.marker}'"
 CTES["c_results"] = f"""
     select chunk_id, chunk_name, file_path, start_line, line_count, position, tokens, tokens_used, raw_response,
@@ -226,13 +229,13 @@ CTES["c_outcome"] = """
         coalesce(r.n - r.ok, 0) as failed_chunks, coalesce(r.invalid, 0) as invalid_chunks,
         cast(coalesce(r.tokens, 0) as bigint) as total_tokens
     from c_parsed p left join (
-        select file_path, count(*) as n, count_if(status <> 'missing') as ok,
-            count_if(status = 'invalid') as invalid,
+        select file_path, count(*) as n, count(*) filter (where status <> 'missing') as ok,
+            count(*) filter (where status = 'invalid') as invalid,
             sum(case when status <> 'missing' then tokens_used else 0 end) as tokens
         from c_results group by 1) r on p.path = r.file_path"""
 CTES["c_stats"] = """
-    select count(*) as total_files, count_if(outcome = 'successful') as successful_files,
-        count_if(outcome = 'failed') as failed_files, cast(sum(chunks) as bigint) as total_chunks,
+    select count(*) as total_files, count(*) filter (where outcome = 'successful') as successful_files,
+        count(*) filter (where outcome = 'failed') as failed_files, cast(sum(chunks) as bigint) as total_chunks,
         cast(sum(successful_chunks) as bigint) as successful_chunks,
         cast(sum(failed_chunks) as bigint) as failed_chunks,
         cast(sum(invalid_chunks) as bigint) as invalid_chunks,
@@ -445,7 +448,7 @@ oracle(
         calls[2] as second_call from c_results""",
 )
 _SUMMARY = """
-    select chunk_id, count_if(outcome = 'transient') as failures, bool_or(outcome = 'success') as succeeded,
+    select chunk_id, count(*) filter (where outcome = 'transient') as failures, bool_or(outcome = 'success') as succeeded,
         cast(floor(epoch(max(ts))) as bigint) - cast(floor(epoch(min(ts))) as bigint) as elapsed_seconds
     from c_attempts group by 1"""
 CTES["c_tries"] = f"""
@@ -629,8 +632,8 @@ oracle(
 oracle(
     "run_metrics",
     """select round(avg(value), 6) as avg_latency_ms, cast(sum(user_id) as bigint) as total_tokens,
-        round(count_if(outcome = 'success') / cast(count(*) as double), 6) as cache_hit_rate,
-        round(count_if(outcome = 'transient') / cast(count(*) as double), 6) as error_rate from c_attempts""",
+        round(count(*) filter (where outcome = 'success') / cast(count(*) as double), 6) as cache_hit_rate,
+        round(count(*) filter (where outcome = 'transient') / cast(count(*) as double), 6) as error_rate from c_attempts""",
 )
 oracle(
     "coverage",
@@ -709,7 +712,7 @@ oracle(
 )
 oracle(
     "retrieval_accuracy",
-    """select count(*) as queries, count_if(hit) as hits, round(count_if(hit) / cast(count(*) as double), 6) as accuracy
+    """select count(*) as queries, count(*) filter (where hit) as hits, round(count(*) filter (where hit) / cast(count(*) as double), 6) as accuracy
         from (select query_id, bool_or(found = query_id) as hit from c_nearest group by 1)""",
 )
 oracle(

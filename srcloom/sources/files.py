@@ -38,7 +38,7 @@ def decoded(raw: Column) -> Column:
     """Text of raw bytes and the encoding that fits: UTF-8, else Latin-1, which fits any."""
     valid = F.is_valid_utf8(raw.cast("string"))
     utf8 = F.when(valid, raw.cast("string"))
-    latin1 = F.decode(raw, F.lit("ISO-8859-1"))
+    latin1 = F.decode(raw, "ISO-8859-1")
     return F.struct(
         tx.normalize_newlines(F.coalesce(utf8, F.when(~valid, latin1))).alias("content"),
         F.when(valid, F.lit("utf-8")).otherwise(F.lit("latin-1")).alias("encoding"),
