@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from srcloom.functions.fold import bind, let, positions, window_of, with_running, with_running_sum
+from srcloom.functions.fold import bind, let, positions, settle, window_of, with_running, with_running_sum
 
 # All loops are possessive, so long texts neither backtrack nor recurse.
 _STRING = r'"(?:[^"\\\n]++|\\.)*+"'
@@ -169,8 +169,9 @@ def parse_source(files: DataFrame, content: str = "content") -> DataFrame:
     df = bind(df, "_breaks", ["_tokens", "_pieces"], _BREAKS)
     df = with_running_sum(df, "_breaks", "_line_ends")
     df = bind(df, "_blocks", ["_tokens", "_pieces", "_line_ends"], _blocks())
-    return df.select(
-        *files.columns,
+    return settle(
+        df,
+        files.columns,
         F.expr(f"filter(_blocks, f -> {_IS_FUNCTION})").alias("functions"),
         F.expr(f"size(filter(_blocks, f -> not ({_IS_FUNCTION})))").alias("other_blocks"),
         F.expr("coalesce(try_element_at(_level, -1).rise - try_element_at(_level, -1).low, 0)").alias(

@@ -8,7 +8,7 @@ array that grows once per emitted block, never once per item.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 def bind(df: DataFrame, target: str, inputs: list[str], body: str) -> DataFrame:
@@ -20,6 +20,16 @@ def bind(df: DataFrame, target: str, inputs: list[str], body: str) -> DataFrame:
     return df.withColumn(target, F.expr(let("s", f"struct({', '.join(inputs)})", body)))
 
 
+def settle(df: DataFrame, keep: list[str], *computed: Column) -> DataFrame:
+    """Columns ``keep`` and ``computed``, the latter out of reach of filters further up.
+
+    A filter on a computed column is pushed below the projections that build it by copying
+    their expressions into the filter, step into step. It cannot pass the output of a
+    generator, so the last step is one: it yields exactly one row per row.
+    """
+    return df.select(*keep, F.inline(F.array(F.struct(*computed))))
+
+
 def let(name: str, value: str, body: str) -> str:
     """Evaluate ``value`` once and use it as ``name`` any number of times in ``body``."""
     return f"transform(array({value}), {name} -> {body})[0]"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from srcloom.functions import csource
 from srcloom.functions import text as tx
-from srcloom.functions.fold import bind, last_at_most, let, positions, window_of, with_running_sum
+from srcloom.functions.fold import bind, last_at_most, let, positions, settle, window_of, with_running_sum
 
 # Default token budget, minimum size, context budget.
 MAX_CHUNK_TOKENS = 18000
@@ -92,7 +92,7 @@ def with_blocks(texts: DataFrame, text: str, max_tokens: int = MAX_CHUNK_TOKENS)
     )
     numbers = positions("0", "(size(s._starts) - 1)")
     df = bind(df, "blocks", ["_lines", "_starts"], f"transform({numbers}, k -> {block})")
-    return df.select(*texts.columns, "blocks")
+    return settle(df, texts.columns, F.col("blocks"))
 
 
 def block_split(
@@ -163,6 +163,7 @@ def overlap_functions(
         f"'code', concat_ws(chr(10), {before}, f.body, {after})))"
     )
     rows = bind(parsed.select("path", "functions"), "overlapped", ["functions"], body)
+    rows = settle(rows, ["path"], F.col("overlapped"))
     return rows.select(F.col("path").alias("file_path"), F.explode("overlapped").alias("f")).select(
         "file_path", "f.*", tx.token_estimate(F.col("f.code")).alias("tokens")
     )
