@@ -1,4 +1,4 @@
-"""JSON repair and strict validation of model replies, as column expressions."""
+"""JSON repair and strict validation of model replies, as one Spark SQL expression."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from srcloom.functions.fold import let
+
 # The reply schema, in the order of its fields.
 OBJECT_FIELDS = ("behavior", "data_flow", "call_graph")
 
@@ -43,140 +45,108 @@ FIELDS = (
 )
 
 
-def first_object(text: Column) -> Column:
-    """First JSON value at or after the first opening brace; text after it is ignored."""
-    at = F.instr(text, "{")
-    return F.when(at > 0, F.try_parse_json(F.substr(text, at)))
-
-
-def fenced_object(text: Column) -> Column:
-    """JSON in the first fenced block marked json."""
-    return F.try_parse_json(F.regexp_extract(text, r"(?s)```json(.*?)```", 1))
-
-
-def is_other_json(text: Column) -> Column:
-    """True if the whole text is one JSON value that is no object."""
-    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    only = F.try_variant_get(wrapped, "$[0]", "variant")
-    more = F.try_variant_get(wrapped, "$[1]", "variant")
-    starts_as_object = F.regexp_like(text, F.lit(r"^\s*+\{"))
-    return F.coalesce(
-        ~starts_as_object & only.isNotNull() & more.isNull() & ~F.schema_of_variant(only).startswith("OBJECT"),
-        F.lit(False),
-    )
-
-
-def extract_json(text: Column) -> Column:
-    """JSON object of a reply as VARIANT, null if there is none.
-
-    The whole text counts first, so JSON that is a list or a scalar yields nothing even if
-    an object is inside it; then the first object in the text; then a fenced block.
-    """
-    return F.when(~is_other_json(text), F.coalesce(first_object(text), fenced_object(text)))
-
-
-def extraction_error(text: Column, json: Column) -> Column:
-    return (
-        F.when(json.isNotNull(), F.lit(None).cast("string"))
-        .when(is_other_json(text), F.lit("JSON is not an object"))
-        .when(F.instr(text, "{") == 0, F.lit("No JSON object found in response"))
-        .otherwise(F.lit("No valid JSON found in response"))
-    )
+def _key(path: str) -> str:
+    return path.replace(".", "_")
 
 
-def _at(json: Column, path: str, kind: str) -> Column:
-    return F.try_variant_get(json, f"$.{path}", kind)
+# First JSON value at or after the first opening brace; text after it is ignored.
+_FIRST_OBJECT = "case when instr(t, '{') > 0 then try_parse_json(substr(t, instr(t, '{'))) end"
+# JSON in the first fenced block marked json.
+_FENCED = "try_parse_json(regexp_extract(t, r'(?s)```json(.*?)```', 1))"
+# True if the whole text is one JSON value that is no object.
+_OTHER_JSON = let(
+    "w",
+    "try_parse_json(concat('[', t, ']'))",
+    "not startswith(trim(leading chr(9) || chr(10) || chr(13) || ' ' from t), '{') "
+    "and try_variant_get(w, '$[0]', 'variant') is not null "
+    "and try_variant_get(w, '$[1]', 'variant') is null "
+    "and not startswith(schema_of_variant(try_variant_get(w, '$[0]', 'variant')), 'OBJECT')",
+)
+# The whole text counts first, so JSON that is a list or a scalar yields nothing even if an
+# object is inside it; then the first object in the text; then a fenced block.
+_JSON = f"case when not coalesce({_OTHER_JSON}, false) then coalesce({_FIRST_OBJECT}, {_FENCED}) end"
+_JSON_ERROR = f"""case when j is not null then null
+    when coalesce({_OTHER_JSON}, false) then 'JSON is not an object'
+    when instr(t, '{{') = 0 then 'No JSON object found in response'
+    else 'No valid JSON found in response' end"""
 
 
-def _types(json: Column) -> Column:
-    """Struct of the JSON type at every schema path; null where nothing is."""
-    paths = (*OBJECT_FIELDS, *(f.path for f in FIELDS))
-    return F.struct(
-        *[F.schema_of_variant(_at(json, p, "variant")).alias(p.replace(".", "_")) for p in paths]
-    )
+def _type(path: str) -> str:
+    return f"schema_of_variant(try_variant_get(j, '$.{path}', 'variant'))"
 
 
-def _values(json: Column) -> Column:
-    kinds = {"string": "string", "list": "array<string>"}
-    return F.struct(*[_at(json, f.path, kinds[f.kind]).alias(f.path.replace(".", "_")) for f in FIELDS])
+def _found() -> str:
+    """Struct of JSON type (``x_type``) and value (``x``) at the schema's paths."""
+    parts = [f"'{o}_type', {_type(o)}" for o in OBJECT_FIELDS]
+    for f in FIELDS:
+        kind = "array<string>" if f.kind == "list" else "string"
+        parts.append(f"'{_key(f.path)}_type', {_type(f.path)}")
+        parts.append(f"'{_key(f.path)}', try_variant_get(j, '$.{f.path}', '{kind}')")
+    return f"named_struct({', '.join(parts)})"
 
 
-def _is_object(types: Column, name: str) -> Column:
-    return F.coalesce(types[name].startswith("OBJECT"), F.lit(False))
+def _is_object(name: str) -> str:
+    return f"coalesce(startswith(v.{name}_type, 'OBJECT'), false)"
 
 
-def _field_ok(types: Column, values: Column, field: Field) -> Column:
-    found, value = types[field.path.replace(".", "_")], values[field.path.replace(".", "_")]
+def _is_valid(field: Field) -> str:
+    kind, value = f"v.{_key(field.path)}_type", f"v.{_key(field.path)}"
     if field.kind == "string":
-        ok = found == "STRING"
-        if field.nonempty:
-            ok = ok & (F.char_length(value) >= 1)
+        ok = f"{kind} = 'STRING'" + (f" and char_length({value}) >= 1" if field.nonempty else "")
     else:
         # A list of nulls shows as ARRAY<VOID> like an empty one; nulls among strings do
         # not show in the type at all.
-        ok = ((found == "ARRAY<STRING>") & ~F.exists(value, lambda x: x.isNull())) | (
-            (found == "ARRAY<VOID>") & (F.size(value) == 0)
+        ok = (
+            f"({kind} = 'ARRAY<STRING>' and not exists({value}, x -> x is null)) "
+            f"or ({kind} = 'ARRAY<VOID>' and size({value}) = 0)"
         )
-    return F.coalesce(ok, F.lit(not field.required))
+    return f"coalesce({ok}, {'false' if field.required else 'true'})"
 
 
-def _field_errors(types: Column, values: Column) -> Column:
-    """Names of the fields that break the schema, in schema order; empty for a valid reply.
+def _errors() -> str:
+    """Names of the fields that break the schema, in schema order.
 
     A null is no string and no list; only an absent optional field takes its default.
     """
-    checks = [F.when(~_is_object(types, name), F.lit(name)) for name in OBJECT_FIELDS]
-    for field in FIELDS:
-        bad = ~_field_ok(types, values, field)
-        if field.parent:
-            bad = bad & _is_object(types, field.parent)
-        checks.append(F.when(bad, F.lit(field.path)))
-    return F.array_compact(F.array(*checks))
+    checks = [f"case when not {_is_object(o)} then '{o}' end" for o in OBJECT_FIELDS]
+    for f in FIELDS:
+        reached = f"{_is_object(f.parent)} and " if f.parent else ""
+        checks.append(f"case when {reached}not {_is_valid(f)} then '{f.path}' end")
+    return f"case when j is null then array('json') else array_compact(array({', '.join(checks)})) end"
+
 
+def _reply() -> str:
+    groups: dict[str, list[Field]] = {}
+    for f in FIELDS:
+        groups.setdefault(f.parent or f.path, []).append(f)
 
-def _with_defaults(values: Column) -> dict[str, Column]:
-    defaults = {"list": F.array().cast("array<string>"), "string": F.lit("")}
-    found = {f.path: values[f.path.replace(".", "_")] for f in FIELDS}
-    return {f.path: found[f.path] if f.required else F.coalesce(found[f.path], defaults[f.kind]) for f in FIELDS}
+    def value(f: Field) -> str:
+        default = "cast(array() as array<string>)" if f.kind == "list" else "''"
+        return f"v.{_key(f.path)}" if f.required else f"coalesce(v.{_key(f.path)}, {default})"
 
+    parts = []
+    for name, members in groups.items():
+        if members[0].path == name:
+            parts.append(f"'{name}', {value(members[0])}")
+        else:
+            inner = ", ".join(f"'{f.column}', {value(f)}" for f in members)
+            parts.append(f"'{name}', named_struct({inner})")
+    return f"named_struct({', '.join(parts)})"
 
-def checked_reply(text: Column) -> Column:
+
+def checked_reply(text: str) -> Column:
     """Struct of a reply text: ``json`` found, failing ``errors``, ``error`` message, ``reply``.
 
     ``reply`` is the typed nested reply, null unless valid. One expression with bound steps:
     as separate columns a filter on the outcome would be pushed below them and copy the
-    parsing into every place that reads it.
+    parsing into every place that reads it. ``text`` is SQL.
     """
-
-    def bound(value: Column, body) -> Column:
-        return F.transform(F.array(value), body)[0]
-
-    def outcome(text: Column, json: Column, types: Column, values: Column) -> Column:
-        errors = F.when(json.isNull(), F.array(F.lit("json"))).otherwise(_field_errors(types, values))
-
-        def result(errors: Column) -> Column:
-            invalid = F.concat(F.lit("validation failed: "), F.array_join(errors, ", "))
-            error = F.coalesce(extraction_error(text, json), F.when(F.size(errors) > 0, invalid))
-            typed = F.struct(*nested(_with_defaults(values)))
-            return F.struct(
-                json.alias("json"),
-                errors.alias("errors"),
-                error.alias("error"),
-                F.when(F.size(errors) == 0, typed).alias("reply"),
-            )
-
-        return bound(errors, result)
-
-    return bound(
-        text,
-        lambda t: bound(
-            extract_json(t),
-            lambda j: bound(
-                F.struct(_types(j).alias("types"), _values(j).alias("values")),
-                lambda s: outcome(t, j, s["types"], s["values"]),
-            ),
-        ),
+    invalid = "case when size(e) > 0 then concat('validation failed: ', array_join(e, ', ')) end"
+    result = (
+        f"named_struct('json', j, 'errors', e, 'error', coalesce({_JSON_ERROR}, {invalid}), "
+        f"'reply', case when size(e) = 0 then {_reply()} end)"
     )
+    return F.expr(let("t", text, let("j", _JSON, let("v", _found(), let("e", _errors(), result)))))
 
 
 def nested(values: dict[str, Column]) -> list[Column]:

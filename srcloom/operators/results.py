@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from srcloom.functions import replies
 from srcloom.functions import text as tx
+from srcloom.functions.fold import settle
 from srcloom.operators.ordering import with_global_position
 
 OK, INVALID, MISSING = "ok", "invalid", "missing"
@@ -74,18 +75,15 @@ def latest_replies(responses: DataFrame, version: str | None = None) -> DataFram
     Without this the join below would multiply rows. Validation runs here, once per id and
     not once per copy of a chunk.
     """
-    reply = F.struct("raw", "tokens")
     rank = F.struct(*([F.col(version)] if version else []), F.col("tokens"), F.col("raw"))
-    latest = F.max_by(reply, rank)
-    checked = F.transform(
-        F.array(latest),
-        lambda r: F.struct(
-            F.coalesce(r["raw"], F.lit("")).alias("raw"),
-            F.coalesce(r["tokens"], F.lit(0)).cast("bigint").alias("tokens"),
-            replies.checked_reply(F.coalesce(r["raw"], F.lit(""))).alias("checked"),
-        ),
-    )[0]
-    return responses.groupBy("chunk_id").agg(checked.alias("answer"))
+    latest = responses.groupBy("chunk_id").agg(F.max(rank).alias("r"))
+    checked = latest.select(
+        "chunk_id",
+        F.coalesce("r.raw", F.lit("")).alias("raw"),
+        F.coalesce("r.tokens", F.lit(0)).cast("bigint").alias("tokens"),
+        replies.checked_reply("coalesce(r.raw, '')").alias("checked"),
+    )
+    return settle(checked, ["chunk_id"], F.struct("raw", "tokens", "checked").alias("answer"))
 
 
 def join_responses(chunks: DataFrame, responses: DataFrame, version: str | None = None) -> DataFrame:
@@ -126,7 +124,7 @@ def call_models(
 
 def validate_responses(rows: DataFrame, text: str = "raw_response") -> DataFrame:
     """Add ``errors`` (failing fields), ``error`` (message) and ``reply`` (null if invalid)."""
-    checked = rows.withColumn("_checked", replies.checked_reply(F.col(text)))
+    checked = rows.withColumn("_checked", replies.checked_reply(text))
     return checked.select(*rows.columns, "_checked.errors", "_checked.error", "_checked.reply")
 
 

@@ -66,9 +66,13 @@ def delete_by_file(chunks: DataFrame, paths: DataFrame) -> DataFrame:
 
 
 def upsert(table: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
-    """Rows of both tables with one row per key; an incoming row replaces the old one."""
+    """Rows of a table with unique keys, replaced or added to by incoming rows.
+
+    Only the keys of the incoming rows meet the table, so a small batch is broadcast by its
+    size and the table stays where it is.
+    """
     columns = table.columns
-    both = table.withColumn("_new", F.lit(0)).unionByName(incoming.select(*columns).withColumn("_new", F.lit(1)))
     others = [c for c in columns if c != key]
-    latest = F.max_by(F.struct(*others), F.struct("_new", *others))
-    return both.groupBy(key).agg(latest.alias("r")).select(key, *[f"r.{c}" for c in others]).select(*columns)
+    fresh = incoming.groupBy(key).agg(F.max(F.struct(*others)).alias("r"))
+    kept = table.join(incoming.select(key).distinct(), key, "left_anti")
+    return kept.select(*columns).unionByName(fresh.select(key, *[f"r.{c}" for c in others]).select(*columns))

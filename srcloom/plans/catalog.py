@@ -370,7 +370,7 @@ def assign_models(spark, sf_dir):
 
 @query
 def extract_json(spark, sf_dir):
-    checked = tables.responses(spark, sf_dir).withColumn("c", replies.checked_reply(F.col("raw")))
+    checked = tables.responses(spark, sf_dir).withColumn("c", replies.checked_reply("raw"))
     return checked.select(
         "chunk_id",
         "version",
