@@ -15,7 +15,7 @@ CPP_HEADER_SUFFIXES = (".hpp", ".hxx", ".h++")
 TOKENS_PER_CHAR = 0.4
 
 # Fixed value: characters that end a line besides carriage return.
-LINE_BREAKS = "\n\x0b\x0c\x1c\x1d\x1e\x85  "
+LINE_BREAKS = "\n\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 
 
 def normalize_newlines(text: Column) -> Column:

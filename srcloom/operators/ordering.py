@@ -43,10 +43,10 @@ def _offsets(ranged: DataFrame, sums: dict[str, str]) -> DataFrame:
 
 
 def with_global_position(
-    df: DataFrame, order: list[str], sums: dict[str, str] | None = None
+    df: DataFrame, order: list[str], sums: dict[str, str] | None = None, name: str = "position"
 ) -> DataFrame:
-    """Add ``position`` (from 1) in the total order ``order`` and, for each entry of
-    ``sums`` (new column -> summed column), the running total up to and with the row.
+    """Add ``name`` (from 1) in the total order ``order`` and, for each entry of ``sums``
+    (new column -> summed column), the running total up to and with the row.
     """
     sums = sums or {}
     ranged = _ranged(df, order)
@@ -55,7 +55,7 @@ def with_global_position(
     upto = Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
     return located.select(
         *df.columns,
-        (F.col("_before") + F.col("_row")).alias("position"),
+        (F.col("_before") + F.col("_row")).alias(name),
         *[(F.col(f"_before_{n}") + F.sum(c).over(upto)).alias(n) for n, c in sums.items()],
     )
 

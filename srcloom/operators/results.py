@@ -60,12 +60,12 @@ def render_prompts(chunks: DataFrame, wording: PromptText = PromptText()) -> Dat
 
 
 def assign_models(chunks: DataFrame, models: Sequence[str], order: list[str]) -> DataFrame:
-    """Round-robin model per chunk in the given total order."""
+    """Add ``request``, the number of the chunk in the given total order, and its model in turn."""
     if not models:
         raise ValueError("at least one model is needed")
-    ordered = with_global_position(chunks, order)
+    ordered = with_global_position(chunks, order, name="request")
     names = F.array(*[F.lit(m) for m in models])
-    turn = ((F.col("position") - 1) % len(models)).cast("int") + 1
+    turn = ((F.col("request") - 1) % len(models)).cast("int") + 1
     return ordered.withColumn("model", F.element_at(names, turn))
 
 

@@ -365,7 +365,7 @@ def prompt_replies(spark, sf_dir):
 def assign_models(spark, sf_dir):
     chunks = _functions(spark, sf_dir).select("file_path", "start_line", "name")
     rows = results.assign_models(chunks, MODELS, ["file_path", "start_line"])
-    return rows.select("file_path", "name", "position", "model")
+    return rows.select("file_path", "name", F.col("request").alias("position"), "model")
 
 
 @query

@@ -1,0 +1,170 @@
+"""Function extraction against a plain character scanner."""
+
+import re
+
+import pytest
+
+from srcloom.operators.functions_table import check_language, explode_functions, parse_files
+from srcloom.plans import tables
+
+HEAD = re.compile(r"\b([A-Za-z_]\w*)\s*\(([^(){};]*(?:\([^(){}]*\)[^(){};]*)*)\)\s*\Z")
+CONTROL = {"if", "else", "for", "while", "do", "switch", "return", "sizeof"}
+
+
+def blanked(text):
+    """Text with literals, comments and directives blanked, one character at a time."""
+    out, i, n = list(text), 0, len(text)
+
+    def blank(a, b):
+        for j in range(a, b):
+            if out[j] != "\n":
+                out[j] = " "
+
+    def end_of(i):
+        two = text[i : i + 2]
+        if two == "//":
+            stop = text.find("\n", i)
+            return n if stop < 0 else stop
+        if two == "/*":
+            stop = text.find("*/", i + 2)
+            return n if stop < 0 else stop + 2
+        if text[i] in "\"'":
+            j = i + 1
+            while j < n and text[j] != "\n":
+                if text[j] == "\\" and j + 1 < n:
+                    j += 2
+                elif text[j] == text[i]:
+                    return j + 1
+                else:
+                    j += 1
+        return i
+
+    while i < n:
+        start = text.rfind("\n", 0, i) + 1
+        if text[i] == "#" and not "".join(out[start:i]).strip():
+            j = i
+            while j < n and text[j] != "\n":
+                stop = end_of(j)
+                j = stop if stop > j else j + 2 if text[j : j + 2] == "\\\n" else j + 1
+            blank(i, j)
+            i = j
+            continue
+        stop = end_of(i)
+        blank(i, stop)
+        i = max(stop, i + 1)
+    return "".join(out)
+
+
+def scan(text):
+    code = blanked(text)
+    depth, start, opened, found = 0, 0, None, []
+    for i, ch in enumerate(code):
+        if ch == "{":
+            if depth == 0:
+                if re.search(r"\bextern\s*\Z", code[start:i]) and re.search(r'extern\s*"[^"]*"\s*\Z', text[start:i]):
+                    start = i + 1
+                    continue
+                opened = i
+            depth += 1
+        elif ch == "}":
+            depth = max(depth - 1, 0)
+            if depth == 0:
+                if opened is not None:
+                    head = HEAD.search(code[start:opened])
+                    if head and head.group(1) not in CONTROL:
+                        begin = start + len(code[start:opened]) - len(code[start:opened].lstrip())
+                        found.append((head.group(1), text.count("\n", 0, begin) + 1, text[begin : i + 1]))
+                start, opened = i + 1, None
+        elif ch == ";" and depth == 0:
+            start, opened = i + 1, None
+    return found, depth
+
+
+def extracted(spark, texts):
+    rows = [(f"f{i}.c", t, "c") for i, t in enumerate(texts)]
+    parsed = parse_files(spark.createDataFrame(rows, "path string, content string, language string")).collect()
+    by_path = {r.path: r for r in parsed}
+    return [by_path[f"f{i}.c"] for i in range(len(texts))]
+
+
+TRAPS = [
+    "\n    int add(int a, int b) {\n        return a + b;\n    }\n\n    int subtract(int a, int b) {\n        return a - b;\n    }\n",
+    'static const char *s = "}{"; char c = \'{\'; char q = \'\\\'\'; int f(void) { return s[0]; }',
+    "/* int no(void) { */ int yes(int a) /* { */ { // }\n return a; }\n// int no2() {}\n",
+    "#define X(a) { \\\n  a }\n#if A /* multi\n line { */\nint f(int a)\n{\n}\n#endif\n",
+    'extern "C" {\nint f(void);\nint g(void) { return 1; }\n}\nint h(void) { if (1) { while (0) {} } return 0; }',
+    "typedef struct { int a; } T;\nstruct S { int b; };\nint arr[] = {1, 2, {3}};\nenum E { A, B };\nT *mk(const char *name, int n[3], int (*cb)(int, int), ...) { return 0; }",
+    "} } int late(int x) { return x; } }\nint later(void) { }",
+    "int one(void) { } int two(void) { }",
+    "int open(void) { if (1) {",
+    "",
+    "no code at all, it's prose. 'quote\nand (parens) here;",
+    "int\nspread\n(\n  int a,\n  int b\n)\n\n{\n}\n",
+    "/* unterminated\nint f(void) { }",
+    'char *s = "unterminated\nint f(void) { }\n',
+    "MACRO(x) int g(void) { }\n#error don't { stop\nint k(unsigned int, struct foo *p, const long) { }",
+    "for (;;) { }\nif (x) { } else { }\nint ok(void) { for (;;) { } }",
+    "/* a */ # define Y {\nint f(void) { }",
+]
+
+
+def test_traps(spark):
+    for text, row in zip(TRAPS, extracted(spark, TRAPS)):
+        found, depth = scan(text)
+        assert row.open_depth == depth, text
+        ours = [(f.name, f.start_line, f.body) for f in row.functions]
+        assert ours == ([] if depth else found), text
+
+
+def test_long_texts(spark):
+    """Texts long enough to use every level of the running sums."""
+    many = "\n".join(f"int f{i}(int a) {{ if (a) {{ return {i}; }} }}\nint x{i};" for i in range(3000))
+    deep = "int d(void) " + "{" * 400 + "}" * 400 + "\nint e(void) { }"
+    stray = "}\n" * 500 + "int f(int a) { { } }\n" * 300
+    for text, row in zip([many, deep, stray], extracted(spark, [many, deep, stray])):
+        assert [(f.name, f.start_line, f.body) for f in row.functions] == scan(text)[0]
+
+
+def test_pages_and_documents(spark):
+    """Prose and markup are no C; the scan must agree on them all the same."""
+    pages = tables.table(spark, "/root/testdata/sf0.001", "pages")
+    texts = [r.html for r in pages.select("html").collect()]
+    for text, row in zip(texts, extracted(spark, texts)):
+        found, depth = scan(text)
+        assert row.open_depth == depth
+        assert [(f.name, f.start_line) for f in row.functions] == ([] if depth else [x[:2] for x in found])
+
+
+def test_signature_parts(spark):
+    (row,) = extracted(spark, [TRAPS[5]])
+    mk = row.functions[0]
+    assert (mk.name, mk.params, mk.return_type) == ("mk", ["name", "n", "cb"], "T *")
+    (row,) = extracted(spark, [TRAPS[14]])
+    assert [f.params for f in row.functions] == [[], ["p"]]
+    (row,) = extracted(spark, ["static inline unsigned long g(int x, char **argv)\n{\n}\n"])
+    f = row.functions[0]
+    assert (f.return_type, f.params, f.signature, f.end_line) == (
+        "unsigned long", ["x", "argv"], "g(int x, char **argv)", 3,
+    )
+
+
+def test_languages(spark):
+    rows = [("a.c", "int f(void) { }", "c"), ("a.cpp", "int f() { }", "cpp"), ("b.c", "int x;", "c"), ("c.rs", "", "rust")]
+    parsed = parse_files(spark.createDataFrame(rows, "path string, content string, language string"))
+    status = {r.path: (r.parse_status, r.parse_error) for r in parsed.collect()}
+    assert status["a.c"] == ("parsed", None) and status["b.c"] == ("no functions", None)
+    assert status["a.cpp"][0] == "error" and "C++" in status["a.cpp"][1]
+    assert status["c.rs"] == ("error", "Unsupported language: rust")
+    with pytest.raises(NotImplementedError):
+        check_language("cpp")
+    with pytest.raises(ValueError):
+        check_language("python")
+
+
+def test_positions_come_from_the_row(spark):
+    rows = [("a.c", "int f(void) { }\nint g(void) { }", "c"), ("b.c", "int h(void) { }", "c")]
+    functions = explode_functions(parse_files(spark.createDataFrame(rows, "path string, content string, language string")))
+    got = sorted((r.file_path, r.name, r.position, r.function_count) for r in functions.collect())
+    assert got == [("a.c", "f", 1, 2), ("a.c", "g", 2, 2), ("b.c", "h", 1, 1)]
+    plan = functions._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Filter" not in plan.split("Generate")[-1]
