@@ -62,12 +62,6 @@ def _words(words: tuple[str, ...]) -> str:
     return rf"\b(?:{'|'.join(words)})\b"
 
 
-# A stretch of braces: how far it rises, and the lowest level within it (at most 0).
-_UP = "named_struct('rise', 1, 'low', 0)"
-_DOWN = "named_struct('rise', -1, 'low', -1)"
-_FLAT = "named_struct('rise', 0, 'low', 0)"
-_THEN = "named_struct('rise', a.rise + b.rise, 'low', least(a.low, a.rise + b.low))"
-
 _MARKS = f"filter({positions('0', 'size(s._tokens)')}, i -> s._tokens[i] in ('{{', '}}', ';'))"
 
 # The brace of ``extern "C" {`` opens no scope of its own: a string literal stands before
@@ -78,15 +72,15 @@ _LINKAGE = let(
     r"""j >= 1 and startswith(s._tokens[j], '"') and s._tokens[j - 1] rlike r'\bextern\s*+\z'""",
 )
 _MOVES = (
-    f"transform(s._marks, i -> case when s._tokens[i] = '}}' then {_DOWN} "
-    f"when s._tokens[i] = '{{' and not {_LINKAGE} then {_UP} else {_FLAT} end)"
+    f"transform(s._marks, i -> bigint(case when s._tokens[i] = '}}' then -1 "
+    f"when s._tokens[i] = '{{' and not {_LINKAGE} then 1 else 0 end))"
 )
 
-# A stray closing brace must not push the depth below zero, so depth is counted from the
-# lowest level so far.
-_ENDS = (
-    f"filter({positions('0', 'size(s._level)')}, j -> s._level[j].rise = s._level[j].low)"
-)
+# A stray closing brace must not push the depth below zero. It shows as a negative sum; in
+# such a text, and only there, depth is counted from the lowest sum so far.
+_DIPS = "if(coalesce(array_min(s._sums), 0L) < 0, s._sums, cast(array() as array<bigint>))"
+_DEPTHS = "if(size(s._lows) > 0, transform(s._sums, (v, i) -> v - s._lows[i]), s._sums)"
+_ENDS = f"filter({positions('0', 'size(s._depths)')}, j -> s._depths[j] = 0)"
 
 # Pieces of the text that end at a semicolon or closing brace at depth zero; ``open`` is
 # the token that opens the braces of a piece, null if it has none.
@@ -163,20 +157,21 @@ def parse_source(files: DataFrame, content: str = "content") -> DataFrame:
     df = files.withColumn("_tokens", F.regexp_extract_all(F.col(content), F.lit(TOKEN_PATTERN), F.lit(0)))
     df = bind(df, "_marks", ["_tokens"], _MARKS)
     df = bind(df, "_moves", ["_tokens", "_marks"], _MOVES)
-    df = with_running(df, "_moves", "_level", _THEN, _FLAT)
-    df = bind(df, "_ends", ["_level"], _ENDS)
+    df = with_running_sum(df, "_moves", "_sums")
+    df = bind(df, "_dips", ["_sums"], _DIPS)
+    df = with_running(df, "_dips", "_lows", lambda a, b: f"least({a}, {b})", "0L", levels=1, fanout=64)
+    df = bind(df, "_depths", ["_sums", "_lows"], _DEPTHS)
+    df = bind(df, "_ends", ["_depths"], _ENDS)
     df = bind(df, "_pieces", ["_tokens", "_marks", "_ends"], _PIECES)
     df = bind(df, "_breaks", ["_tokens", "_pieces"], _BREAKS)
-    df = with_running_sum(df, "_breaks", "_line_ends")
+    df = with_running_sum(df, "_breaks", "_line_ends", levels=1)
     df = bind(df, "_blocks", ["_tokens", "_pieces", "_line_ends"], _blocks())
     return settle(
         df,
         files.columns,
         F.expr(f"filter(_blocks, f -> {_IS_FUNCTION})").alias("functions"),
         F.expr(f"size(filter(_blocks, f -> not ({_IS_FUNCTION})))").alias("other_blocks"),
-        F.expr("coalesce(try_element_at(_level, -1).rise - try_element_at(_level, -1).low, 0)").alias(
-            "open_depth"
-        ),
+        F.expr("int(coalesce(try_element_at(_depths, -1), 0L))").alias("open_depth"),
     )
 
 

@@ -8,6 +8,8 @@ array that grows once per emitted block, never once per item.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,19 +51,24 @@ def window_of(items: str, first: str, length: str) -> str:
 
 
 def with_running(
-    df: DataFrame, source: str, target: str, combine: str, zero: str, levels: int = 2, fanout: int = 16
+    df: DataFrame,
+    source: str,
+    target: str,
+    combine: Callable[[str, str], str],
+    zero: str,
+    levels: int = 2,
+    fanout: int = 8,
 ) -> DataFrame:
     """Add the inclusive running aggregate of an array column.
 
-    ``combine`` is SQL over ``a`` and ``b``. Values are combined in blocks of ``fanout``,
+    ``combine`` gives SQL for two operands. Values are combined in blocks of ``fanout``,
     blocks of blocks and so on, and each result combines one stretch per level. The cost is
     linear in the length but for the top level, where it is the square of
     ``length / fanout ** levels``.
     """
 
-    def stretch(arr: str, first: str, last: str) -> str:
-        step = let("b", f"{arr}[q]", combine)
-        return f"aggregate(sequence({first}, {last}), {zero}, (a, q) -> {step})"
+    def stretch(arr: str, first: str, last: str, start: str) -> str:
+        return f"aggregate(sequence({first}, {last}), {start}, (a, q) -> {combine('a', f'{arr}[q]')})"
 
     sums = [source] + [f"{target}_sum{k}" for k in range(1, levels + 1)]
     done = [target] + [f"{target}_run{k}" for k in range(1, levels + 1)]
@@ -69,20 +76,20 @@ def with_running(
         arr = f"s.{sums[k]}"
         last = f"least(g * {fanout} + {fanout - 1}, size({arr}) - 1)"
         count = f"int(ceil(size({arr}) / {fanout}))"
-        block = stretch(arr, f"g * {fanout}", last)
+        block = stretch(arr, f"g * {fanout}", last, zero)
         df = bind(df, sums[k + 1], [sums[k]], f"transform({positions('0', count)}, g -> {block})")
     top = f"s.{sums[levels]}"
-    df = bind(df, done[levels], [sums[levels]], f"transform({top}, (v, i) -> {stretch(top, '0', 'i')})")
+    df = bind(df, done[levels], [sums[levels]], f"transform({top}, (v, i) -> {stretch(top, '0', 'i', zero)})")
     for k in reversed(range(levels)):
         arr, before = f"s.{sums[k]}", f"s.{done[k + 1]}"
         start = f"if(i >= {fanout}, {before}[i div {fanout} - 1], {zero})"
-        total = let("a", start, let("b", stretch(arr, f"i - i % {fanout}", "i"), combine))
+        total = stretch(arr, f"i - i % {fanout}", "i", start)
         df = bind(df, done[k], [sums[k], done[k + 1]], f"transform({arr}, (v, i) -> {total})")
     return df.drop(*sums[1:], *done[1:])
 
 
-def with_running_sum(df: DataFrame, source: str, target: str) -> DataFrame:
-    return with_running(df, source, target, "a + b", "0L", levels=1, fanout=64)
+def with_running_sum(df: DataFrame, source: str, target: str, levels: int = 2) -> DataFrame:
+    return with_running(df, source, target, lambda a, b: f"{a} + {b}", "0L", levels)
 
 
 def last_at_most(totals: str, bound: str) -> str:

@@ -12,7 +12,7 @@ from srcloom.operators import chunks as ck
 from srcloom.operators import documents, reports
 from srcloom.operators.functions_table import explode_functions, parse_files
 from srcloom.operators.results import assemble_results, join_responses
-from srcloom.session import new_folder
+from srcloom.session import written
 from srcloom.sources import sinks
 from srcloom.sources.files import load_files, scan_files
 
@@ -36,10 +36,17 @@ def chunk_rows(functions: DataFrame, max_tokens: int = ck.MAX_CHUNK_TOKENS) -> D
 def analyze(
     files: DataFrame, responses: DataFrame, max_tokens: int = ck.MAX_CHUNK_TOKENS, version: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Parsed files and result rows. Code leaves the rows before the join with the replies."""
+    """Parsed files and result rows."""
     parsed = parse_files(files)
+    return parsed, analyze_parsed(parsed, responses, max_tokens, version)
+
+
+def analyze_parsed(
+    parsed: DataFrame, responses: DataFrame, max_tokens: int = ck.MAX_CHUNK_TOKENS, version: str | None = None
+) -> DataFrame:
+    """Result rows of parsed files. Code leaves the rows before the join with the replies."""
     rows = chunk_rows(explode_functions(parsed), max_tokens).drop("code")
-    return parsed, assemble_results(join_responses(rows, responses, version))
+    return assemble_results(join_responses(rows, responses, version))
 
 
 @dataclass(frozen=True)
@@ -68,11 +75,8 @@ def run(
     reports neither parse again nor depend on executors that held a cache.
     """
     files = load_files(scan_files(spark, root, include_headers), root)
-    parsed, results = analyze(files, responses, max_tokens)
-    stage = new_folder(spark, "run")
-    sinks.write_parquet(parsed.drop("content"), f"{stage}/parsed")
-    sinks.write_parquet(results, f"{stage}/results")
-    parsed, results = spark.read.parquet(f"{stage}/parsed"), spark.read.parquet(f"{stage}/results")
+    parsed = written(parse_files(files).drop("content"), "parsed")
+    results = written(analyze_parsed(parsed, responses, max_tokens), "results")
 
     outcomes = reports.file_outcome(parsed, results)
     summary = reports.file_summary(results, parsed)

@@ -18,8 +18,8 @@ from srcloom.operators.functions_table import (
     parse_files,
 )
 from srcloom.plans import tables
-from srcloom.plans.analysis import analyze, chunk_rows
-from srcloom.session import tune
+from srcloom.plans.analysis import analyze, analyze_parsed, chunk_rows
+from srcloom.session import spread, tune, written
 from srcloom.sources import sinks
 from srcloom.sources.files import decoded, filter_sources, load_status, scan_files
 from srcloom.streaming import streams
@@ -47,13 +47,19 @@ def _functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _analysis(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return analyze(
-        tables.sources(spark, sf_dir), tables.responses(spark, sf_dir), MAX_TOKENS, version="version"
-    )
+    """Parsed files and results, for queries that read both: files are parsed once."""
+    parsed = written(parse_files(tables.sources(spark, sf_dir)).drop("content"), "parsed")
+    return parsed, analyze_parsed(parsed, tables.responses(spark, sf_dir), MAX_TOKENS, version="version")
 
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _analysis(spark, sf_dir)[1]
+    sources, replied = tables.sources(spark, sf_dir), tables.responses(spark, sf_dir)
+    return analyze(sources, replied, MAX_TOKENS, version="version")[1]
+
+
+def _reused_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results for queries that read them more than once."""
+    return written(_results(spark, sf_dir), "results")
 
 
 # --- scans, sources, sinks ------------------------------------------------------------------
@@ -162,16 +168,11 @@ def token_bpe(spark, sf_dir):
 
 @query
 def strip_comments(spark, sf_dir):
-    pages = spread_pages(spark, sf_dir).select("page_id", tx.strip_comments(F.col("html")).alias("text"))
+    html = spread(tables.table(spark, sf_dir, "pages"), "page_id")
+    pages = html.select("page_id", tx.strip_comments(F.col("html")).alias("text"))
     return pages.select("page_id", F.char_length("text").cast("bigint").alias("n"), F.md5("text").alias("digest"))
 
 
-def spread_pages(spark, sf_dir):
-    from srcloom.session import spread
-
-    return spread(tables.table(spark, sf_dir, "pages"), "page_id")
-
-
 @query
 def strip_source_comments(spark, sf_dir):
     sources = tables.sources(spark, sf_dir)
@@ -468,9 +469,8 @@ def delete_by_file(spark, sf_dir):
 
 @query
 def resolve_calls(spark, sf_dir):
-    functions = _functions(spark, sf_dir)
-    edges = graph.call_edges(_results(spark, sf_dir))
-    resolved = graph.resolve_calls(edges, functions)
+    parsed, rows = _analysis(spark, sf_dir)
+    resolved = graph.resolve_calls(graph.call_edges(rows), explode_functions(parsed))
     return resolved.withColumn("callee_line", F.col("callee_line").cast("bigint"))
 
 
@@ -523,13 +523,13 @@ def file_rollup(spark, sf_dir):
 
 @query
 def file_document(spark, sf_dir):
-    docs = documents.file_documents(_results(spark, sf_dir), per_block=1)
+    docs = documents.file_documents(_reused_results(spark, sf_dir), per_block=1)
     return docs.select("file_path", F.col("block").cast("bigint").alias("block"), F.md5("text").alias("digest"))
 
 
 @query
 def document_rows(spark, sf_dir):
-    rows = documents.document_rows(_results(spark, sf_dir))
+    rows = documents.document_rows(_reused_results(spark, sf_dir))
     return rows.select(
         "file_path", "part", "position", F.char_length("text").cast("bigint").alias("n"), F.md5("text").alias("digest")
     )
@@ -537,7 +537,7 @@ def document_rows(spark, sf_dir):
 
 @query
 def project_document(spark, sf_dir):
-    rows = _results(spark, sf_dir)
+    rows = _reused_results(spark, sf_dir)
     summary = reports.file_summary(rows, tables.sources(spark, sf_dir))
     return documents.project_document(rows, "parts", summary).select("part", "file_path", "text")
 
@@ -605,7 +605,8 @@ def error_log(spark, sf_dir):
 
 @query
 def first_errors(spark, sf_dir):
-    return reports.first_errors(reports.error_log(*_analysis(spark, sf_dir)))
+    parsed, rows = _analysis(spark, sf_dir)
+    return reports.first_errors(reports.error_log(parsed, written(rows, "results")))
 
 
 @query

@@ -61,6 +61,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Write a table in the shared folder and read it back, for plans that use it twice.
+
+    It outlives the executors that computed it, and its plan ends at the files.
+    """
+    folder = new_folder(df.sparkSession, label)
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Rebalance rows when a scan has fewer splits than cores; large tables stay as read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
