@@ -98,32 +98,28 @@ def _header(path: Column, count: Column | None, w: DocumentText) -> Column:
 def file_documents(
     results: DataFrame, wording: DocumentText = DocumentText(), per_block: int = FUNCTIONS_PER_BLOCK
 ) -> DataFrame:
-    """Document of each file in blocks of ``per_block`` functions: file_path, block, text.
+    """Document of each file as ordered blocks: file_path, block, text.
 
-    A block collects at most ``per_block`` sections, however many functions a file has; the
-    first block carries the header with the file's function count, the last the footer.
+    Block 0 is the header with the file's function count, the last one the footer; those
+    between collect at most ``per_block`` sections each, however many functions a file has.
+    Header and footer come from the counts alone, so no text takes part in a join.
     """
-    sections = with_result(results).select(
-        "file_path",
-        F.floor((F.col("position") - 1) / F.lit(per_block)).cast("int").alias("block"),
-        "position",
-        function_section(wording).alias("text"),
+    found = with_result(results)
+    number = F.floor((F.col("position") - 1) / F.lit(per_block)).cast("int") + 1
+    sections = found.select(
+        "file_path", number.alias("block"), "position", function_section(wording).alias("text")
     )
     ordered = F.array_sort(F.collect_list(F.struct("position", "text")))
-    blocks = sections.groupBy("file_path", "block").agg(
-        F.count("*").alias("n"), F.array_join(F.transform(ordered, lambda s: s["text"]), "").alias("text")
+    body = sections.groupBy("file_path", "block").agg(
+        F.array_join(F.transform(ordered, lambda s: s["text"]), "").alias("text")
     )
-    # Counted from the results, not the blocks, so no text goes through this aggregate.
-    counts = sections.groupBy("file_path").agg(
-        F.count("*").alias("total"), F.min("block").alias("first"), F.max("block").alias("last")
-    )
-    header = F.when(F.col("block") == F.col("first"), _header(F.col("file_path"), F.col("total"), wording))
-    footer = F.when(F.col("block") == F.col("last"), F.lit(f"\n{wording.footer}\n"))
-    return blocks.join(counts, "file_path").select(
-        "file_path",
-        "block",
-        F.concat(F.coalesce(header, F.lit("")), "text", F.coalesce(footer, F.lit(""))).alias("text"),
+    counts = found.groupBy("file_path").agg(F.count("*").alias("n"), F.max(number).alias("last"))
+    path = F.col("file_path")
+    head = counts.select(path, F.lit(0).alias("block"), _header(path, F.col("n"), wording).alias("text"))
+    foot = counts.select(
+        path, (F.col("last") + 1).alias("block"), F.lit(f"\n{wording.footer}\n").alias("text")
     )
+    return head.unionByName(body).unionByName(foot)
 
 
 def document_rows(results: DataFrame, wording: DocumentText = DocumentText()) -> DataFrame:

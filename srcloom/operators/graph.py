@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from srcloom.operators.results import OK
+from srcloom.operators.skew import join_unique
 
 
 def call_edges(results: DataFrame) -> DataFrame:
@@ -34,7 +35,7 @@ def resolve_calls(edges: DataFrame, functions: DataFrame) -> DataFrame:
     known = definitions(functions)
     callee = known.select(F.col("name").alias("callee"), "definitions", "first")
     caller = known.select(F.col("name").alias("caller"), F.lit(True).alias("known"))
-    joined = edges.join(callee, "callee", "left").join(caller, "caller", "left")
+    joined = join_unique(join_unique(edges, callee, "callee"), caller, "caller")
     return joined.select(
         "caller",
         "callee",

@@ -13,6 +13,7 @@ from srcloom.functions import replies
 from srcloom.functions import text as tx
 from srcloom.functions.fold import settle
 from srcloom.operators.ordering import with_global_position
+from srcloom.operators.skew import join_unique
 
 OK, INVALID, MISSING = "ok", "invalid", "missing"
 NO_REPLY = "no reply"
@@ -90,9 +91,9 @@ def join_responses(chunks: DataFrame, responses: DataFrame, version: str | None
     """Chunks with their validated reply; no reply text gives '', no usage gives 0.
 
     A content id with many copies is hot on the chunk side alone, the reply side has one
-    row per id; the adaptive skew join splits the hot partition.
+    row per id.
     """
-    joined = chunks.join(latest_replies(responses, version), "chunk_id", "left")
+    joined = join_unique(chunks, latest_replies(responses, version), "chunk_id")
     replied = F.col("answer").isNotNull()
     return joined.select(
         *chunks.columns,

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from srcloom.operators.skew import join_unique
+
 TTL_DAYS = 30
 
 
@@ -34,17 +36,17 @@ def apply_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def cache_hits(files: DataFrame, cache: DataFrame) -> DataFrame:
-    return files.join(cache.select("hash").distinct(), "hash", "left_semi")
+    return join_unique(files, cache.select("hash").distinct(), "hash", "left_semi")
 
 
 def cache_misses(files: DataFrame, cache: DataFrame) -> DataFrame:
-    return files.join(cache.select("hash").distinct(), "hash", "left_anti")
+    return join_unique(files, cache.select("hash").distinct(), "hash", "left_anti")
 
 
 def cache_split(files: DataFrame, cache: DataFrame) -> DataFrame:
     """Files with ``cached`` in one join, for callers that need both halves."""
     known = cache.select("hash").distinct().withColumn("_hit", F.lit(True))
-    joined = files.join(known, "hash", "left")
+    joined = join_unique(files, known, "hash")
     return joined.select(*files.columns, F.coalesce("_hit", F.lit(False)).alias("cached"))
 
 
@@ -62,7 +64,7 @@ def within_ttl(cache: DataFrame, as_of: str, days: int = TTL_DAYS) -> DataFrame:
 
 def delete_by_file(chunks: DataFrame, paths: DataFrame) -> DataFrame:
     """Chunks without those of the given ``file_path`` values."""
-    return chunks.join(paths.select("file_path").distinct(), "file_path", "left_anti")
+    return join_unique(chunks, paths.select("file_path").distinct(), "file_path", "left_anti")
 
 
 def upsert(table: DataFrame, incoming: DataFrame, key: str) -> DataFrame:

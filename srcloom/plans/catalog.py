@@ -18,7 +18,7 @@ from srcloom.operators.functions_table import (
     parse_files,
 )
 from srcloom.plans import tables
-from srcloom.plans.analysis import analyze, analyze_parsed, chunk_rows
+from srcloom.plans.analysis import analyze_parsed, chunk_rows
 from srcloom.session import spread, tune, written
 from srcloom.sources import sinks
 from srcloom.sources.files import decoded, filter_sources, load_status, scan_files
@@ -47,14 +47,18 @@ def _functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _analysis(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Parsed files and results, for queries that read both: files are parsed once."""
+    """Parsed files and results; files are parsed once, whatever reads them after."""
     parsed = written(parse_files(tables.sources(spark, sf_dir)).drop("content"), "parsed")
     return parsed, analyze_parsed(parsed, tables.responses(spark, sf_dir), MAX_TOKENS, version="version")
 
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sources, replied = tables.sources(spark, sf_dir), tables.responses(spark, sf_dir)
-    return analyze(sources, replied, MAX_TOKENS, version="version")[1]
+    return _analysis(spark, sf_dir)[1]
+
+
+def _written_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions for queries whose join looks at them twice."""
+    return written(_functions(spark, sf_dir), "functions")
 
 
 def _reused_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -338,7 +342,7 @@ def files_without_result(spark, sf_dir):
 
 @query
 def join_responses(spark, sf_dir):
-    rows = chunk_rows(_functions(spark, sf_dir), MAX_TOKENS)
+    rows = chunk_rows(_written_functions(spark, sf_dir), MAX_TOKENS)
     joined = results.join_responses(rows, tables.responses(spark, sf_dir), "version")
     return joined.select(
         "file_path", "chunk_name", F.md5("raw_response").alias("digest"), "tokens_used", "replied"
@@ -461,7 +465,7 @@ def cache_ttl(spark, sf_dir):
 
 @query
 def delete_by_file(spark, sf_dir):
-    rows = chunk_rows(_functions(spark, sf_dir))
+    rows = chunk_rows(_written_functions(spark, sf_dir))
     parts = tables.table(spark, sf_dir, "part")
     gone = parts.where(F.col("p_type") == "SMALL").select(F.expr(tables.SOURCE_PATH).alias("file_path"))
     return snapshot.delete_by_file(rows, gone).select("chunk_id", "file_path", "chunk_name")
@@ -549,7 +553,7 @@ def token_totals(spark, sf_dir):
 
 @query
 def token_cost(spark, sf_dir):
-    rows = chunk_rows(_functions(spark, sf_dir), MAX_TOKENS)
+    rows = chunk_rows(_written_functions(spark, sf_dir), MAX_TOKENS)
     joined = results.join_responses(rows, tables.responses(spark, sf_dir), "version")
     return reports.token_cost(joined, "tokens", "tokens_used")
 

@@ -588,15 +588,11 @@ def _doc_header(path: str, count: str) -> str:
 
 
 _COUNTED = f"'**{_W.function_count}**: ', count(*) over (partition by file_path), chr(10),"
-CTES["c_sections"] = f"""
-    select file_path, position, {_SECTION} as section, {_doc_header('file_path', _COUNTED)} as header,
-        position = min(position) over (partition by file_path) as first,
-        position = max(position) over (partition by file_path) as last from c_found"""
-oracle(
-    "file_document",
-    f"""select file_path, position - 1 as block, md5(concat(case when first then header else '' end, section,
-        case when last then {_text(f"{chr(10)}{_W.footer}{chr(10)}")} else '' end)) as digest from c_sections""",
-)
+CTES["c_doc_blocks"] = f"""
+    select file_path, position as block, {_SECTION} as text from c_found
+    union all select distinct file_path, 0, {_doc_header('file_path', _COUNTED)} from c_found
+    union all select file_path, max(position) + 1, {_text(f"{chr(10)}{_W.footer}{chr(10)}")} from c_found group by 1"""
+oracle("file_document", "select file_path, block, md5(text) as digest from c_doc_blocks")
 CTES["c_doc_rows"] = f"""
     select file_path, 1 as part, cast(position as integer) as position, {_SECTION} as text from c_found
     union all select distinct file_path, 0, 0, {_doc_header('file_path', '')} from c_found

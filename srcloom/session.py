@@ -7,9 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Runtime settings the operators count on. Joins on content keys (a function text that was
-# copied everywhere, a callee every file calls) are skewed; the adaptive join splits the
-# hot partitions by size, also where that costs another shuffle.
+# Runtime settings the operators count on. The adaptive join splits partitions that turn
+# out large, also where that costs another shuffle; joins on content keys salt their hot
+# keys themselves (operators/skew.py).
 RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",

@@ -226,17 +226,18 @@ def test_first_errors(spark):
 
 
 def test_document_blocks_join_to_one_document(spark):
-    rows = result_rows(spark)
-    whole = documents.file_documents(rows).collect()
-    assert [(r.file_path, r.block) for r in whole] == [("src/a.c", 0)]
-    parts = documents.file_documents(rows, per_block=1).orderBy("block").collect()
-    assert len(parts) == 2 and "".join(p.text for p in parts) == whole[0].text
-    text = whole[0].text
+    def document(per_block):
+        blocks = documents.file_documents(result_rows(spark), per_block=per_block).orderBy("block").collect()
+        assert [b.block for b in blocks] == list(range(len(blocks)))
+        return len(blocks), "".join(b.text for b in blocks)
+
+    (few, text), (many, same) = document(500), document(1)
+    assert (few, many) == (3, 4) and text == same
     assert text.startswith("# a.c\n\n**Path**: `src/a.c`\n**Language**: c\n**Functions**: 2\n\n---\n")
     assert "### `f0`\n\n#### Role\nadds\n" in text and "**Error cases**" in text.split("### `f1`")[1]
     assert "**Error cases**" not in text.split("### `f1`")[0]
     assert text.endswith("---\n\n\n*Generated document.*\n")
-    incremental = documents.document_rows(rows).orderBy("file_path", "part", "position").collect()
+    incremental = documents.document_rows(result_rows(spark)).orderBy("file_path", "part", "position").collect()
     assert "**Functions**: 2" not in incremental[0].text and len(incremental) == 4
 
 

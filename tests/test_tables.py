@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from srcloom.operators import ordering, retries, snapshot, vectors
+from srcloom.operators import ordering, retries, skew, snapshot, vectors
 from srcloom.plans.analysis import run
 from srcloom.streaming import streams
 
@@ -27,6 +27,19 @@ def test_positions_with_a_hot_key(spark):
     assert [r.upto for r in got] == np.cumsum([r.tokens for r in expected]).tolist()
 
 
+@pytest.mark.parametrize("how", ["left", "left_semi", "left_anti", "inner"])
+@pytest.mark.parametrize("hot_rows", [100, 10**9])
+def test_join_with_a_hot_key(spark, how, hot_rows):
+    """A third of the rows share one key; salting it changes no row."""
+    rows = spark.range(3000).selectExpr("if(id % 3 = 0, 'hot', concat('k', id % 50)) as k", "id")
+    lookup = spark.createDataFrame([("hot", 1), *[(f"k{i}", i) for i in range(20)]], "k string, v int")
+    assert skew.hot_keys(rows, "k", 100) == ["hot"]
+    got = skew.join_unique(rows, lookup, "k", how, hot_rows)
+    plain = rows.join(lookup, "k", how)
+    assert got.columns == plain.columns
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
+
+
 def test_rate_slots(spark):
     rows = spark.createDataFrame([(i, 3000) for i in range(8)], "i int, tokens bigint")
     slots = ordering.rate_slots(rows, ["i"], "tokens").orderBy("i").collect()
