@@ -203,13 +203,15 @@ def run_metrics(attempts: DataFrame, latency: str, tokens: str, cached: Column,
 
 
 def coverage(files: DataFrame, results: DataFrame) -> DataFrame:
-    """Lines of analyzed functions over lines of all files."""
-    done = results.where(F.col("status") == OK).agg(_sum(F.col("line_count")).alias("analyzed_lines"))
-    whole = files.agg(_sum(F.col("line_count")).alias("total_lines"))
-    both = done.withColumn("_one", F.lit(1)).join(whole.withColumn("_one", F.lit(1)), "_one")
-    return both.drop("_one").withColumn(
-        "coverage", F.round(rate(F.col("analyzed_lines"), F.col("total_lines")), 6)
-    )
+    """Lines of analyzed functions over lines of all files, in one aggregate over both."""
+    zero = F.lit(0).cast("bigint")
+    lines = F.col("line_count").cast("bigint")
+    done = results.where(F.col("status") == OK).select(lines.alias("analyzed"), zero.alias("whole"))
+    whole = files.select(zero.alias("analyzed"), lines.alias("whole"))
+    sums = done.unionByName(whole).agg(
+        _sum(F.col("analyzed")).alias("analyzed_lines"), _sum(F.col("whole")).alias("total_lines")
+    )
+    return sums.withColumn("coverage", F.round(rate(F.col("analyzed_lines"), F.col("total_lines")), 6))
 
 
 def error_log(files: DataFrame, results: DataFrame) -> DataFrame:
