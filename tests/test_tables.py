@@ -196,3 +196,18 @@ def test_whole_run(spark, tmp_path):
     project = "".join(open(p).read() for p in sorted(glob.glob(f"{out}/project/part-*")))
     assert project.startswith("# demo technical document") and "| [calc.c](files/sub/calc.c.md) | 1 | 1 |" in project
     assert spark.read.json(f"{out}/results").count() == 3
+
+
+def test_shared_folder_is_needed_on_a_cluster():
+    from types import SimpleNamespace
+
+    from srcloom.session import shared_folder
+
+    def session(master, folder):
+        conf = SimpleNamespace(get=lambda key, default=None: folder)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
+
+    assert shared_folder(session("spark://host:7077", "hdfs:///tmp/x")) == "hdfs:///tmp/x"
+    with pytest.raises(ValueError):
+        shared_folder(session("spark://host:7077", None))
+    assert shared_folder(session("local[2]", None)) == shared_folder(session("local[2]", None))
