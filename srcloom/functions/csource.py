@@ -41,6 +41,11 @@ TYPE_WORDS = (
 )
 QUALIFIER_WORDS = ("const", "volatile", "restrict", "register", "static")
 
+FUNCTIONS_TYPE = (
+    "array<struct<name:string,signature:string,body:string,start_line:int,end_line:int,"
+    "params:array<string>,return_type:string>>"
+)
+
 _TRIVIA = r"^\s*+(?:#|//|/\*|\z)"
 _COMMENT_OR_DIRECTIVE = r"^\s*+(?:#|//|/\*)"
 

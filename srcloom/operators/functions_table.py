@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from srcloom.functions.csource import parse_source
+from srcloom.functions.csource import FUNCTIONS_TYPE, parse_source
 
 LANGUAGES = ("c", "cpp")
 
@@ -17,7 +17,8 @@ def parse_files(files: DataFrame) -> DataFrame:
     whose braces do not balance.
     """
     supported = F.col("language") == "c"
-    parsed = parse_source(files)
+    # Texts of other languages are not scanned at all.
+    parsed = parse_source(files.withColumn("_c_text", F.when(supported, F.col("content"))), "_c_text")
     error = (
         F.when(F.col("language") == "cpp", F.lit("C++ parsing is not supported"))
         .when(~supported, F.concat(F.lit("Unsupported language: "), F.col("language")))
@@ -26,10 +27,10 @@ def parse_files(files: DataFrame) -> DataFrame:
     return parsed.select(
         *files.columns,
         F.when(error.isNull(), F.col("functions"))
-        .otherwise(F.slice("functions", 1, 0))
+        .otherwise(F.array().cast(FUNCTIONS_TYPE))
         .alias("functions"),
-        "other_blocks",
-        "open_depth",
+        F.coalesce("other_blocks", F.lit(0)).alias("other_blocks"),
+        F.coalesce("open_depth", F.lit(0)).alias("open_depth"),
         error.alias("parse_error"),
         F.when(error.isNotNull(), F.lit("error"))
         .when(F.size("functions") == 0, F.lit("no functions"))
