@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcloom.llm import bpe, decontaminate, quality, simhash, toxicity
+from srcloom.llm import bpe, decontaminate, licences, quality, simhash, toxicity, urls
 from srcloom.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,3 +85,32 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+URL_RULES = (
+    ("net/", "block"),
+    ("example.net/en/", "allow"),
+    ("example.com/de/", "block"),
+    ("org/fr/", "allow"),
+)
+
+
+@query
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = urls.train(urls.labelled_urls(spark))
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES, model, ["page_id"])
+
+
+@query
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select(
+        "doc_id",
+        F.size("sentence_ids").cast("long").alias("n_known"),
+        F.array_join("sentence_ids", ",").alias("sentence_ids"),
+        F.array_join("licences", ",").alias("licences"),
+        "n_unmatched",
+    )
+
+
+ORACLES["op7_licences"] = licences.oracle_sql()
