@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcloom.llm import bpe, chat, decontaminate, licences, quality, simhash, toxicity, urls
+from srcloom.llm import bpe, chat, decontaminate, fingerprints, licences, quality, simhash, toxicity, urls
 from srcloom.llm.common import fold, table
 from srcloom.session import written
 
@@ -155,3 +155,8 @@ SELECT conv_id, count(*) AS n_turns,
     + length(replace(replace(text, '\\', '\\\\'), '<|', '<\\|')) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
 FROM rows GROUP BY conv_id
 """
+
+
+@query
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_next(table(spark, sf_dir, "documents"))
