@@ -7,14 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcloom.llm import bpe, chat, decontaminate, fingerprints, licences, quality, simhash, toxicity, urls
+from srcloom.llm import bpe, chat, decontaminate, fingerprints, licences, quality, simhash, toxicity, urls, wavelet
 from srcloom.llm.common import fold, table
-from srcloom.session import written
+from srcloom.session import new_folder, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
+BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 
 
@@ -160,3 +161,11 @@ FROM rows GROUP BY conv_id
 @query
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_next(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "shards")
+    wavelet.write_shards(table(spark, sf_dir, "documents"), bpe.tokenizer_path(BYTE_BPE), folder)
+    found = wavelet.read_documents(spark.read.parquet(folder))
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
