@@ -85,7 +85,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), ["doc_id"])
     return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 

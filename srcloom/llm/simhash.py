@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField
 
-from srcloom.llm.common import add_columns, arrow_ready, quoted
+from srcloom.llm.common import add_columns, arrow_ready, quoted, without
 from srcloom.llm.components import components
 from srcloom.session import written
 
@@ -37,6 +37,7 @@ BITS = 64
 # Segments of the ring: first bit and number of bits.
 SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 BUCKET = 16
+OWN = ["fp", "group", "component_id"]
 # Shingles whose bits are counted at once.
 BLOCK = 1 << 16
 
@@ -159,26 +160,27 @@ def _free_bits(start: int) -> list[int]:
     return [int(np.uint64(1 << b).astype(np.int64)) for b in bits] + [0]
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp, component_id) for every row; the component is the least id that links reach."""
-    prints = written(with_fingerprints(docs, [doc_id], shingle=shingle), "simhash")
+def near_duplicates(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
+    """The kept columns, fp, group and component_id of every row: the component is the least id that links
+    reach, the group the least fingerprint."""
+    prints = written(with_fingerprints(docs, without(keep, OWN), shingle=shingle), "simhash")
     return with_components(prints, doc_id)
 
 
 def with_components(prints: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """Adds component ids to a table with ids and fingerprints ``fp``."""
+    """Adds groups and component ids to a table with ids and fingerprints ``fp``."""
     own = written(prints.groupBy("fp").agg(F.min(quoted(doc_id)).alias("_id"), F.count("*").alias("_n")), "simhash-own")
     labels = components(links(own.select("fp")))
     of = own.join(labels, own.fp == labels.node, "left").select(
-        "fp", "_id", "_n", F.coalesce("label", "fp").alias("_group"), F.col("label").isNotNull().alias("_linked")
+        "fp", "_id", "_n", F.coalesce("label", "fp").alias("group"), F.col("label").isNotNull().alias("_linked")
     )
     # Fingerprints of one document without links are their own component and need no join.
-    least = of.groupBy("_group").agg(F.min("_id").alias("component_id"))
-    grouped = of.where(F.col("_linked") | (F.col("_n") > 1)).join(least, "_group").select("fp", "component_id", F.lit(True).alias("_found"))
+    least = of.groupBy("group").agg(F.min("_id").alias("component_id"))
+    grouped = of.where(F.col("_linked") | (F.col("_n") > 1)).join(least, "group").select("fp", "group", "component_id")
     return (
         prints.join(grouped, "fp", "left")
-        .withColumn("component_id", F.when(F.col("_found"), F.col("component_id")).otherwise(quoted(doc_id)))
-        .drop("_found")
+        .withColumn("component_id", F.when(F.col("group").isNotNull(), F.col("component_id")).otherwise(quoted(doc_id)))
+        .withColumn("group", F.coalesce("group", "fp"))
     )
 
 
@@ -187,20 +189,36 @@ def hex_of(fp: Column) -> Column:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the least id, and of repeated rows one.
+    """One row of each group of near-duplicates: of the least id, and of rows with that id the least hash of the
+    text, then the least row.
 
-    Only ids travel: rows are kept by a join on the ids to drop, so that texts stay where they are.
+    Which rows go is decided on ids and hashes; texts meet only the list of those.
     """
     columns = docs.columns
-    found = written(near_duplicates(docs), "simhash-groups")
-    dropped = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(dropped.select(F.col("doc_id").alias("_drop")), F.col("doc_id").eqNullSafe(F.col("_drop")), "left_anti")
-    repeated = found.groupBy("doc_id").count().where("count > 1")
-    if repeated.isEmpty():
-        return kept.select(*columns)
-    # Ids that occur more than once: of each, the first row by all columns.
-    repeated = repeated.select(F.col("doc_id").alias("_again"))
-    same = F.col("doc_id").eqNullSafe(F.col("_again"))
-    single = kept.join(repeated, same, "left_anti").select(*columns)
-    packed = kept.join(repeated, same, "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[quoted(c) for c in columns])).alias("_row"))
-    return single.unionAll(packed.select("_row.*").select(*columns))
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("_hash"))
+    found = written(near_duplicates(hashed, ["doc_id", "_hash"]), "simhash-groups")
+    winners = (
+        found.groupBy("group")
+        .agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.struct("doc_id", "_hash"))).alias("_one"), F.count("*").alias("_n"))
+        .where("_n > 1")
+    )
+    lost = (
+        found.join(winners, "group")
+        .where(~F.struct("doc_id", "_hash").eqNullSafe(F.col("_one")))
+        .select(F.col("doc_id").alias("_lost_id"), F.col("_hash").alias("_lost_hash"))
+        .distinct()
+    )
+    own = docs.select(*[quoted(c) for c in columns], F.xxhash64("text").alias("_own_hash"))
+    kept = own.join(
+        lost, F.col("doc_id").eqNullSafe(F.col("_lost_id")) & (F.col("_own_hash") == F.col("_lost_hash")), "left_anti"
+    )
+    again = found.groupBy("doc_id", "_hash").count().where("count > 1")
+    if again.isEmpty():
+        return kept.select(*[quoted(c) for c in columns])
+    # Rows of equal id and text: one of each.
+    again = again.select(F.col("doc_id").alias("_again_id"), F.col("_hash").alias("_again_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("_again_id")) & (F.col("_own_hash") == F.col("_again_hash"))
+    row = F.min(F.struct(*[quoted(c) for c in columns])).alias("_row")
+    single = kept.join(again, same, "left_anti").select(*[quoted(c) for c in columns])
+    packed = kept.join(again, same, "left_semi").groupBy("doc_id", "_own_hash").agg(row)
+    return single.unionAll(packed.select("_row.*"))
