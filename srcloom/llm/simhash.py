@@ -38,6 +38,8 @@ BITS = 64
 SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 BUCKET = 16
 OWN = ["fp", "group", "component_id"]
+# No bit, and each single bit, as signed numbers.
+FLIPS = [0, *[int(np.uint64(1 << b).astype(np.int64)) for b in range(BITS)]]
 # Shingles whose bits are counted at once.
 BLOCK = 1 << 16
 
@@ -138,28 +140,19 @@ def links(fps: DataFrame) -> DataFrame:
         .select(x["a"].alias("a"), F.explode(x["bs"]).alias("b"))
     )
 
-    # A large bucket: the fingerprint itself and those one bit away, outside the two equal segments.
-    large = shared.where(F.col("n") > BUCKET)
-    flips = F.element_at(F.array(*[F.array(*[F.lit(f) for f in _free_bits(i)]) for i in range(len(SEGMENTS))]), F.col("start") + 1)
-    around = large.select("start", "fp", F.explode(flips).alias("flip")).select(
-        "start", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("near")
-    )
-    least = around.groupBy("start", "near").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a < z")
+    # Members of large buckets, each once: the fingerprint itself and those one bit away.
+    large = shared.where(F.col("n") > BUCKET).select("fp").distinct()
+    flips = F.array(*[F.lit(f) for f in FLIPS])
+    around = large.select("fp", F.explode(F.transform(flips, lambda f: F.col("fp").bitwiseXOR(f))).alias("near"))
+    least = around.groupBy("near").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a < z")
     stars = (
-        around.join(least.select("start", "near", "a"), ["start", "near"])
+        around.join(least.select("near", "a"), "near")
         .where(F.col("a") < F.col("fp"))
         .select("a", F.col("fp").alias("b"))
     )
     return pairs.unionAll(stars).distinct()
 
 
-def _free_bits(start: int) -> list[int]:
-    """No bit, and each single bit outside the two segments that a chain from ``start`` begins with."""
-    fixed = {(start + k) % len(SEGMENTS) for k in range(2)}
-    bits = [b for i, (first, n) in enumerate(SEGMENTS) if i not in fixed for b in range(first, first + n)]
-    return [int(np.uint64(1 << b).astype(np.int64)) for b in bits] + [0]
-
-
 def near_duplicates(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
     """The kept columns, fp, group and component_id of every row: the component is the least id that links
     reach, the group the least fingerprint."""
