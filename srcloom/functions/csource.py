@@ -1,182 +1,49 @@
-"""C source extraction as row-local Spark SQL expressions.
+"""C source extraction: a scanner over Arrow batches of texts, and two directive lists.
 
-One file is one row. Its text is cut into tokens that together make up the whole text
-(literals, comments, directives, braces, semicolons, code runs). A running sum over the
-braces gives the depth and so the top-level pieces, a running sum over their line breaks
-the line numbers; each piece whose head ends in ``name(params)`` becomes a function
-record. Nothing is shuffled.
+One file is one row, and each row is scanned where it is read; nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from srcloom.functions.fold import bind, let, positions, settle, window_of, with_running, with_running_sum
-
-# All loops are possessive, so long texts neither backtrack nor recurse.
-_STRING = r'"(?:[^"\\\n]++|\\.)*+"'
-_CHAR = r"'(?:[^'\\\n]++|\\.)*+'"
-_LINE_COMMENT = r"//[^\n]*+"
-_BLOCK_COMMENT = r"/\*.*?(?:\*/|\z)"
-_DIRECTIVE = (
-    rf"^(?:[ \t]++|/\*.*?\*/)*+#"
-    rf'(?:{_STRING}|{_LINE_COMMENT}|{_BLOCK_COMMENT}|\\\n|[^\n"/\\]++|[^\n])*+'
-)
-_CODE_RUN = r"""(?:[^"'/{};\n]++|\n(?![ \t]*+(?:#|/\*)))++"""
-TOKEN_PATTERN = (
-    rf"(?ms){_DIRECTIVE}|{_STRING}|{_CHAR}|{_LINE_COMMENT}|{_BLOCK_COMMENT}|[{{}};]|{_CODE_RUN}|."
-)
-
-# Text before the opening brace that ends in ``name(params)``; parentheses may nest once.
-HEAD_PATTERN = r"\b([A-Za-z_]\w*+)\s*+\(([^(){};]*+(?:\([^(){}]*+\)[^(){};]*+)*+)\)\s*+$"
-
-# Words of the C language that head a block but name no function.
-CONTROL_WORDS = ("if", "else", "for", "while", "do", "switch", "return", "sizeof")
-# Words of a declaration that are no part of a return type.
-STORAGE_WORDS = ("static", "extern", "inline", "register", "auto", "_Noreturn")
-# Type words that can end an unnamed parameter.
-TYPE_WORDS = (
-    "void", "char", "short", "int", "long", "float", "double", "signed", "unsigned", "_Bool", "bool",
-)
-QUALIFIER_WORDS = ("const", "volatile", "restrict", "register", "static")
+from srcloom.functions.cscan import scan
+from srcloom.session import ship_package
 
 FUNCTIONS_TYPE = (
     "array<struct<name:string,signature:string,body:string,start_line:int,end_line:int,"
     "params:array<string>,return_type:string>>"
 )
-
-_TRIVIA = r"^\s*+(?:#|//|/\*|\z)"
-_COMMENT_OR_DIRECTIVE = r"^\s*+(?:#|//|/\*)"
-
-
-def _lines(text: str) -> str:
-    """SQL for the number of line breaks in a text."""
-    return f"(char_length({text}) - char_length(replace({text}, chr(10), '')))"
-
-
-def _joined(first: str, length: str) -> str:
-    return f"array_join({window_of('s._tokens', first, length)}, '')"
-
-
-def _tidy(text: str) -> str:
-    return rf"trim(regexp_replace({text}, r'\s+', ' '))"
-
-
-def _words(words: tuple[str, ...]) -> str:
-    return rf"\b(?:{'|'.join(words)})\b"
-
-
-_MARKS = f"filter({positions('0', 'size(s._tokens)')}, i -> s._tokens[i] in ('{{', '}}', ';'))"
-
-# The brace of ``extern "C" {`` opens no scope of its own: a string literal stands before
-# it, blanks aside, and ``extern`` before that.
-_LINKAGE = let(
-    "j",
-    r"if(i >= 1 and s._tokens[i - 1] rlike r'^\s++\z', i - 2, i - 1)",
-    r"""j >= 1 and startswith(s._tokens[j], '"') and s._tokens[j - 1] rlike r'\bextern\s*+\z'""",
+REJECTS_TYPE = "array<struct<start_line:int,reason:string>>"
+_SCANNED = f"struct<functions:{FUNCTIONS_TYPE},rejects:{REJECTS_TYPE},open_depth:int>"
+_FUNCTION = pa.struct(
+    [
+        ("name", pa.string()), ("signature", pa.string()), ("body", pa.string()), ("start_line", pa.int32()),
+        ("end_line", pa.int32()), ("params", pa.list_(pa.string())), ("return_type", pa.string()),
+    ]
 )
-_MOVES = (
-    f"transform(s._marks, i -> bigint(case when s._tokens[i] = '}}' then -1 "
-    f"when s._tokens[i] = '{{' and not {_LINKAGE} then 1 else 0 end))"
-)
-
-# A stray closing brace must not push the depth below zero. It shows as a negative sum; in
-# such a text, and only there, depth is counted from the lowest sum so far.
-_DIPS = "if(coalesce(array_min(s._sums), 0L) < 0, s._sums, cast(array() as array<bigint>))"
-_DEPTHS = "if(size(s._lows) > 0, transform(s._sums, (v, i) -> v - s._lows[i]), s._sums)"
-_ENDS = f"filter({positions('0', 'size(s._depths)')}, j -> s._depths[j] = 0)"
-
-# Pieces of the text that end at a semicolon or closing brace at depth zero; ``open`` is
-# the token that opens the braces of a piece, null if it has none.
-_FIRST_MARK = "if(k = 0, 0, s._ends[k - 1] + 1)"
-_PIECES = f"""transform(s._ends, (e, k) -> named_struct(
-    'first', if(k = 0, 0, s._marks[s._ends[k - 1]] + 1),
-    'open', case when s._tokens[s._marks[e]] = '}}' and {_FIRST_MARK} < e
-        then s._marks[{_FIRST_MARK}] end,
-    'last', s._marks[e]))"""
-
-_BREAKS = f"""transform(s._pieces, p -> aggregate(
-    {positions('p.first', '(p.last - p.first + 1)')}, 0L, (n, i) -> n + {_lines('s._tokens[i]')}))"""
-
-
-def _param_names(params: str) -> str:
-    """SQL for the names in a parameter list; unnamed, void and variadic ones are left out."""
-    flat = rf"regexp_replace({params}, r'\(\s*\*+\s*(\w+)\s*\)\s*\([^()]*\)', ' *$1')"
-    flat = rf"regexp_replace({flat}, r'\[[^\]]*\]', '')"
-    flat = f"regexp_replace({flat}, r'{_words(QUALIFIER_WORDS)}', ' ')"
-    name = r"^\s*(?:(?:struct|union|enum)\s+)?\w+(?:[\s*]+\w+)*?[\s*]+(\w+)\s*$"
-    unnamed = ", ".join(f"'{w}'" for w in ("", *TYPE_WORDS))
-    return (
-        f"filter(transform(split({flat}, ','), p -> regexp_extract(p, r'{name}', 1)), "
-        f"n -> n not in ({unnamed}))"
-    )
-
-
-def _function() -> str:
-    """SQL for the function record of piece ``p`` whose first token is on line ``line``."""
-    # Blanks, comments and directives before the declaration belong to no function.
-    skipped = (
-        f"int(coalesce(array_position(transform({positions('p.first', '(p.open - p.first)')}, "
-        f"i -> not s._tokens[i] rlike r'{_TRIVIA}'), true), 1)) - 1"
-    )
-    text = rf"""named_struct(
-        'lead', concat({_joined('p.first', 'skip')},
-                       regexp_extract(s._tokens[p.first + skip], r'^\s*+', 0)),
-        'body', regexp_replace({_joined('(p.first + skip)', '(p.last - p.first - skip + 1)')}, r'^\s++', ''),
-        'head', array_join(transform({positions('(p.first + skip)', '(p.open - p.first - skip)')}, i ->
-            if(s._tokens[i] rlike r'{_COMMENT_OR_DIRECTIVE}', ' ', s._tokens[i])), ''))"""
-    declared = f"""named_struct(
-        'declarator', regexp_extract(t.head, r'{HEAD_PATTERN}', 0),
-        'name', regexp_extract(t.head, r'{HEAD_PATTERN}', 1),
-        'params', regexp_extract(t.head, r'{HEAD_PATTERN}', 2),
-        'start_line', line + {_lines('t.lead')})"""
-    before = "left(t.head, char_length(t.head) - char_length(d.declarator))"
-    record = f"""named_struct(
-        'name', d.name,
-        'signature', {_tidy('d.declarator')},
-        'body', t.body,
-        'start_line', int(d.start_line),
-        'end_line', int(d.start_line + {_lines('t.body')}),
-        'params', {_param_names('d.params')},
-        'return_type', {_tidy(f"regexp_replace({before}, r'{_words(STORAGE_WORDS)}', ' ')")})"""
-    return let("skip", skipped, let("t", text, let("d", declared, record)))
-
-
-def _blocks() -> str:
-    line = "if(k = 0, 1, s._line_ends[k - 1] + 1)"
-    record = let("line", line, _function())
-    return (
-        f"filter(transform(s._pieces, (p, k) -> case when p.open is not null then {record} end), "
-        f"f -> f is not null)"
-    )
+_REJECT = pa.struct([("start_line", pa.int32()), ("reason", pa.string())])
+_ARROW = pa.struct([("functions", pa.list_(_FUNCTION)), ("rejects", pa.list_(_REJECT)), ("open_depth", pa.int32())])
 
 
-_IS_FUNCTION = "f.name not in ({})".format(", ".join(f"'{w}'" for w in ("", *CONTROL_WORDS)))
+def _scan_batch(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else scan(t) for t in texts.to_pylist()], _ARROW)
 
 
 def parse_source(files: DataFrame, content: str = "content") -> DataFrame:
-    """Add ``functions``, ``other_blocks`` (braced blocks that are no function) and
-    ``open_depth`` (braces still open at the end) to rows of texts, without a shuffle.
+    """Add ``functions``, ``rejects`` (blocks that are no function, each with its line and reason) and
+    ``open_depth`` (braces that nothing closes) to rows of texts, without a shuffle; null for a null text.
     """
-    df = files.withColumn("_tokens", F.regexp_extract_all(F.col(content), F.lit(TOKEN_PATTERN), F.lit(0)))
-    df = bind(df, "_marks", ["_tokens"], _MARKS)
-    df = bind(df, "_moves", ["_tokens", "_marks"], _MOVES)
-    df = with_running_sum(df, "_moves", "_sums")
-    df = bind(df, "_dips", ["_sums"], _DIPS)
-    df = with_running(df, "_dips", "_lows", lambda a, b: f"least({a}, {b})", "0L", levels=1, fanout=64)
-    df = bind(df, "_depths", ["_sums", "_lows"], _DEPTHS)
-    df = bind(df, "_ends", ["_depths"], _ENDS)
-    df = bind(df, "_pieces", ["_tokens", "_marks", "_ends"], _PIECES)
-    df = bind(df, "_breaks", ["_tokens", "_pieces"], _BREAKS)
-    df = with_running_sum(df, "_breaks", "_line_ends", levels=1)
-    df = bind(df, "_blocks", ["_tokens", "_pieces", "_line_ends"], _blocks())
-    return settle(
-        df,
-        files.columns,
-        F.expr(f"filter(_blocks, f -> {_IS_FUNCTION})").alias("functions"),
-        F.expr(f"size(filter(_blocks, f -> not ({_IS_FUNCTION})))").alias("other_blocks"),
-        F.expr("int(coalesce(try_element_at(_depths, -1), 0L))").alias("open_depth"),
+    ship_package(files.sparkSession)
+    # Not to be evaluated once for each column that reads it.
+    scanned = F.arrow_udf(_scan_batch, _SCANNED).asNondeterministic()
+    return files.withColumn("_scanned", scanned(F.col(content))).select(
+        *files.columns,
+        F.col("_scanned.functions").alias("functions"),
+        F.col("_scanned.rejects").alias("rejects"),
+        F.col("_scanned.open_depth").alias("open_depth"),
     )
 
 

@@ -170,19 +170,24 @@ def overlap_functions(
 
 
 def with_file_context(parsed: DataFrame, max_tokens: int = CONTEXT_MAX_TOKENS) -> DataFrame:
-    """Add ``context``: includes and macro names of the file, cut to the context budget."""
+    """Add ``context``: includes and macro names of the file, whole lines within the context budget, and
+    ``context_truncated`` where lines were left out."""
     lines = F.concat(
         F.transform(csource.include_names(F.col("content")), lambda n: F.concat(F.lit("#include "), n)),
         F.transform(csource.macro_names(F.col("content")), lambda n: F.concat(F.lit("#define "), n)),
     )
     limit = int(max_tokens / tx.TOKENS_PER_CHAR)
-    return parsed.withColumn("context", F.left(F.array_join(lines, "\n"), F.lit(limit)))
+    whole = F.array_join(lines, "\n")
+    # Up to the last line break within the limit and the character behind it.
+    kept = F.regexp_extract(F.left(whole, F.lit(limit + 1)), r"(?s)^(.*)\n", 1)
+    fits = F.char_length(whole) <= limit
+    return parsed.withColumn("context", F.when(fits, whole).otherwise(kept)).withColumn("context_truncated", ~fits)
 
 
 def chunk_context(parsed: DataFrame, max_tokens: int = CONTEXT_MAX_TOKENS) -> DataFrame:
     """Chunks with the context of their file, taken from the file's own row."""
     rows = with_file_context(parsed, max_tokens).select(
-        F.col("path").alias("file_path"), "context", F.explode("functions").alias("f")
+        F.col("path").alias("file_path"), "context", "context_truncated", F.explode("functions").alias("f")
     )
     return rows.select(
         tx.content_hash(F.col("f.body")).alias("id"),
@@ -191,6 +196,7 @@ def chunk_context(parsed: DataFrame, max_tokens: int = CONTEXT_MAX_TOKENS) -> Da
         F.col("f.start_line").alias("start_line"),
         F.col("f.body").alias("code"),
         "context",
+        "context_truncated",
     )
 
 
@@ -236,17 +242,8 @@ def chunk_stats(chunks: DataFrame) -> DataFrame:
 
 def distinct_token_counts(texts: DataFrame, text: str) -> DataFrame:
     """Each distinct text once: hash, tokens, and how often it occurred."""
-    hashed = texts.select(
-        tx.content_hash(F.col(text)).alias("hash"), tx.token_estimate(F.col(text)).alias("tokens")
-    )
-    return hashed.groupBy("hash").agg(
-        F.any_value("tokens").alias("tokens"), F.count("*").alias("occurrences")
-    )
-
-
-def memo_stats(counts: DataFrame) -> DataFrame:
-    """Hits and misses of a memo of unlimited size over distinct text counts."""
-    return counts.agg(
-        F.coalesce(F.sum(F.col("occurrences") - 1), F.lit(0).cast("bigint")).alias("hits"),
-        F.count("*").alias("misses"),
-    )
+    # Only hash and length travel; tokens follow from the length, once per distinct text.
+    hashed = texts.select(tx.content_hash(F.col(text)).alias("hash"), F.char_length(F.col(text)).alias("_chars"))
+    counted = hashed.groupBy("hash").agg(F.any_value("_chars").alias("_chars"), F.count("*").alias("occurrences"))
+    tokens = F.floor(F.col("_chars") * F.lit(tx.TOKENS_PER_CHAR)).cast("bigint")
+    return counted.select("hash", tokens.alias("tokens"), "occurrences")

@@ -5,40 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from srcloom.functions.csource import FUNCTIONS_TYPE, parse_source
+from srcloom.functions.csource import FUNCTIONS_TYPE, REJECTS_TYPE, parse_source
 
 LANGUAGES = ("c", "cpp")
 
 
 def parse_files(files: DataFrame) -> DataFrame:
-    """Add the functions array and a parse status to file rows.
+    """Add the functions array, the rejected blocks and a parse status to file rows.
 
-    C files are parsed; C++ is not supported and its files carry an error, as do files
-    whose braces do not balance.
+    C files are parsed; C++ is not supported and its files carry an error. A file with a brace that nothing
+    closes carries one too, and keeps the complete functions ('partial').
     """
     supported = F.col("language") == "c"
     # Texts of other languages are not scanned at all.
     parsed = parse_source(files.withColumn("_c_text", F.when(supported, F.col("content"))), "_c_text")
-    error = (
-        F.when(F.col("language") == "cpp", F.lit("C++ parsing is not supported"))
-        .when(~supported, F.concat(F.lit("Unsupported language: "), F.col("language")))
-        .when(F.col("open_depth") != 0, F.lit("unbalanced braces"))
+    foreign = F.when(F.col("language") == "cpp", F.lit("C++ parsing is not supported")).when(
+        ~supported, F.concat(F.lit("Unsupported language: "), F.col("language"))
     )
+    error = F.coalesce(foreign, F.when(F.col("open_depth") != 0, F.lit("unbalanced braces")))
     return parsed.select(
         *files.columns,
-        F.when(error.isNull(), F.col("functions"))
-        .otherwise(F.array().cast(FUNCTIONS_TYPE))
-        .alias("functions"),
-        F.coalesce("other_blocks", F.lit(0)).alias("other_blocks"),
+        F.coalesce("functions", F.array().cast(FUNCTIONS_TYPE)).alias("functions"),
+        F.coalesce("rejects", F.array().cast(REJECTS_TYPE)).alias("rejects"),
         F.coalesce("open_depth", F.lit(0)).alias("open_depth"),
         error.alias("parse_error"),
-        F.when(error.isNotNull(), F.lit("error"))
+        F.when(error.isNotNull() & (F.size("functions") > 0), F.lit("partial"))
+        .when(error.isNotNull(), F.lit("error"))
         .when(F.size("functions") == 0, F.lit("no functions"))
         .otherwise(F.lit("parsed"))
         .alias("parse_status"),
     )
 
 
+def rejected_blocks(parsed: DataFrame) -> DataFrame:
+    """One row per braced block at the top level that is no function."""
+    return parsed.select("path", F.inline("rejects"))
+
+
 def check_language(language: str) -> str:
     """Language a caller asks to parse; raises as parsing by row would report an error."""
     if language == "cpp":

@@ -10,16 +10,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from srcloom.session import checkpointed
+from srcloom.session import checkpointed, written
 
 
 def _ranged(df: DataFrame, order: list[str]) -> DataFrame:
     """Sorted rows with partition number and row number within the partition.
 
-    Range bounds are sampled anew in each run, so the result is checkpointed before its
-    partition numbers are used twice.
+    Sampling the range bounds reads the input once more, so what leads to it is written first. Bounds are sampled
+    anew in each run, so the result is checkpointed before its partition numbers are used twice.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = written(df, "to-order").repartitionByRange(*order).sortWithinPartitions(*order)
     row_id = F.monotonically_increasing_id()
     part = F.shiftright(row_id, 33)
     return checkpointed(
@@ -67,8 +67,26 @@ def rate_slots(
     requests_per_minute: int = 500,
     tokens_per_minute: int = 10000,
 ) -> DataFrame:
-    """Minute in which each request may be sent under both limits, in the given order."""
-    placed = with_global_position(requests, order, {"cumulative_tokens": tokens})
-    by_tokens = F.expr(f"(cumulative_tokens - 1) div {tokens_per_minute}")
-    by_requests = F.expr(f"(position - 1) div {requests_per_minute}")
-    return placed.withColumn("slot", F.greatest(by_tokens, by_requests, F.lit(0).cast("bigint")))
+    """Add ``slot``, the minute from 0 in which each request may be sent under both limits, in the given order,
+    and ``over_limit`` for a request that is larger than a minute's tokens by itself.
+
+    A request costs the greater of its shares of the two limits, in whole numbers with the product of the limits as
+    a minute's capacity. Running costs cut the order into windows of that capacity. Requests that fit into
+    their window share a slot; the one that crosses its end, at most one and the last to start, has the slot behind. So the
+    sums of a slot keep both limits. Slots in use are then numbered without gaps.
+    """
+    capacity = requests_per_minute * tokens_per_minute
+    cost = F.greatest(F.coalesce(F.col(tokens), F.lit(0)).cast("bigint") * requests_per_minute, F.lit(tokens_per_minute).cast("bigint"))
+    priced = requests.withColumn("_cost", cost)
+    placed = with_global_position(priced, order, {"_spent": "_cost"})
+    begins = F.col("_spent") - F.col("_cost")
+    window = F.expr(f"(_spent - _cost) div {capacity}")
+    crosses = begins % capacity + F.col("_cost") > capacity
+    raw = placed.withColumn("_raw", 2 * window + crosses.cast("bigint"))
+    dense = with_global_position(raw.select("_raw").distinct(), ["_raw"], name="_slot")
+    return raw.join(dense, "_raw").select(
+        *requests.columns,
+        "position",
+        (F.col("_slot") - 1).alias("slot"),
+        (F.col(tokens) > tokens_per_minute).alias("over_limit"),
+    )

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from srcloom.functions import replies
@@ -71,18 +71,21 @@ def assign_models(chunks: DataFrame, models: Sequence[str], order: list[str]) ->
 
 
 def latest_replies(responses: DataFrame, version: str | None = None) -> DataFrame:
-    """One validated reply per chunk id: the one with the highest version, else the greatest.
+    """One validated reply per chunk id: the one with the highest version, else the most tokens.
 
-    Without this the join below would multiply rows. Validation runs here, once per id and
-    not once per copy of a chunk.
+    Without this the join below would multiply rows. The choice is made on numbers and a hash of the text, so
+    no text is sorted; each task keeps one row of an id before the shuffle. Validation runs here, once per id and not once per
+    copy of a chunk.
     """
-    rank = F.struct(*([F.col(version)] if version else []), F.col("tokens"), F.col("raw"))
-    latest = responses.groupBy("chunk_id").agg(F.max(rank).alias("r"))
+    order = [F.desc(version)] if version else []
+    ranked = responses.withColumn("_hash", F.xxhash64("raw"))
+    first = Window.partitionBy("chunk_id").orderBy(*order, F.desc("tokens"), "_hash")
+    latest = ranked.withColumn("_place", F.row_number().over(first)).where("_place = 1")
     checked = latest.select(
         "chunk_id",
-        F.coalesce("r.raw", F.lit("")).alias("raw"),
-        F.coalesce("r.tokens", F.lit(0)).cast("bigint").alias("tokens"),
-        replies.checked_reply("coalesce(r.raw, '')").alias("checked"),
+        F.coalesce("raw", F.lit("")).alias("raw"),
+        F.coalesce("tokens", F.lit(0)).cast("bigint").alias("tokens"),
+        replies.checked_reply("coalesce(raw, '')").alias("checked"),
     )
     return settle(checked, ["chunk_id"], F.struct("raw", "tokens", "checked").alias("answer"))
 

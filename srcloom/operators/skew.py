@@ -5,40 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key with this many rows is spread over ``SALTS`` tasks; fewer rows fit one task.
-HOT_ROWS = 1_000_000
-SALTS = 256
-# Keys looked up as hot. Only which keys are spread depends on it, never the result.
-HOT_KEYS = 1000
 
-
-def hot_keys(table: DataFrame, key: str, hot_rows: int | None = None) -> list:
-    """The most frequent keys with at least ``hot_rows`` rows, ``HOT_KEYS`` of them at most.
-
-    Counts combine on the map side, so this costs one pass over the key column.
-    """
-    counts = table.where(F.col(key).isNotNull()).groupBy(key).count()
-    found = counts.where(F.col("count") >= (HOT_ROWS if hot_rows is None else hot_rows))
-    return [r[0] for r in found.orderBy(F.desc("count")).limit(HOT_KEYS).collect()]
-
-
-def join_unique(
-    table: DataFrame, lookup: DataFrame, key: str, how: str = "left", hot_rows: int | None = None
-) -> DataFrame:
+def join_unique(table: DataFrame, lookup: DataFrame, key: str, how: str = "left") -> DataFrame:
     """Join a table with a lookup of one row per key ('left', 'left_semi', 'left_anti', 'inner').
 
-    The lookup is the output of an aggregate on the key, so its side of the join has no
-    shuffle of its own and the adaptive skew join does not apply. Rows of hot keys get a
-    salt from their own values, which a retried task repeats, and the lookup rows of these
-    keys are repeated once per salt.
+    Nothing is counted beforehand: the adaptive join splits whichever partitions turn out large, by their bytes
+    and as many as there are, and repeats the lookup's side of each. It only does so where the join has
+    shuffled both sides itself. The lookup comes from an aggregate on the key and would be joined as it stands, so
+    a second key that is 0 in every row, but derived from the key at run time, asks for a shuffle of its own.
     """
-    hot = hot_keys(table, key, hot_rows)
-    if not hot:
-        return table.join(lookup, key, how)
-    is_hot = F.col(key).isin(hot)
-    others = [c for c in table.columns if c != key]
-    salt = F.pmod(F.xxhash64(*others), F.lit(SALTS)).cast("int") if others else F.lit(0)
-    salted = table.withColumn("_salt", F.when(is_hot, salt).otherwise(F.lit(0)))
-    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    repeated = lookup.withColumn("_salt", F.explode(salts))
-    return salted.join(repeated, [key, "_salt"], how).drop("_salt")
+    zero = F.pmod(F.xxhash64(F.col(key)), F.lit(1).cast("bigint")).alias("_zero")
+    left = table.select("*", zero)
+    return left.join(lookup.select("*", zero), [key, "_zero"], how).drop("_zero")

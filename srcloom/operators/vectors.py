@@ -8,12 +8,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from srcloom.operators.ordering import with_global_position
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 TOP_K = 5
-# Query vectors one task holds at a time; larger query tables are searched in slices.
-QUERY_SLICE = 1024
+# Vectors in a block; a task holds one block of queries and one of vectors at a time.
+BLOCK = 1024
 
 
 def squared_distance(vector: Column, query: Sequence[float]) -> Column:
@@ -23,6 +22,11 @@ def squared_distance(vector: Column, query: Sequence[float]) -> Column:
     return F.aggregate(squares, F.lit(0.0), lambda total, x: total + x)
 
 
+def comparable(vectors: DataFrame, dims: int, vector_column: str = "embedding") -> DataFrame:
+    """Rows with a vector of the given length; null ones and others have no distance."""
+    return vectors.where(F.col(vector_column).isNotNull() & (F.size(vector_column) == dims))
+
+
 def search(
     vectors: DataFrame,
     query: Sequence[float],
@@ -32,7 +36,7 @@ def search(
     vector_column: str = "embedding",
 ) -> DataFrame:
     """The k nearest rows to one query vector; filters apply before ranking, ties go by id."""
-    pool = vectors if where is None else vectors.where(where)
+    pool = comparable(vectors if where is None else vectors.where(where), len(query), vector_column)
     scored = pool.withColumn("distance", squared_distance(F.col(vector_column), query))
     return scored.orderBy("distance", id_column).limit(k)
 
@@ -45,88 +49,94 @@ def search_many(
     id_column: str = "vec_id",
     vector_column: str = "embedding",
 ) -> DataFrame:
-    """The k nearest rows for each row (query_id, query) of a query table.
+    """The k nearest rows for each row (query_id, query) of a query table; ids of any type.
 
-    A task holds at most ``QUERY_SLICE`` query vectors and keeps k rows per query, so no
-    pair of query and vector is ever a row. A larger query table is searched slice by
-    slice, each with a pass over the vectors.
+    Both tables are packed into blocks of rows, and every block of queries meets every block of vectors in
+    a task, which keeps k rows per query: no pair of query and vector is ever a row, and no table passes through
+    the driver. Vectors and queries that are null are left out; those of different lengths do not meet.
     """
     pool = vectors if where is None else vectors.where(where)
-    pool = pool.where(F.col(vector_column).isNotNull()).select(id_column, vector_column)
-    first = queries.select("query_id", "query").limit(QUERY_SLICE + 1).toPandas()
-    if len(first) <= QUERY_SLICE:
-        nearest = _nearest_in_tasks(pool, first, k, id_column, vector_column)
-    else:
-        numbered = with_global_position(queries.select("query_id", "query"), ["query_id"])
-        total = numbered.count()
-        parts = []
-        for low in range(0, total, QUERY_SLICE):
-            inside = (F.col("position") > low) & (F.col("position") <= low + QUERY_SLICE)
-            part = numbered.where(inside).select("query_id", "query").toPandas()
-            parts.append(_nearest_in_tasks(pool, part, k, id_column, vector_column))
-        nearest = parts[0]
-        for part in parts[1:]:
-            nearest = nearest.unionByName(part)
-    # A query has k rows per task here.
+    points = queries.where(F.col("query").isNotNull()).select(
+        F.col("query_id").alias("id"), F.col("query").cast("array<double>").alias("v")
+    )
+    rows = pool.where(F.col(vector_column).isNotNull()).select(
+        F.col(id_column).alias("id"), F.col(vector_column).cast("array<double>").alias("v")
+    )
+    query_type, id_type = points.schema["id"].dataType, rows.schema["id"].dataType
+    pairs = _blocks(rows, "v").crossJoin(_blocks(points, "q"))
+    schema = StructType(
+        [StructField("query_id", query_type), StructField(id_column, id_type), StructField("distance", DoubleType())]
+    )
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for ids, own, query_ids, wanted in batch[["v_ids", "v_rows", "q_ids", "q_rows"]].itertuples(index=False):
+                found = _nearest(list(ids), np.stack(own), list(query_ids), np.stack(wanted), k)
+                yield pd.DataFrame(found, columns=schema.names)
+
+    nearest = pairs.where(F.col("v_dims") == F.col("q_dims")).mapInPandas(run, schema)
+    # A query has k rows per block here; first each task's, then all of a query.
     ranked = Window.partitionBy("query_id").orderBy("distance", id_column)
     return nearest.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
 
 
-def _nearest_in_tasks(
-    pool: DataFrame, queries: pd.DataFrame, k: int, id_column: str, vector_column: str
-) -> DataFrame:
-    ids = queries["query_id"].tolist()
-    points = np.array(queries["query"].tolist(), dtype="float64").reshape(len(ids), -1)
+def _blocks(rows: DataFrame, name: str) -> DataFrame:
+    """Rows of (id, v) as blocks of at most ``BLOCK`` vectors of one length."""
+    schema = StructType(
+        [
+            StructField(f"{name}_dims", IntegerType()),
+            StructField(f"{name}_ids", ArrayType(rows.schema["id"].dataType)),
+            StructField(f"{name}_rows", ArrayType(ArrayType(DoubleType()))),
+        ]
+    )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, dtype="int64"))] * len(ids)
+        held: dict[int, tuple[list, list]] = {}
         for batch in batches:
-            if batch.empty:
-                continue
-            keys = batch[id_column].to_numpy()
-            matrix = np.array(batch[vector_column].tolist(), dtype="float64")
-            for q, point in enumerate(points):
-                found = ((matrix - point) ** 2).sum(axis=1)
-                distance = np.concatenate([best[q][0], found])
-                key = np.concatenate([best[q][1], keys])
-                keep = np.lexsort((key, distance))[:k]
-                best[q] = (distance[keep], key[keep])
-        for q, (distance, key) in enumerate(best):
-            if len(key):
-                yield pd.DataFrame({"query_id": ids[q], id_column: key, "distance": distance})
-
-    return pool.mapInPandas(run, f"query_id bigint, {id_column} bigint, distance double")
-
-
-def search_approximate(
-    vectors: DataFrame,
-    query: Sequence[float],
-    k: int = TOP_K,
-    bucket_length: float = 0.5,
-    tables: int = 8,
-    vector_column: str = "embedding",
-) -> DataFrame:
-    """The k nearest among rows that share a random-projection bucket with the query."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.linalg import Vectors
-
-    data = vectors.withColumn("features", array_to_vector(F.col(vector_column).cast("array<double>")))
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="buckets", bucketLength=bucket_length, numHashTables=tables, seed=7
-    )
-    found = lsh.fit(data).approxNearestNeighbors(data, Vectors.dense(list(query)), k, distCol="distance")
-    return found.drop("features", "buckets")
+            for key, vector in batch.itertuples(index=False):
+                ids, own = held.setdefault(len(vector), ([], []))
+                ids.append(key)
+                own.append(vector)
+                if len(ids) == BLOCK:
+                    yield pd.DataFrame([(len(vector), ids, own)], columns=schema.names)
+                    del held[len(vector)]
+        for dims, (ids, own) in held.items():
+            yield pd.DataFrame([(dims, ids, own)], columns=schema.names)
+
+    return rows.mapInPandas(run, schema)
+
+
+def _nearest(ids: list, own: np.ndarray, query_ids: list, wanted: np.ndarray, k: int) -> list[tuple]:
+    """The k nearest of one block for each query of another, by one matrix product.
+
+    The product loses digits, so it only picks candidates: all within its error of the k-th distance. These are
+    ranked by exact differences.
+    """
+    squares = (own**2).sum(1)
+    sizes = (wanted**2).sum(1)
+    rough = sizes[:, None] + squares - 2 * (wanted @ own.T)
+    slack = 1e-9 * (sizes + squares.max() + 1)
+    last = np.partition(rough, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
+    found = []
+    for q, near in enumerate(rough <= (last + slack)[:, None]):
+        chosen = np.flatnonzero(near)
+        exact = ((own[chosen] - wanted[q]) ** 2).sum(1)
+        best = sorted(zip(exact.tolist(), [ids[i] for i in chosen]))[:k]
+        found += [(query_ids[q], key, distance) for distance, key in best]
+    return found
 
 
 def mean_vectors(vectors: DataFrame, group: str, vector_column: str = "embedding") -> DataFrame:
-    """Mean vector per group as (query_id, query), combined on the map side per dimension."""
-    items = vectors.select(group, F.posexplode(vector_column).alias("dim", "x"))
-    means = items.groupBy(group, "dim").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    ordered = F.array_sort(F.collect_list(F.struct("dim", "x")))
-    return means.groupBy(group).agg(F.transform(ordered, lambda p: p["x"]).alias("query")).select(
-        F.col(group).cast("bigint").alias("query_id"), "query"
+    """Mean vector per group as (query_id, query), summed on the map side as vectors."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    points = vectors.where(F.col(vector_column).isNotNull()).select(
+        F.col(group).cast("bigint").alias("query_id"),
+        array_to_vector(F.col(vector_column).cast("array<double>")).alias("_v"),
     )
+    means = points.groupBy("query_id").agg(Summarizer.mean(F.col("_v")).alias("_mean"))
+    return means.select("query_id", vector_to_array("_mean").alias("query"))
 
 
 def retrieval_accuracy(nearest: DataFrame, relevant: Column) -> DataFrame:

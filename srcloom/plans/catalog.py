@@ -16,6 +16,7 @@ from srcloom.operators.functions_table import (
     extract_functions,
     files_without_functions,
     parse_files,
+    rejected_blocks,
 )
 from srcloom.plans import tables
 from srcloom.plans.analysis import analyze_parsed, chunk_rows
@@ -69,12 +70,6 @@ def _reused_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- scans, sources, sinks ------------------------------------------------------------------
 
 
-@query
-def scan_files_(spark, sf_dir):
-    found = scan_files(spark, sf_dir, suffixes=(".parquet",))
-    return found.select(tx.file_name(F.col("path")).alias("name"), "length").orderBy("name")
-
-
 def _raw_files(spark, sf_dir):
     """File bytes of three kinds: UTF-8, UTF-8 with CRLF, and bytes that are not UTF-8."""
     files = tables.files(spark, sf_dir)
@@ -156,20 +151,6 @@ def token_estimate(spark, sf_dir):
     return files.select("path", tx.token_estimate(F.col("content")).alias("tokens"))
 
 
-@query
-def token_bpe(spark, sf_dir):
-    from srcloom.functions.bpe import Encoding, bpe_token_counter
-
-    # A rank table by rule: every byte, then the letter pairs in order.
-    singles = [bytes([i]) for i in range(256)]
-    letters = b"abcdefghijklmnopqrstuvwxyz"
-    pairs = [bytes([a, b]) for a in letters for b in letters]
-    ranks = {t: i for i, t in enumerate(singles + pairs)}
-    count = bpe_token_counter(Encoding(r"\S+|\s+", ranks))
-    files = tables.files(spark, sf_dir)
-    return files.select("path", count(F.col("content")).alias("tokens"))
-
-
 @query
 def strip_comments(spark, sf_dir):
     html = spread(tables.table(spark, sf_dir, "pages"), "page_id")
@@ -259,6 +240,12 @@ def parse_status(spark, sf_dir):
     )
 
 
+@query
+def parse_rejects(spark, sf_dir):
+    rejected = rejected_blocks(parse_files(tables.sources(spark, sf_dir)))
+    return rejected.withColumn("start_line", F.col("start_line").cast("bigint"))
+
+
 @query
 def extract_includes(spark, sf_dir):
     found = ck.extract_includes(tables.sources(spark, sf_dir))
@@ -321,7 +308,7 @@ def overlap_window(spark, sf_dir):
 @query
 def chunk_context(spark, sf_dir):
     rows = ck.chunk_context(parse_files(tables.sources(spark, sf_dir)))
-    return rows.select("id", "file_path", F.md5("context").alias("digest"))
+    return rows.select("id", "file_path", F.md5("context").alias("digest"), F.col("context_truncated").alias("truncated"))
 
 
 @query
@@ -579,11 +566,6 @@ def distinct_token_counts(spark, sf_dir):
     return ck.distinct_token_counts(tables.files(spark, sf_dir), "content")
 
 
-@query
-def memo_stats(spark, sf_dir):
-    return ck.memo_stats(ck.distinct_token_counts(tables.files(spark, sf_dir), "content"))
-
-
 # --- windows, sorts, set operations ------------------------------------------------------------------
 
 
@@ -621,8 +603,19 @@ def dedup_chunks(spark, sf_dir):
 
 @query
 def rate_slots(spark, sf_dir):
+    """Every request with the limits its minute keeps: the sums of its slot are checked, not its number."""
     requests = tables.attempts(spark, sf_dir).select("event_id", F.col("user_id").alias("tokens"))
-    return ordering.rate_slots(requests, ["event_id"], "tokens")
+    placed = written(ordering.rate_slots(requests, ["event_id"], "tokens"), "slots")
+    sums = placed.groupBy("slot").agg(F.count("*").alias("n"), F.sum("tokens").alias("total"))
+    checked = sums.select("slot", ((F.col("n") <= 500) & (F.col("total") <= 10000)).alias("within_limits"))
+    return placed.join(checked, "slot").select("event_id", "tokens", "position", "within_limits", "over_limit")
+
+
+@query
+def oversize(spark, sf_dir):
+    return ck.oversize(chunk_rows(_functions(spark, sf_dir), max_tokens=2**31 - 1), MAX_TOKENS).select(
+        "file_path", "chunk_name", F.col("start_line").cast("bigint").alias("start_line"), "tokens"
+    )
 
 
 # --- vectors ---------------------------------------------------------------------------------------
@@ -659,13 +652,6 @@ def vector_search(spark, sf_dir):
     return vectors.search(table, center).select("vec_id", F.round("distance", 6).alias("distance"))
 
 
-@query
-def vector_lsh(spark, sf_dir):
-    table = tables.table(spark, sf_dir, "embeddings")
-    center = vectors.mean_vectors(table.withColumn("all", F.lit(0)), "all").first()["query"]
-    return vectors.search_approximate(table, center).select("vec_id", "distance")
-
-
 @query
 def retrieval_accuracy(spark, sf_dir):
     table = tables.table(spark, sf_dir, "embeddings")
@@ -676,13 +662,16 @@ def retrieval_accuracy(spark, sf_dir):
 
 @query
 def vector_upsert(spark, sf_dir):
-    """Vector table with the rows of one half of the labels replaced and others added."""
-    table = tables.table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    """Vector table with the rows of one half of the labels replaced and others added, vectors included."""
+    table = tables.table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
     incoming = table.select(
         F.when(F.col("label") < 5, F.col("vec_id")).otherwise(F.col("vec_id") + 1000000).alias("vec_id"),
         (F.col("label") + 100).alias("label"),
+        F.reverse("embedding").alias("embedding"),
     )
-    return snapshot.upsert(table, incoming, "vec_id")
+    done = snapshot.upsert(table, incoming, "vec_id")
+    ends = [F.col("embedding")[i].cast("double").alias(n) for i, n in ((0, "first"), (63, "last"))]
+    return done.select("vec_id", "label", F.size("embedding").cast("bigint").alias("dims"), *ends)
 
 
 # --- streams ----------------------------------------------------------------------------------------

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from srcloom.functions.csource import CONTROL_WORDS, QUALIFIER_WORDS, STORAGE_WORDS, TYPE_WORDS
+from srcloom.functions.cscan import CONTROL_WORDS, QUALIFIER_WORDS, STORAGE_WORDS, TYPE_WORDS
 from srcloom.functions.replies import FIELDS, OBJECT_FIELDS
 from srcloom.functions.text import CPP_HEADER_SUFFIXES, CPP_SUFFIXES, C_SUFFIXES, HEADER_SUFFIXES
 from srcloom.operators.documents import DocumentText
@@ -114,8 +114,7 @@ CTES["c_heads"] = r"""
     select b.path, c.content, last,
         substring(code, cast(start + 1 as bigint), cast(open - start - 1 as bigint)) as raw_head,
         start + length(regexp_extract(substring(code, cast(start + 1 as bigint), cast(open - start - 1 as bigint)), '^\s*')) as begins
-    from c_blocks b join c_code c on b.path = c.path join c_open o on b.path = o.path
-    where o.open_depth = 0"""
+    from c_blocks b join c_code c on b.path = c.path"""
 CTES["c_bodies"] = rf"""
     select path, regexp_extract(raw_head, '{_HEAD}', 1) as name,
         regexp_extract(raw_head, '{_HEAD}', 2) as params,
@@ -305,7 +304,7 @@ oracle(
 oracle("function_signature", "select file_path, start_line, signature, params, return_type from c_functions")
 oracle(
     "parse_status",
-    """select path, case when error <> '' then 'error' when functions = 0 then 'no functions' else 'parsed' end
+    """select path, case when error <> '' and functions > 0 then 'partial' when error <> '' then 'error' when functions = 0 then 'no functions' else 'parsed' end
         as status, error, functions from c_parsed""",
 )
 
@@ -386,7 +385,7 @@ CTES["c_context"] = r"""
             lambda n: concat('#define ', n))), chr(10)), 5000) as context from c_sources"""
 oracle(
     "chunk_context",
-    """select sha256(f.body) as id, f.file_path, md5(c.context) as digest
+    """select sha256(f.body) as id, f.file_path, md5(c.context) as digest, false as truncated
         from c_functions f join c_context c on f.file_path = c.path""",
 )
 oracle(
@@ -642,7 +641,6 @@ oracle(
     "distinct_token_counts",
     f"select sha256(content) as hash, {TOKENS.format('any_value(content)')} as tokens, count(*) as occurrences from c_files group by 1",
 )
-oracle("memo_stats", "select count(*) - count(distinct content) as hits, count(distinct content) as misses from c_files")
 
 # --- windows, sets -----------------------------------------------------------------------------------------
 oracle(
@@ -665,10 +663,19 @@ oracle(
 )
 oracle(
     "rate_slots",
-    """select event_id, tokens, position, cumulative_tokens,
-        greatest((cumulative_tokens - 1) // 10000, (position - 1) // 500, 0) as slot
-        from (select event_id, user_id as tokens, row_number() over (order by event_id) as position,
-            cast(sum(user_id) over (order by event_id) as bigint) as cumulative_tokens from events)""",
+    """select event_id, user_id as tokens, row_number() over (order by event_id) as position,
+        true as within_limits, user_id > 10000 as over_limit from events""",
+)
+oracle(
+    "oversize",
+    f"select file_path, chunk_name, start_line, tokens from c_all_chunks where tokens > {q.MAX_TOKENS}",
+)
+# The brand decides what no one closes; the line follows from the texts before it.
+oracle(
+    "parse_rejects",
+    f"""select path, cast(len(string_split(content, chr(10))) - 1 as bigint) as start_line, 'never closed' as reason
+        from c_sources s join part p on s.path = {t.SOURCE_PATH}
+        where p_brand = 'Brand#25' and {LANGUAGE.format('path')} = 'c'""",
 )
 
 # --- vectors -------------------------------------------------------------------------------------------------
@@ -713,8 +720,11 @@ oracle(
 )
 oracle(
     "vector_upsert",
-    """select vec_id, case when label < 5 then label + 100 else label end as label from embeddings
-        union all select vec_id + 1000000, label + 100 from embeddings where label >= 5""",
+    """select vec_id, case when label < 5 then label + 100 else label end as label, len(embedding) as dims,
+            cast(embedding[case when label < 5 then 64 else 1 end] as double) as first,
+            cast(embedding[case when label < 5 then 1 else 64 end] as double) as last from embeddings
+        union all select vec_id + 1000000, label + 100, len(embedding), cast(embedding[64] as double),
+            cast(embedding[1] as double) from embeddings where label >= 5""",
 )
 
 # --- streams ---------------------------------------------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 from functools import lru_cache
@@ -53,6 +55,16 @@ def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="srcloom-")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the Python workers, once for a session's context."""
+    context = spark.sparkContext
+    if getattr(context, "_srcloom_sent", None) is None:
+        package = os.path.dirname(os.path.abspath(__file__))
+        root, name = os.path.split(package)
+        context._srcloom_sent = shutil.make_archive(os.path.join(tempfile.mkdtemp(), name), "zip", root, name)
+        context.addPyFile(context._srcloom_sent)
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 

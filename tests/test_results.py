@@ -6,106 +6,88 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from srcloom.functions.replies import FIELDS, OBJECT_FIELDS
 from srcloom.operators import documents, graph, reports, results
 
 GOOD = {
-    "function_role": "adds",
-    "behavior": {"normal_case": "n", "special_cases": ["s"], "error_cases": []},
-    "data_flow": {"inputs": "i", "outputs": "o", "side_effects": "none"},
+    "function_role": "sums two ports",
+    "behavior": {"normal_case": "returns the sum", "special_cases": ["wraps at 2^32"], "error_cases": []},
+    "data_flow": {"inputs": "p, q", "outputs": "sum", "side_effects": "sets a flag"},
     "call_graph": {"calls": ["helper"], "called_by": ["main"]},
-    "state_management": "none",
-    "assumptions": "a",
-    "notes": "x",
+    "state_management": "one static flag",
+    "assumptions": "ports are open",
+    "notes": "kept from the first release",
 }
+TEXT = json.dumps(GOOD)
 
 
 def variant(**changes):
-    reply = json.loads(json.dumps(GOOD))
+    """The good reply with other values at some paths; ``...`` takes a key out."""
+    reply = json.loads(TEXT)
     for path, value in changes.items():
-        keys = path.split("__")
+        *outer, last = path.split("__")
         target = reply
-        for key in keys[:-1]:
+        for key in outer:
             target = target[key]
-        if value is KeyError:
-            del target[keys[-1]]
+        if value is ...:
+            del target[last]
         else:
-            target[keys[-1]] = value
+            target[last] = value
     return json.dumps(reply)
 
 
-def expected(text):
-    """Python reading of a reply: (json found, failing fields)."""
-    def first():
-        try:
-            return json.loads(text)
-        except json.JSONDecodeError:
-            pass
-        at = text.find("{")
-        if at < 0:
-            return None
-        try:
-            return json.JSONDecoder().raw_decode(text, at)[0]
-        except json.JSONDecodeError:
-            pass
-        if "```json" in text:
-            start = text.find("```json") + 7
-            end = text.find("```", start)
-            if end >= 0:
-                try:
-                    return json.JSONDecoder().raw_decode(text[start:end].strip())[0]
-                except json.JSONDecodeError:
-                    pass
-        return None
-
-    data = first()
-    if not isinstance(data, dict):
-        return ["json"]
-    bad = [o for o in OBJECT_FIELDS if not isinstance(data.get(o), dict)]
-    for f in FIELDS:
-        holder = data if f.parent is None else data.get(f.parent)
-        if not isinstance(holder, dict):
-            continue
-        if f.column not in holder:
-            ok = not f.required
-        else:
-            value = holder[f.column]
-            if f.kind == "string":
-                ok = isinstance(value, str) and (len(value) > 0 or not f.nonempty)
-            else:
-                ok = isinstance(value, list) and all(isinstance(x, str) for x in value)
-        if not ok:
-            bad.append(f.path)
-    return bad
-
-
-TEXTS = [
-    json.dumps(GOOD), json.dumps(GOOD, indent=4), "  \n" + json.dumps(GOOD) + "\n ",
-    "Some text before\n```json\n" + json.dumps(GOOD) + "\n```\nafter",
-    "Here it is:\n" + json.dumps(GOOD) + "\nThat's it! {more} braces }",
-    "This is not JSON at all", "", "{broken", "{'a': 1} then ```json\n" + json.dumps(GOOD) + "\n```",
-    json.dumps([GOOD]), json.dumps("text {x}"), "42", "null", "[]", "{}", '{"function_role": "Incomplete"}',
-    variant(function_role=""), variant(function_role=" "), variant(function_role=7), variant(function_role=None),
-    variant(behavior__normal_case=""), variant(behavior__special_cases=None), variant(behavior__special_cases=[1]),
-    variant(behavior__special_cases=["a", None]), variant(behavior__special_cases=[None]),
-    variant(behavior__special_cases=KeyError), variant(behavior__error_cases="x"), variant(behavior=None),
-    variant(behavior=[]), variant(data_flow={}), variant(call_graph={}), variant(call_graph=KeyError),
-    variant(notes=KeyError), variant(notes=None), variant(notes=""), variant(data_flow__inputs={"a": 1}),
-    variant(call_graph__calls=["a", 1]), variant(state_management=KeyError, assumptions=True), variant(extra={"a": [1]}),
-    variant(function_role="a \"quoted\" {brace} \\n é  "),
+# Replies and the fields that fail in each, spelled out.
+REPLIES = [
+    (TEXT, []),
+    (json.dumps(GOOD, indent=2), []),
+    (f"\n\n {TEXT}\t", []),
+    (f"Sure, see below. {TEXT} Anything else? {{ }}", []),
+    (f"Result:\n```json\n{TEXT}\n```\nDone.", []),
+    (f"{{not yet}} but then\n```json\n{TEXT}\n```", []),
+    (variant(extra={"depth": [1, 2]}), []),
+    (variant(notes=...), []),
+    (variant(notes=""), []),
+    (variant(behavior__special_cases=..., behavior__error_cases=...), []),
+    (variant(call_graph={}), []),
+    (variant(function_role=" "), []),
+    (variant(function_role='says "{stop}" \\n ü'), []),
+    ("", ["json"]),
+    ("sorry, nothing", ["json"]),
+    ("{oops", ["json"]),
+    ("17", ["json"]),
+    ("null", ["json"]),
+    ("[]", ["json"]),
+    (f"[{TEXT}]", ["json"]),
+    ('"a text with {braces}"', ["json"]),
+    ("{}", ["behavior", "data_flow", "call_graph", "function_role", "state_management", "assumptions"]),
+    ('{"function_role": "half"}', ["behavior", "data_flow", "call_graph", "state_management", "assumptions"]),
+    (variant(function_role=""), ["function_role"]),
+    (variant(function_role=3), ["function_role"]),
+    (variant(function_role=None), ["function_role"]),
+    (variant(behavior__normal_case=""), ["behavior.normal_case"]),
+    (variant(behavior__special_cases=None), ["behavior.special_cases"]),
+    (variant(behavior__special_cases=[2]), ["behavior.special_cases"]),
+    (variant(behavior__special_cases=["x", None]), ["behavior.special_cases"]),
+    (variant(behavior__error_cases="one"), ["behavior.error_cases"]),
+    (variant(behavior=None), ["behavior"]),
+    (variant(behavior=[]), ["behavior"]),
+    (variant(call_graph=...), ["call_graph"]),
+    (variant(call_graph__calls=["x", 9]), ["call_graph.calls"]),
+    (variant(data_flow={}), ["data_flow.inputs", "data_flow.outputs", "data_flow.side_effects"]),
+    (variant(data_flow__inputs={"p": 1}), ["data_flow.inputs"]),
+    (variant(state_management=..., assumptions=False), ["state_management", "assumptions"]),
+    (variant(notes=None), ["notes"]),
 ]
 
 
-def test_validation_against_python(spark):
-    df = spark.createDataFrame(list(enumerate(TEXTS)), "i int, raw string")
+def test_validation(spark):
+    df = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(REPLIES)], "i int, raw string")
     rows = {r.i: r for r in results.validate_responses(df, "raw").collect()}
-    for i, text in enumerate(TEXTS):
-        assert rows[i].errors == expected(text), text
-        assert (rows[i].error is None) == (rows[i].errors == []) == (rows[i].reply is not None)
+    for i, (text, failing) in enumerate(REPLIES):
+        assert rows[i].errors == failing, text
+        assert (rows[i].error is None) == (failing == []) == (rows[i].reply is not None)
     assert rows[0].reply.asDict(recursive=True) == GOOD
-    assert rows[TEXTS.index(variant(notes=KeyError))].reply.notes == ""
-    assert rows[TEXTS.index(variant(call_graph={}))].reply.call_graph.calls == []
-    assert rows[TEXTS.index(variant(function_role="a \"quoted\" {brace} \\n é  "))].reply.function_role.startswith('a "q')
+    assert rows[7].reply.notes == "" and rows[10].reply.call_graph.calls == []
+    assert rows[12].reply.function_role == 'says "{stop}" \\n ü'
 
 
 def test_repeated_key_keeps_last(spark):
@@ -130,13 +112,21 @@ def result_rows(spark):
 def test_results_keep_failures(spark):
     rows = {r.chunk_name: r for r in result_rows(spark).collect()}
     ok, bad, missing = rows["f0"], rows["f1"], rows["f2"]
-    assert (ok.status, ok.tokens_used, ok.function_role, ok.call_graph.calls) == ("ok", 150, "adds", ["helper"])
+    assert (ok.status, ok.tokens_used, ok.function_role, ok.call_graph.calls) == ("ok", 150, "sums two ports", ["helper"])
     assert (bad.status, bad.tokens_used, bad.raw_response) == ("invalid", 50, "nonsense")
     assert bad.function_role.startswith("[analysis failed]No JSON object")
     assert len(bad.behavior.special_cases) == len(bad.call_graph.called_by) == 1
     assert (missing.status, missing.tokens_used, missing.raw_response) == ("missing", 0, "")
 
 
+def test_replies_are_chosen_without_sorting_texts(spark):
+    table = spark.createDataFrame([("a", "long old", 99, 1), ("a", "new", 2, 2)], "chunk_id string, raw string, tokens bigint, version int")
+    latest = results.latest_replies(table, "version")
+    assert latest.first().answer.raw == "new" and results.latest_replies(table).first().answer.raw == "long old"
+    plan = latest._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "WindowGroupLimit" in plan
+
+
 def test_null_reply_and_usage(spark):
     replies = spark.createDataFrame([("id0", None, None)], "chunk_id string, raw string, tokens bigint")
     row = results.assemble_results(results.join_responses(chunk_table(spark, 1), replies)).first()
@@ -234,7 +224,7 @@ def test_document_blocks_join_to_one_document(spark):
     (few, text), (many, same) = document(500), document(1)
     assert (few, many) == (3, 4) and text == same
     assert text.startswith("# a.c\n\n**Path**: `src/a.c`\n**Language**: c\n**Functions**: 2\n\n---\n")
-    assert "### `f0`\n\n#### Role\nadds\n" in text and "**Error cases**" in text.split("### `f1`")[1]
+    assert "### `f0`\n\n#### Role\nsums two ports\n" in text and "**Error cases**" in text.split("### `f1`")[1]
     assert "**Error cases**" not in text.split("### `f1`")[0]
     assert text.endswith("---\n\n\n*Generated document.*\n")
     incremental = documents.document_rows(result_rows(spark)).orderBy("file_path", "part", "position").collect()

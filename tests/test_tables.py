@@ -28,24 +28,60 @@ def test_positions_with_a_hot_key(spark):
 
 
 @pytest.mark.parametrize("how", ["left", "left_semi", "left_anti", "inner"])
-@pytest.mark.parametrize("hot_rows", [100, 10**9])
-def test_join_with_a_hot_key(spark, how, hot_rows):
-    """A third of the rows share one key; salting it changes no row."""
-    rows = spark.range(3000).selectExpr("if(id % 3 = 0, 'hot', concat('k', id % 50)) as k", "id")
-    lookup = spark.createDataFrame([("hot", 1), *[(f"k{i}", i) for i in range(20)]], "k string, v int")
-    assert skew.hot_keys(rows, "k", 100) == ["hot"]
-    got = skew.join_unique(rows, lookup, "k", how, hot_rows)
+def test_join_with_hot_keys(spark, how):
+    """A third of the rows share one key, and more than 1,000 others are frequent."""
+    rows = spark.range(30000).selectExpr("if(id % 3 = 0, 'hot', concat('k', id % 1500)) as k", "id")
+    lookup = rows.selectExpr("k").distinct().where("k = 'hot' or k < 'k3'").selectExpr("k", "length(k) as v")
+    jobs = spark.sparkContext.statusTracker()
+    before = len(jobs.getJobIdsForGroup())
+    got = skew.join_unique(rows, lookup, "k", how)
+    assert len(jobs.getJobIdsForGroup()) == before
     plain = rows.join(lookup, "k", how)
     assert got.columns == plain.columns
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
 
 
-def test_rate_slots(spark):
-    rows = spark.createDataFrame([(i, 3000) for i in range(8)], "i int, tokens bigint")
-    slots = ordering.rate_slots(rows, ["i"], "tokens").orderBy("i").collect()
-    assert [r.slot for r in slots] == [0, 0, 0, 1, 1, 1, 2, 2]
+def test_a_hot_partition_is_split(spark):
+    settings = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+    }
+    old = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(0, 60000, 1, 8).selectExpr("if(id % 3 = 0, 'hot', concat('k', id)) as k", "id")
+        lookup = rows.groupBy("k").agg(F.count("*").alias("n"))
+        joined = skew.join_unique(rows, lookup, "k")
+        assert joined.count() == 60000
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def limits_hold(rows, requests, tokens):
+    sums = {}
+    for r in rows:
+        sums.setdefault(r.slot, []).append(r.tokens)
+    assert all(len(t) <= requests and (sum(t) <= tokens or len(t) == 1) for t in sums.values())
+    assert [r.slot for r in rows] == sorted(r.slot for r in rows) and set(sums) == set(range(len(sums)))
+    return len(sums)
+
+
+@pytest.mark.parametrize("sizes", [[3000] * 8, [1] * 2500 + [60] * 500, [0, 9999, 2, 9999, 10000, 1, 20000, 5], [None, 7] * 300])
+def test_rate_slots_keep_both_limits(spark, sizes):
+    rows = spark.createDataFrame(list(enumerate(sizes)), "i int, tokens bigint").fillna(0)
+    placed = ordering.rate_slots(rows, ["i"], "tokens").orderBy("i").collect()
+    used = limits_hold(placed, 500, 10000)
+    whole = sum(max(r.tokens / 10000, 1 / 500) for r in placed)
+    assert used <= 2 * whole + 1
+    assert [r.over_limit for r in placed] == [r.tokens > 10000 for r in placed]
     one = ordering.rate_slots(rows, ["i"], "tokens", requests_per_minute=1).orderBy("i").collect()
-    assert [r.slot for r in one] == list(range(8))
+    assert limits_hold(one, 1, 10000) == len(sizes)
 
 
 def test_retries(spark):
@@ -107,19 +143,35 @@ def test_vector_search(points):
     assert [r.vec_id for r in some.collect()] == nearest(data, data[7], 4, lambda i: i % 4 == 2)
 
 
-@pytest.mark.parametrize("per_slice", [1024, 7])
-def test_many_queries_in_slices(spark, points, monkeypatch, per_slice):
-    monkeypatch.setattr(vectors, "QUERY_SLICE", per_slice)
+@pytest.mark.parametrize("block", [1024, 7])
+def test_many_queries_in_blocks(points, monkeypatch, block):
+    monkeypatch.setattr(vectors, "BLOCK", block)
     data, table = points
     queries = table.where("vec_id >= 380").selectExpr("vec_id as query_id", "embedding as query")
     got = vectors.search_many(table, queries, 3).orderBy("query_id", "rank").collect()
     assert [r.vec_id for r in got] == [i for q in range(380, 400) for i in nearest(data, data[q], 3)]
 
 
-def test_approximate_recall(points):
+def test_odd_vectors(spark):
+    rows = [("a", [0.0, 0.0]), ("b", None), ("c", [1.0, 0.0, 5.0]), ("d", [3.0, 4.0]), ("e", [0.0, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id string, embedding array<double>")
+    assert [(r.vec_id, r.distance) for r in vectors.search(table, [0.0, 0.0], 2).collect()] == [("a", 0.0), ("e", 0.0)]
+    queries = spark.createDataFrame([("x", [0.0, 0.0]), ("y", None), ("z", [1.0])], "query_id string, query array<double>")
+    got = vectors.search_many(table, queries, 3).orderBy("rank").collect()
+    assert [(r.query_id, r.vec_id, r.distance) for r in got] == [("x", "a", 0.0), ("x", "e", 0.0), ("x", "d", 25.0)]
+    assert vectors.search_many(table, queries.limit(0), 3).count() == 0
+
+
+def test_many_queries_do_not_pass_through_the_driver(spark, points, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
     data, table = points
-    found = {r.vec_id for r in vectors.search_approximate(table, data[7].tolist(), 5, bucket_length=2.0).collect()}
-    assert len(found & set(nearest(data, data[7], 5))) >= 4
+    queries = spark.range(5000).selectExpr("id as query_id", "transform(sequence(1, 8), x -> double(x + id % 7)) as query")
+    with monkeypatch.context() as patched:
+        for name in ("collect", "toPandas", "toLocalIterator", "first", "count"):
+            patched.setattr(DataFrame, name, None)
+        found = vectors.search_many(table, queries, 2)
+    assert found.count() == 10000
 
 
 def test_retrieval_accuracy(spark):
