@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from srcloom.functions import csource
@@ -186,7 +186,8 @@ def with_file_context(parsed: DataFrame, max_tokens: int = CONTEXT_MAX_TOKENS) -
 
 def chunk_context(parsed: DataFrame, max_tokens: int = CONTEXT_MAX_TOKENS) -> DataFrame:
     """Chunks with the context of their file, taken from the file's own row."""
-    rows = with_file_context(parsed, max_tokens).select(
+    with_context = parsed if "context" in parsed.columns else with_file_context(parsed, max_tokens)
+    rows = with_context.select(
         F.col("path").alias("file_path"), "context", "context_truncated", F.explode("functions").alias("f")
     )
     return rows.select(
@@ -200,6 +201,15 @@ def chunk_context(parsed: DataFrame, max_tokens: int = CONTEXT_MAX_TOKENS) -> Da
     )
 
 
+def distinct_chunks(chunks: DataFrame) -> DataFrame:
+    """Of each content id the chunk of the smallest path and line, which a prompt is made of.
+
+    Each task keeps one row of an id before the shuffle.
+    """
+    first = Window.partitionBy("id").orderBy("file_path", "start_line")
+    return chunks.withColumn("_place", F.row_number().over(first)).where("_place = 1").drop("_place")
+
+
 def extract_includes(files: DataFrame) -> DataFrame:
     names = F.posexplode(csource.include_names(F.col("content"))).alias("pos", "include")
     return files.select("path", names).select("path", (F.col("pos") + 1).alias("position"), "include")

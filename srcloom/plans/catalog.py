@@ -19,8 +19,8 @@ from srcloom.operators.functions_table import (
     rejected_blocks,
 )
 from srcloom.plans import tables
-from srcloom.plans.analysis import analyze_parsed, chunk_rows
-from srcloom.session import spread, tune, written
+from srcloom.plans.analysis import analyze_parsed, chunk_rows, prompts_of
+from srcloom.session import new_folder, spread, tune, written
 from srcloom.sources import sinks
 from srcloom.sources.files import decoded, filter_sources, load_status, scan_files
 from srcloom.streaming import streams
@@ -311,6 +311,12 @@ def chunk_context(spark, sf_dir):
     return rows.select("id", "file_path", F.md5("context").alias("digest"), F.col("context_truncated").alias("truncated"))
 
 
+@query
+def run_prompts(spark, sf_dir):
+    prompts = prompts_of(parse_files(tables.sources(spark, sf_dir)), MAX_TOKENS)
+    return prompts.select("chunk_id", "file_path", F.md5("prompt").alias("digest"), F.col("context_truncated").alias("truncated"))
+
+
 @query
 def files_without_functions_(spark, sf_dir):
     empty = files_without_functions(parse_files(tables.sources(spark, sf_dir)))
@@ -696,6 +702,17 @@ def stream_append(spark, sf_dir):
     return streams.append_results(stream, transform)
 
 
+@query
+def stream_append_csv(spark, sf_dir):
+    """Replies as they arrive, appended to CSV files with a header each."""
+    stream = streams.file_stream(spark, f"{sf_dir}/part.parquet*").where(tables.REPLIED)
+    rows = stream.select(F.expr(tables.SOURCE_PATH).alias("file_path"), F.expr(tables.F_REPLY).alias("raw"))
+    folder = new_folder(spark, "csv")
+    streams.append_csv(rows, folder, new_folder(spark, "csv-log"))
+    back = spark.read.schema(rows.schema).option("header", True).option("multiLine", True).option("escape", '"').csv(folder)
+    return back.select("file_path", F.md5("raw").alias("digest"))
+
+
 @query
 def stream_dedup(spark, sf_dir):
     """Distinct event contents; all events lie within one expiry, so each shows once."""

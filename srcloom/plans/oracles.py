@@ -388,6 +388,14 @@ oracle(
     """select sha256(f.body) as id, f.file_path, md5(c.context) as digest, false as truncated
         from c_functions f join c_context c on f.file_path = c.path""",
 )
+oracle(
+    "run_prompts",
+    f"""select chunk_id, file_path, md5(concat({_text(_P.head)}, code, {_text(_P.middle)},
+            case when context = '' then '{_P.no_context}' else context end, {_text(_P.tail)})) as digest, false as truncated
+        from (select c.chunk_id, c.file_path, c.code, x.context,
+            row_number() over (partition by c.chunk_id order by c.file_path, c.start_line) as n
+            from c_chunks c join c_context x on c.file_path = x.path) where n = 1""",
+)
 oracle(
     "files_without_functions",
     """select path, case when error <> '' then 'error' else 'no functions' end as status
@@ -738,5 +746,6 @@ oracle(
         {_value('function_role', f"concat({_MARK}, left(error, 100))")} as function_role, tokens_used
         from c_stream_checked""",
 )
+oracle("stream_append_csv", "select file_path, md5(raw_response) as digest from c_stream")
 oracle("stream_dedup", "select distinct sha256(concat(event_type, props)) as hash from events")
 oracle("stream_stats", "select event_type, count(*) as n, cast(sum(user_id) as bigint) as tokens from events group by 1")

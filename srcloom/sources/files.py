@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,23 +13,58 @@ LOADED = "loaded"
 QUARANTINED = "quarantined"
 
 
+# Scheme and authority of a path; neither is a folder.
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:(?://[^/]*)?"
+MAX_LENGTH = "spark.sql.sources.binaryFile.maxLength"
+TOO_LARGE, UNREADABLE = "too large for a row", "unreadable"
+
+
+def plain_root(spark: SparkSession, root: str) -> str:
+    """A root as the paths below it begin in a scan: absolute, without scheme and authority."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return re.sub(_SCHEME, "", system.makeQualified(path).toString())
+
+
+def list_files(
+    spark: SparkSession, root: str, include_headers: bool = True, suffixes: tuple[str, ...] | None = None
+) -> DataFrame:
+    """Files below ``root`` (or ``root`` itself), filtered by suffix, with their bytes to be read on demand.
+
+    Files that cannot be read give no row, instead of ending the job; a missing root raises.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    binary = reader.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(root)
+    files = binary.select(F.regexp_replace("path", _SCHEME, "").alias("path"), "length", F.col("content").alias("bytes"))
+    if suffixes is not None:
+        return files.where(tx.suffix(F.col("path")).isin(*suffixes))
+    return filter_sources(files, include_headers)
+
+
 def scan_files(
     spark: SparkSession,
     root: str,
     include_headers: bool = True,
     suffixes: tuple[str, ...] | None = None,
 ) -> DataFrame:
-    """Files below ``root`` (or ``root`` itself) with their bytes, filtered by suffix.
+    """Files with their bytes, those apart that are too large for a row or cannot be read.
 
-    The filter is on the path alone, so Spark lists the files and reads none that fails it;
-    a missing root raises. Rows are unordered; sort by ``path`` at the sink.
+    Filters are on path and length, so Spark lists the files and reads none that fails one. Rows are
+    unordered; sort by ``path`` at the sink.
     """
-    binary = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    name = F.regexp_replace("path", r"^[a-z0-9]+:/+", "/")
-    files = binary.select(name.alias("path"), "length", F.col("content").alias("bytes"))
-    if suffixes is not None:
-        return files.where(tx.suffix(F.col("path")).isin(*suffixes))
-    return filter_sources(files, include_headers)
+    return list_files(spark, root, include_headers, suffixes).where(F.col("length") <= _most(spark))
+
+
+def unread_files(files: DataFrame, listed: DataFrame) -> DataFrame:
+    """(path, reason) of listed files that loading left out; both tables have paths of the same form."""
+    reason = F.when(F.col("length") > _most(files.sparkSession), TOO_LARGE).otherwise(UNREADABLE)
+    return listed.select("path", "length").join(files.select("path"), "path", "left_anti").select(
+        "path", reason.alias("reason")
+    )
+
+
+def _most(spark: SparkSession) -> int:
+    return int(spark.conf.get(MAX_LENGTH, str(2**31 - 1)))
 
 
 def filter_sources(files: DataFrame, include_headers: bool = True) -> DataFrame:
@@ -48,7 +85,7 @@ def decoded(raw: Column) -> Column:
 def load_files(files: DataFrame, root: str = "", raw: str = "bytes") -> DataFrame:
     """File records: path below root, name, content, language, hash, encoding, line count."""
     text = files.select("path", decoded(F.col(raw)).alias("text")).select("path", "text.*")
-    path = tx.relative_path(F.col("path"), root) if root else F.col("path")
+    path = tx.relative_path(F.col("path"), plain_root(files.sparkSession, root)) if root else F.col("path")
     return text.select(
         path.alias("path"),
         tx.file_name(F.col("path")).alias("name"),

@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_csv(table: DataFrame, folder: str, mode: str = "overwrite") -> None:
-    """CSV with a header in each part file, quotes doubled as in RFC 4180."""
-    table.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').csv(folder)
+# Quotes doubled, blanks kept, a header in each file.
+CSV = {
+    "header": "true", "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+}
 
 
-def append_csv(rows: DataFrame, folder: str) -> None:
-    write_csv(rows, folder, mode="append")
+def write_csv(table: DataFrame, folder: str, mode: str = "overwrite") -> None:
+    """CSV with a header in each part file, quotes doubled as in RFC 4180."""
+    table.write.mode(mode).options(**CSV).csv(folder)
 
 
 def write_json(table: DataFrame, folder: str, mode: str = "overwrite") -> None:

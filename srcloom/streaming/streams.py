@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from srcloom.session import new_folder
+from srcloom.sources.sinks import CSV
 
 TTL = "30 days"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -40,28 +42,52 @@ def append_results(stream: DataFrame, transform: Callable[[DataFrame], DataFrame
     return spark.read.parquet(sink)
 
 
-def dedup_within(stream: DataFrame, key: str, ts: str, ttl: str = TTL) -> DataFrame:
-    """First row per key; a key is forgotten once the watermark has passed its expiry.
+def dedup_into(stream: DataFrame, key: str, ts: str, sink: str, checkpoint: str, ttl: str = TTL) -> None:
+    """Append the first row of each key to a table; a key counts anew once ``ttl`` has passed since its last row there.
 
-    Event time comes from the data. State is bounded by the keys seen within the expiry.
+    Copies within a batch are combined on the map side, so a key with a third of the rows reaches the shuffle
+    once per task. What is left is compared with the keys written by earlier batches. Each batch has a folder of its own,
+    so a repeated one overwrites itself.
     """
-    timed = stream.withColumn(ts, F.col(ts).cast("timestamp"))
-    return timed.withWatermark(ts, ttl).dropDuplicatesWithinWatermark([key])
+    spark = stream.sparkSession
+    # Only the latest batch may run again, so a folder that exists for later ones is never read here.
+    expiry = F.expr(f"interval {ttl}")
+
+    def save(batch: DataFrame, number: int) -> None:
+        others = [c for c in batch.columns if c not in (key, ts)]
+        row = F.min(F.struct(F.col(ts).cast("timestamp").alias(ts), *others)).alias("_row")
+        firsts = batch.groupBy(key).agg(row).select(key, "_row.*").select(*batch.columns)
+        if number:
+            before = spark.read.schema(StructType([*firsts.schema.fields, StructField("batch", LongType())])).parquet(sink).where(F.col("batch") < number)
+            last = before.groupBy(F.col(key).alias("_key")).agg(F.max(ts).alias("_last"))
+            known = (F.col(key) == F.col("_key")) & (F.col("_last") + expiry >= F.col(ts))
+            firsts = firsts.join(last, known, "left_anti")
+        firsts.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+    query = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(save).trigger(availableNow=True)
+    query.start().awaitTermination()
 
 
 def dedup_results(stream: DataFrame, key: str, ts: str, ttl: str = TTL) -> DataFrame:
     spark = stream.sparkSession
     sink = new_folder(spark, "dedup")
-    run_available(dedup_within(stream, key, ts, ttl), sink, new_folder(spark, "dedup-log"))
-    return spark.read.parquet(sink)
+    dedup_into(stream, key, ts, sink, new_folder(spark, "dedup-log"), ttl)
+    return spark.read.parquet(sink).drop("batch")
+
+
+def append_csv(stream: DataFrame, folder: str, checkpoint: str) -> None:
+    """Append a stream's rows to CSV files with a header each; whole batches are committed, none twice."""
+    writer = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+    writer = writer.format("csv").option("path", folder).options(**CSV)
+    writer.trigger(availableNow=True).start().awaitTermination()
 
 
 def running_counters(stream: DataFrame, by: str, counters: dict[str, str]) -> DataFrame:
     """Counters per group in update mode: each batch rewrites the groups it changed.
 
     Groups are few (a status, an event type); ``counters`` maps names to SQL aggregates. The
-    sink keeps one folder per batch, so a repeated batch overwrites itself, and the value
-    of a group is that of its latest batch.
+    sink keeps one folder per batch with all groups so far, so a repeated batch overwrites itself and
+    the newest folder is the whole table.
     """
     spark = stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
@@ -69,8 +95,15 @@ def running_counters(stream: DataFrame, by: str, counters: dict[str, str]) -> Da
     sink = new_folder(spark, "counters")
 
     def save(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{sink}/batch={number}")
-
+        # Each folder holds the value of every group so far, so the latest one is the whole table.
+        latest = batch
+        if number:
+            before = spark.read.parquet(f"{sink}/batch={number - 1}")
+            latest = batch.unionByName(before.join(batch.select(by), before[by].eqNullSafe(batch[by]), "left_anti"))
+        latest.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        newest[0] = number
+
+    newest = [0]
     query = (
         counts.writeStream.outputMode("update")
         .option("checkpointLocation", new_folder(spark, "counters-log"))
@@ -79,6 +112,4 @@ def running_counters(stream: DataFrame, by: str, counters: dict[str, str]) -> Da
         .start()
     )
     query.awaitTermination()
-    history = spark.read.parquet(sink)
-    latest = F.max_by(F.struct(*counters), "batch").alias("c")
-    return history.groupBy(by).agg(latest).select(by, "c.*")
+    return spark.read.parquet(f"{sink}/batch={newest[0]}").select(by, *counters)

@@ -202,12 +202,22 @@ def test_stream_forgets_after_expiry(spark, tmp_path):
     sink, log = str(tmp_path / "out"), str(tmp_path / "log")
     for rows in ([("a", 0), ("b", 0), ("a", 5)], [("a", 10), ("z", 90)], [("a", 91), ("z", 92)]):
         batch(rows)
-        stream = streams.dedup_within(streams.file_stream(spark, source), "hash", "ts")
-        streams.run_available(stream, sink, log)
+        streams.dedup_into(streams.file_stream(spark, source), "hash", "ts", sink, log)
     got = sorted((r.hash, r.ts.strftime("%m-%d")) for r in spark.read.parquet(sink).collect())
     assert [h for h, _ in got] == ["a", "a", "b", "z"]
 
 
+def test_stream_appends_csv_with_headers(spark, tmp_path):
+    source, sink, log = (str(tmp_path / n) for n in ("in", "out", "log"))
+    for low in (0, 3):
+        spark.range(low, low + 3).selectExpr("id", "concat('say \"', id, '\",\n') as text").coalesce(1).write.mode("append").parquet(source)
+        streams.append_csv(streams.file_stream(spark, source), sink, log)
+    parts = glob.glob(f"{sink}/part-*.csv")
+    assert len(parts) == 2 and all(next(csv.reader(open(p))) == ["id", "text"] for p in parts)
+    rows = [r for p in parts for r in list(csv.reader(open(p)))[1:]]
+    assert sorted(rows) == [[str(i), f'say "{i}",\n'] for i in range(6)]
+
+
 def test_running_counters_over_batches(spark, tmp_path):
     source = str(tmp_path / "in")
     for low in (0, 10, 20):
@@ -217,39 +227,94 @@ def test_running_counters_over_batches(spark, tmp_path):
     assert got == {g: (10, sum(range(g, 30, 3))) for g in range(3)}
 
 
-def test_whole_run(spark, tmp_path):
-    root, out = tmp_path / "project", str(tmp_path / "out")
+@pytest.fixture()
+def project(tmp_path):
+    root = tmp_path / "project"
     (root / "sub").mkdir(parents=True)
-    (root / "calc.c").write_text("\nint add(int a, int b) {\n    return a + b;\n}\n\nint neg(int a) { return -a; }\n")
-    (root / "sub" / "calc.c").write_text("int mul(int a, int b) { return a * b; }\n")
+    (root / "calc.c").write_text("#include <a.h>\nint add(int a, int b) {\n    return a + b;\n}\n\nint neg(int a) { return -a; }\n")
+    (root / "sub" / "calc.c").write_text("struct s { int a; };\nint mul(int a, int b) { return a * b; }\n")
     (root / "x.cpp").write_text("int f() { return 1; }\n")
     (root / "empty.h").write_text("int add(int, int);\n")
+    (root / "large.c").write_text("int large(void) {\n" + "    step();\n" * 60 + "}\n")
+    (root / "huge.c").write_text("int huge;\n" * 300)
+    return root
+
+
+BODIES = {"add": "int add(int a, int b) {\n    return a + b;\n}", "mul": "int mul(int a, int b) { return a * b; }"}
+
+
+def answers(spark, versions=(1,)):
     from test_results import GOOD
 
-    bodies = {"add": "int add(int a, int b) {\n    return a + b;\n}", "mul": "int mul(int a, int b) { return a * b; }"}
-    answers = spark.createDataFrame(
-        [(b, json.dumps({**GOOD, "function_role": f"role, of \"{n}\"\nend"}), 100) for n, b in bodies.items()],
-        "body string, raw string, tokens bigint",
-    ).selectExpr("sha2(body, 256) as chunk_id", "raw", "tokens")
-    done = run(spark, str(root), answers, out, "demo")
-    stats = done.stats.first()
-    assert (stats.total_files, stats.successful_files, stats.failed_files) == (4, 2, 2)
-    assert (stats.total_chunks, stats.successful_chunks, stats.failed_chunks, stats.total_tokens) == (3, 2, 1, 200)
+    rows = [
+        (body, json.dumps({**GOOD, "function_role": f'role {v}, of "{name}"\nend'}), 100 + v, -v)
+        for name, body in BODIES.items()
+        for v in versions
+    ]
+    return spark.createDataFrame(rows, "body string, raw string, tokens bigint, version int").selectExpr(
+        "sha2(body, 256) as chunk_id", "raw", "tokens", "version"
+    )
+
+
+@pytest.mark.parametrize("scheme", ["", "file://"])
+def test_whole_run(spark, tmp_path, project, scheme):
+    out = str(tmp_path / "out")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "2000")
+    try:
+        done = run(spark, f"{scheme}{project}", answers(spark, (2, 1)), out, "demo", max_tokens=100, version="version", document_per_file=True)
+        stats = done.stats.first()
+        unread = [tuple(r) for r in done.unread.collect()]
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert unread == [("huge.c", "too large for a row")]
+    assert (stats.total_files, stats.successful_files, stats.failed_files) == (5, 2, 3)
+    assert (stats.total_chunks, stats.successful_chunks, stats.failed_chunks, stats.total_tokens) == (3, 2, 1, 202)
     reasons = {r.path: r.reason for r in done.outcomes.collect()}
-    assert reasons == {"calc.c": "", "sub/calc.c": "", "x.cpp": "C++ parsing is not supported", "empty.h": "no functions"}
+    assert reasons == {
+        "calc.c": "", "sub/calc.c": "", "x.cpp": "C++ parsing is not supported", "empty.h": "no functions", "large.c": "no chunks",
+    }
+    assert [(r.file_path, r.chunk_name) for r in done.oversize.collect()] == [("large.c", "large")]
+    assert [(r.path, r.start_line, r.reason) for r in done.rejects.collect()] == [("sub/calc.c", 1, "type")]
+    assert done.verdict.count() == 1 and {r.file_path for r in done.errors.collect()} == {"x.cpp", "calc.c"}
+    prompts = {r.file_path: r for r in done.prompts.where("start_line < 3").collect()}
+    assert "#include a.h" in prompts["calc.c"].prompt and "return a * b" in prompts["sub/calc.c"].prompt
+    for name in ("outcomes", "stats", "verdict", "errors", "oversize", "rejects", "unread"):
+        assert spark.read.option("header", True).csv(f"{out}/run/{name}").count() > 0
     found = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f"{out}/metrics/functions")
-    assert {(r.file, r.function, r.role) for r in found.collect()} == {
-        ("calc.c", "add", 'role, of "add"\nend'), ("sub/calc.c", "mul", 'role, of "mul"\nend'),
+    # The newer reply counts, although the older one has more tokens.
+    assert {(r.file, r.function, r.role, r.tokens) for r in found.collect()} == {
+        ("calc.c", "add", 'role 1, of "add"\nend', "101"), ("sub/calc.c", "mul", 'role 1, of "mul"\nend', "101"),
     }
     header = next(csv.reader(open(glob.glob(f"{out}/metrics/metrics/part-*.csv")[0])))
     assert header == ["category", "metric", "value"]
     files = "".join(open(p).read() for p in sorted(glob.glob(f"{out}/files/part-*")))
     assert "`calc.c`" in files and "`sub/calc.c`" in files
-    project = "".join(open(p).read() for p in sorted(glob.glob(f"{out}/project/part-*")))
-    assert project.startswith("# demo technical document") and "| [calc.c](files/sub/calc.c.md) | 1 | 1 |" in project
+    single = {p.split("file_path=")[1]: "".join(open(f).read() for f in glob.glob(f"{p}/part-*")) for p in glob.glob(f"{out}/documents/*=*")}
+    assert set(single) == {"calc.c", "sub%2Fcalc.c"} and single["calc.c"].startswith("# calc.c")
+    text = "".join(open(p).read() for p in sorted(glob.glob(f"{out}/project/part-*")))
+    assert text.startswith("# demo technical document") and "| [calc.c](files/sub/calc.c.md) | 1 | 2 |" in text
     assert spark.read.json(f"{out}/results").count() == 3
 
 
+def test_run_refuses_replies_without_a_version(spark, tmp_path, project):
+    with pytest.raises(ValueError, match="version"):
+        run(spark, str(project), answers(spark, (1, 2)), str(tmp_path / "out"), "demo")
+
+
+def test_run_with_a_function_that_replies(spark, tmp_path, project):
+    import pandas as pd
+    from test_results import TEXT
+
+    text = TEXT
+
+    def reply(prompts):
+        return pd.DataFrame({"raw": [text] * len(prompts), "tokens": prompts.str.len()})
+
+    done = run(spark, str(project), reply, str(tmp_path / "out"), "demo")
+    rows = done.results.collect()
+    assert {r.chunk_name for r in rows} == {"add", "neg", "mul", "large"} and all(r.status == "ok" for r in rows)
+
+
 def test_shared_folder_is_needed_on_a_cluster():
     from types import SimpleNamespace
 
