@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -13,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from srcloom.session import ship_package
+
 # Rows and bytes that go to Python at once; one longer text goes alone.
 BATCH_ROWS = 2000
 BATCH_BYTES = 8 << 20
@@ -27,12 +26,7 @@ LOWER = UPPER.lower()
 
 def arrow_ready(spark: SparkSession) -> SparkSession:
     """Send this package to the Python workers, once, and bound what one holds of a table."""
-    context = spark.sparkContext
-    if getattr(context, "_llm_sent", None) is None:
-        package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-        root, name = os.path.split(package)
-        context._llm_sent = shutil.make_archive(os.path.join(tempfile.mkdtemp(), name), "zip", root, name)
-        context.addPyFile(context._llm_sent)
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
