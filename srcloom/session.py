@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -52,7 +53,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 @lru_cache(maxsize=1)
 def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="srcloom-")
+    return _own_folder()
+
+
+def _own_folder() -> str:
+    """A temporary folder of this process, which is gone when it ends."""
+    folder = tempfile.mkdtemp(prefix="srcloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -61,7 +69,7 @@ def ship_package(spark: SparkSession) -> None:
     if getattr(context, "_srcloom_sent", None) is None:
         package = os.path.dirname(os.path.abspath(__file__))
         root, name = os.path.split(package)
-        context._srcloom_sent = shutil.make_archive(os.path.join(tempfile.mkdtemp(), name), "zip", root, name)
+        context._srcloom_sent = shutil.make_archive(os.path.join(_own_folder(), name), "zip", root, name)
         context.addPyFile(context._srcloom_sent)
 
 
