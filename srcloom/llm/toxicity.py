@@ -34,9 +34,8 @@ WIDTHS = (1, 2, 3)
 FILTERS = 8
 EMBEDDING = 12
 LEAST_DOCS = 3
-# The log odds of a bucket are pulled to none as if by so many documents for each toxic one in the sample: words of
-# a few copied texts prove little.
-SHRINK = 0.002
+# Documents by which the log odds of a bucket are pulled to none: words of a few copied texts prove little.
+SHRINK = 3
 MOST_KNOWN = 60_000
 EPOCHS = 12
 BATCH = 32
@@ -134,8 +133,8 @@ def fit(words: list[np.ndarray], label: np.ndarray, langs: list[str], held: np.n
     rng = np.random.default_rng(seed)
     pos, neg = target.sum(), len(target) - target.sum()
     t, c = toxic[order], counts[order] - toxic[order]
-    share, pull = pos / (pos + neg), SHRINK * pos
-    odds = np.log((t + pull * share) / pos) - np.log((c + pull * (1 - share)) / neg)
+    share = pos / (pos + neg)
+    odds = np.log((t + SHRINK * share) / pos) - np.log((c + SHRINK * (1 - share)) / neg)
     embedding = np.zeros((len(order) + 1, EMBEDDING))
     embedding[1:] = rng.normal(0, 0.05, (len(order), EMBEDDING))
     embedding[1:, 0] = np.clip(odds, -3, 6) / 3
