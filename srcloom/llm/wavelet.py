@@ -8,10 +8,10 @@ number of times a token occurs before a place, and the places where it occurs, w
 
 File format, little-endian: magic ``WVM1``; u32 bits, u64 ids, u64 documents; i64 doc_id and u64 first place of
 each document, u8 null flag of each id; u64 number of zeros of each plane; counts (u32) of all planes; planes (bytes, first
-id in the lowest bit). Files are rows of a Parquet table (part, shard, n_tokens, data), which Spark writes with its commit
-protocol, so a retried task leaves no half file; Parquet compresses the documents' entries and counts further.
+id in the lowest bit). Files are rows of a Parquet table (part, shard, start, n_tokens, data), which Spark writes with its commit
+protocol, so a retried task leaves no half file; part is the id range, start the ids of the part before the shard. Parquet compresses the documents' entries and counts further.
 
-``encode`` uses the tokenizers library; each whitespace-led stretch of a text is encoded once per worker
+``encode`` uses the tokenizers library; each stretch of text between blanks is encoded once per worker
 and memo, which is exact because the byte-level pattern never joins characters across the border in front of a lone blank. Texts
 where that does not hold (runs of white space around a blank, special tokens in the text) are encoded whole.
 
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import struct
 from array import array
 from collections.abc import Iterator
@@ -44,12 +45,13 @@ BLOCK = 512
 MAGIC = b"WVM1"
 HEAD = struct.Struct("<4sIQQ")
 # Stretches of text in a generation of a worker's memo; it holds two at most.
-MEMO = 400_000
+MEMO = 300_000
 
 SHARDS = StructType(
     [
         StructField("part", IntegerType()),
         StructField("shard", LongType()),
+        StructField("start", LongType()),
         StructField("n_tokens", LongType()),
         StructField("data", BinaryType()),
     ]
@@ -182,27 +184,58 @@ class Shard:
 CROWDED = re.compile(r"\s \s")
 
 
-class Stretches(dict):
-    """Ids by stretch, as packed bytes. A stretch not met before is encoded; when ``MEMO`` are held they become
-    the old generation, from which those met again are taken over, and the rest is forgotten."""
-
-    def __init__(self, tokenizer: Tokenizer, before: str) -> None:
-        super().__init__()
-        self.tokenizer, self.before, self.old = tokenizer, before, {}
-
-    def __missing__(self, stretch: str) -> bytes:
-        found = self.old.pop(stretch, None)
-        if found is None:
-            found = packed(self.tokenizer, self.before + stretch)
-        if len(self) >= MEMO:
-            self.old = dict(self)
-            self.clear()
-        self[stretch] = found
-        return found
-
-
-def packed(tokenizer: Tokenizer, text: str) -> bytes:
-    return array("I", tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+class Stretches:
+    """Ids of the stretches of text that follow a blank, as packed bytes, in two generations.
+
+    ``known`` serves look-ups. When it holds ``MEMO`` entries it becomes the old generation, from which those met
+    again are taken over, and the rest is forgotten. New words are encoded together, as one text of words
+    between blanks, and a word's marks behind it by themselves: the pattern cuts in front of each blank
+    and between letters and marks anyway.
+    """
+
+    def __init__(self, tokenizer: Tokenizer) -> None:
+        self.tokenizer = tokenizer
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def learn(self, stretches: set[str]) -> None:
+        if len(self.known) >= MEMO:
+            self.old, self.known = self.known, {}
+        need = stretches.difference(self.known)
+        if self.old:
+            again = need.intersection(self.old)
+            self.known.update((s, self.old[s]) for s in again)
+            need -= again
+        marked = {s: s.rstrip(string.punctuation) for s in need}
+        stems = [s for s in {*marked.values()}.difference(self.known) if s.isalpha()]
+        self.known.update(zip(stems, self._words(stems)))
+        others = [s for s, stem in marked.items() if not stem.isalpha()]
+        self.known.update(zip(others, self._each([f" {s}" for s in others])))
+        behind = [*({s[len(stem) :] for s, stem in marked.items() if stem.isalpha()} - {""})]
+        marks = dict(zip(behind, self._each(behind)))
+        for s, stem in marked.items():
+            if s not in self.known:
+                self.known[s] = self.known[stem] + marks[s[len(stem) :]]
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, each behind a blank."""
+        if not words:
+            return []
+        found = self.tokenizer.encode(" " + " ".join(words), add_special_tokens=False)
+        piece = np.array(found.word_ids, np.int64)
+        if piece[-1] + 1 != len(words):
+            # Letters to this Python that are none to the library.
+            return self._each([f" {w}" for w in words])
+        ends = (4 * np.searchsorted(piece, np.arange(len(words)), side="right")).tolist()
+        ids = packed(found.ids)
+        return [ids[start:end] for start, end in zip([0, *ends], ends)]
+
+
+def packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
 
 
 _loaded: list = [None, None]
@@ -216,22 +249,25 @@ def _tokenizer(stored: str) -> tuple[Tokenizer, list[str], Stretches]:
         made.no_truncation()
         made.no_padding()
         special = [t.content for t in made.get_added_tokens_decoder().values()]
-        _loaded[:] = [hash(stored), (made, special, Stretches(made, " "))]
+        _loaded[:] = [hash(stored), (made, special, Stretches(made))]
     return _loaded[1]
 
 
 def encode(stored: str, texts: list[str]) -> list[np.ndarray]:
     """Ids of each text by the tokenizers library; ``stored`` is the tokenizer file's content."""
-    tokenizer, special, known = _tokenizer(stored)
-    found = []
+    tokenizer, special, stretches = _tokenizer(stored)
+    rows, whole = [], []
     for text in texts:
-        if CROWDED.search(text) or any(s in text for s in special):
-            ids = packed(tokenizer, text)
-        else:
-            first, *others = text.split(" ")
-            ids = packed(tokenizer, first) + b"".join(map(known.__getitem__, others))
-        found.append(np.frombuffer(ids, np.uint32))
-    return found
+        apart = not (CROWDED.search(text) or any(s in text for s in special))
+        first, *others = text.split(" ") if apart else [text]
+        whole.append(first)
+        rows.append(others)
+    stretches.learn(set().union(*rows))
+    known = stretches.known.__getitem__
+    heads = tokenizer.encode_batch_fast(whole, add_special_tokens=False)
+    return [
+        np.frombuffer(packed(head.ids) + b"".join(map(known, others)), np.uint32) for head, others in zip(heads, rows)
+    ]
 
 
 def _shards(rows: Iterator[tuple[int | None, np.ndarray]], bits: int) -> Iterator[tuple[int, bytes]]:
@@ -274,8 +310,8 @@ def write_shards(docs: DataFrame, tokenizer_file: str, folder: str, end_id: int
             for batch in batches:
                 texts = batch.column(2).to_pylist()
                 places, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                for at in range(0, len(texts), 200):
-                    part = slice(at, at + 200)
+                for at in range(0, len(texts), 500):
+                    part = slice(at, at + 500)
                     for p, d, tokens in zip(places[part], ids[part], encode(shared.value, texts[part])):
                         yield p, d, np.append(tokens, np.uint32(end_id))
 
@@ -290,9 +326,11 @@ def write_shards(docs: DataFrame, tokenizer_file: str, folder: str, end_id: int
                     yield ahead[1], ahead[2]
                     ahead = next(rows)
 
+            before = 0
             for k, (size, data) in enumerate(_shards(own(), bits)):
-                columns = [pa.array([now], pa.int32()), pa.array([k]), pa.array([size]), pa.array([data], pa.binary())]
+                columns = [pa.array([now], pa.int32()), *[pa.array([n]) for n in (k, before, size)], pa.array([data], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=SHARDS.names)
+                before += size
 
     ordered.mapInArrow(run, SHARDS).write.parquet(folder)
 
@@ -301,15 +339,11 @@ def read_documents(shards: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of every document, from the shard files alone; ids are little-endian
     unsigned 32-bit numbers, start the number of ids in all files and documents before."""
     spark = arrow_ready(shards.sparkSession)
-    # Sums over parts are as many rows as there are id ranges; sums within a part are windows of its own.
-    sizes = shards.select("part", "shard", "n_tokens")
-    totals = sizes.groupBy("part").agg(F.sum("n_tokens").alias("_n"))
+    # One row per id range, MOST_RANGES at most: small enough for one window and for every task.
+    totals = shards.groupBy("part").agg(F.sum("n_tokens").alias("_n"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_part_start"))
-    within = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sizes.select("part", "shard", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)).alias("_shard_start"))
-    based = placed.join(starts, "part").select("part", "shard", (F.col("_part_start") + F.col("_shard_start")).alias("base"))
-    rows = shards.join(based, ["part", "shard"]).select("base", "data")
+    rows = shards.join(F.broadcast(starts), "part").select((F.col("_part_start") + F.col("start")).alias("base"), "data")
     schema = StructType(
         [
             StructField("doc_id", LongType()),
