@@ -45,7 +45,7 @@ BLOCK = 512
 MAGIC = b"WVM1"
 HEAD = struct.Struct("<4sIQQ")
 # Stretches of text in a generation of a worker's memo; it holds two at most.
-MEMO = 300_000
+MEMO = 600_000
 
 SHARDS = StructType(
     [
@@ -201,21 +201,25 @@ class Stretches:
     def learn(self, stretches: set[str]) -> None:
         if len(self.known) >= MEMO:
             self.old, self.known = self.known, {}
-        need = stretches.difference(self.known)
-        if self.old:
-            again = need.intersection(self.old)
-            self.known.update((s, self.old[s]) for s in again)
-            need -= again
-        marked = {s: s.rstrip(string.punctuation) for s in need}
-        stems = [s for s in {*marked.values()}.difference(self.known) if s.isalpha()]
-        self.known.update(zip(stems, self._words(stems)))
-        others = [s for s, stem in marked.items() if not stem.isalpha()]
-        self.known.update(zip(others, self._each([f" {s}" for s in others])))
-        behind = [*({s[len(stem) :] for s, stem in marked.items() if stem.isalpha()} - {""})]
-        marks = dict(zip(behind, self._each(behind)))
-        for s, stem in marked.items():
-            if s not in self.known:
-                self.known[s] = self.known[stem] + marks[s[len(stem) :]]
+        known, stems, marked, others = self.known, set(), [], []
+        for s in stretches.difference(known):
+            if (again := self.old.get(s)) is not None:
+                known[s] = again
+                continue
+            stem = s.rstrip(string.punctuation)
+            if not stem.isalpha():
+                others.append(s)
+                continue
+            if stem not in known:
+                stems.add(stem)
+            if stem != s:
+                marked.append((s, stem, s[len(stem) :]))
+        words = list(stems)
+        known.update(zip(words, self._words(words)))
+        known.update(zip(others, self._each([f" {s}" for s in others])))
+        marks = list({mark for _, _, mark in marked})
+        by_mark = dict(zip(marks, self._each(marks)))
+        known.update((s, known[stem] + by_mark[mark]) for s, stem, mark in marked)
 
     def _each(self, texts: list[str]) -> list[bytes]:
         return [packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
