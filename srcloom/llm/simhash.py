@@ -28,6 +28,7 @@ from pyspark.sql.types import LongType, StructField
 
 from srcloom.llm.common import add_columns, arrow_ready, quoted, without
 from srcloom.llm.components import components
+from srcloom.operators.skew import join_unique
 from srcloom.session import written
 
 SHINGLE = 3
@@ -171,7 +172,7 @@ def with_components(prints: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     least = of.groupBy("group").agg(F.min("_id").alias("component_id"))
     grouped = of.where(F.col("_linked") | (F.col("_n") > 1)).join(least, "group").select("fp", "group", "component_id")
     return (
-        prints.join(grouped, "fp", "left")
+        join_unique(prints, grouped, "fp")
         .withColumn("component_id", F.when(F.col("group").isNotNull(), F.col("component_id")).otherwise(quoted(doc_id)))
         .withColumn("group", F.coalesce("group", "fp"))
     )
@@ -196,7 +197,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
         .where("_n > 1")
     )
     lost = (
-        found.join(winners, "group")
+        join_unique(found, winners, "group", "inner")
         .where(~F.struct("doc_id", "_hash").eqNullSafe(F.col("_one")))
         .select(F.col("doc_id").alias("_lost_id"), F.col("_hash").alias("_lost_hash"))
         .distinct()
