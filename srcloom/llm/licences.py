@@ -1,8 +1,10 @@
 """Licence scans by sentence rules: sentences become identifiers, sequences of identifiers become licences.
 
-Only SQL functions, row by row, without a shuffle. A text is split behind sentence marks and at line ends. A
-sentence is normalised: A-Z in lower case, every run of other characters than letters a-z and digits one
-blank. Known sentences map to identifiers, others are dropped, and what is left is a sequence in text order. The
+Only SQL functions, row by row, without a shuffle. The whole text is normalised: A-Z in lower case, comment
+marks and list letters at the start of a line dropped, every run of other characters than letters a-z and digits
+one blank. A known sentence begins and ends at a sentence mark, a paragraph or a line end; it may run over
+several lines, but over no sentence mark or paragraph. Of several that begin at a place, the longest counts.
+Known sentences map to identifiers, all else is dropped, and what is left is a sequence in text order. The
 rules are tried in their order; a rule that occurs as a run of adjacent identifiers names its licence, and its
 identifiers are used up, so that later and shorter rules do not count them again.
 
@@ -74,6 +76,24 @@ Public-Domain public
 All-Rights-Reserved reserved
 """
 
+# Sentences and rules that the SQL below does not know. A star stands for some words, such as the name of a holder.
+CLAUSES = """
+bsdads All advertising materials mentioning features or use of this software must display the following acknowledgement:
+bsdendorse Neither the name of * nor the names of * contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+bsdauthor The name of * may not be used to endorse or promote products derived from this software without specific prior written permission.
+"""
+CLAUSE_RULES = """
+BSD-4-Clause bsdgrant bsdsource bsdbinary bsdads bsdendorse
+BSD-4-Clause bsdgrant bsdsource bsdbinary bsdads bsdauthor
+BSD-3-Clause bsdgrant bsdsource bsdbinary bsdendorse
+BSD-3-Clause bsdgrant bsdsource bsdbinary bsdauthor
+"""
+
+# What a line may begin with besides its words: comment marks, words that mark comments, a letter or digit of a list.
+LINE_START = r"(?md)^[^a-z0-9\n]*+(?:(?:dnl|rem)\b[^a-z0-9\n]*+)?(?:[a-z0-9]\)[ \t]*+)?"
+# Words that a star stands for, in a normalised text with its borders.
+SOME_WORDS = "[a-z0-9SL ]{1,200}?"
+
 # A blank behind one of these marks ends a sentence, and so does the end of a line; full stops within
 # a version number do not.
 SENTENCE_END = r"([.!?:;])[ \t\r\n]+"
@@ -100,7 +120,7 @@ def sentence_ids(text: str = SENTENCES) -> dict[str, str]:
 
 
 def normal(sentence: str) -> str:
-    """The normalised form, for the fixed table alone; texts are normalised by ``_normal``."""
+    """The normalised form, for the fixed table alone; texts are normalised by ``_bordered``."""
     lower = sentence.translate(str.maketrans(UPPER, LOWER))
     return " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in lower).split())
 
@@ -115,23 +135,45 @@ def rule_table(rules: str = RULES, sentences: str = SENTENCES) -> list[tuple[str
     return table
 
 
-def _normal(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.translate(sentence, UPPER, LOWER), "[^a-z0-9]+", " "))
+def _bordered(text: Column) -> Column:
+    """The normalised text with its borders: S for sentence marks and paragraphs, L for other line ends."""
+    lower = F.regexp_replace(F.translate(text, UPPER, LOWER), LINE_START, "")
+    ends = F.regexp_replace(F.regexp_replace(lower, SENTENCE_END, "S"), r"\n[ \t\r\n]*\n", "S")
+    words = F.regexp_replace(F.translate(ends, "\n", "L"), "[^a-z0-9SL]+", " ")
+    return F.concat(F.lit("S"), words, F.lit("S"))
+
+
+def _known(bordered: Column, sentences: str) -> Column:
+    """Identifiers of the known sentences of a bordered text, in order."""
+    starred = [[normal(p) for p in line.split(" ", 1)[1].split("*")] for line in sentences.strip().splitlines() if "*" in line]
+    forms = {" ".join(parts): parts for parts in starred}
+    patterns = []
+    for sentence in sorted(sentence_ids(sentences), key=lambda s: (-len(s), s)):
+        parts = [p.replace(" ", "[ L]+") for p in forms.get(sentence, [sentence])]
+        patterns.append(f"[ L]+{SOME_WORDS}[ LS]+".join(parts))
+    found = F.regexp_extract_all(bordered, F.lit(f"(?<=[SL]) ?({'|'.join(patterns)}) ?(?=[SL])"), F.lit(1))
+
+    def identifier(match: Column) -> Column:
+        plain = F.regexp_replace(match, "[ LS]+", " ")
+        for parts in forms.values():
+            plain = F.regexp_replace(plain, f"^{' .+ '.join(f'({p})' for p in parts)}$", " ".join(f"${k + 1}" for k in range(len(parts))))
+        return F.try_element_at(by_text, plain)
+
+    by_text = F.create_map(*[F.lit(x) for pair in sentence_ids(sentences).items() for x in pair])
+    return F.transform(found, identifier)
 
 
 def scan(
     docs: DataFrame,
     keep: Sequence[str],
-    sentences: str = SENTENCES,
-    rules: str = RULES,
+    sentences: str = SENTENCES + CLAUSES.lstrip(),
+    rules: str = CLAUSE_RULES + RULES.lstrip(),
     text: str = "text",
 ) -> DataFrame:
     """The kept columns with ``sentence_ids`` (sequence of identifiers), ``licences`` (in rule order) and
     ``n_unmatched`` (known sentences that no rule used)."""
     kept = without(keep, ["sentence_ids", "licences", "n_unmatched"])
-    known = F.create_map(*[F.lit(x) for pair in sentence_ids(sentences).items() for x in pair])
-    lines = F.split(F.regexp_replace(F.coalesce(quoted(text), F.lit("")), SENTENCE_END, "$1\n"), "\n")
-    ids = F.filter(F.transform(lines, lambda s: F.try_element_at(known, _normal(s))), lambda i: i.isNotNull())
+    ids = _known(_bordered(F.coalesce(quoted(text), F.lit(""))), sentences)
     table = F.array(*[F.struct(F.lit(n).alias("licence"), F.lit(p).alias("pattern")) for n, p in rule_table(rules, sentences)])
     read = docs.select(*[quoted(c).alias(f"_keep_{i}") for i, c in enumerate(kept)], ids.alias("_ids"))
     sequence = F.array_join(F.transform("_ids", lambda i: F.concat(F.lit("<"), i, F.lit(">"))), "")
@@ -159,7 +201,7 @@ def scan(
 
 
 def oracle_sql() -> str:
-    """The same scan of ``documents`` in DuckDB SQL, one step a rule."""
+    """The scan of ``documents`` in DuckDB SQL, one step a rule; only sentences of one line, without ``CLAUSES``."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     ids = sentence_ids()
     keys = ", ".join(map(quote, ids))

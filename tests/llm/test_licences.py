@@ -1,5 +1,7 @@
 """Licence sentences and rules."""
 
+import textwrap
+
 from compare import compare, connect
 from srcloom.llm import licences
 from srcloom.llm.queries import ORACLES, QUERIES
@@ -39,6 +41,33 @@ def test_texts(spark):
     assert rows[10][1] == ["CC0-1.0"]
 
 
+def test_wrapped_and_commented_texts(spark):
+    wording = dict(line.split(" ", 1) for line in (licences.SENTENCES + licences.CLAUSES.lstrip()).strip().splitlines())
+
+    def wrapped(names, mark, width):
+        """Paragraphs hard-wrapped behind a comment mark, with a mark alone between them."""
+        return f"\n{mark}\n".join("\n".join(f"{mark} {x}" for x in textwrap.wrap(wording[n], width)) for n in names.split())
+
+    bsd = wrapped("bsdgrant bsdsource bsdbinary", " *", 60)
+    third = wording["bsdendorse"].replace("of *", "of Example Inc.", 1).replace("*", "its")
+    author = wording["bsdauthor"].replace("*", "the author")
+    cases = {
+        "GPL-3.0-or-later": [wrapped("gplfree gplhope gplsee", m, w) for m in (" *", "#", ";;", "//", "dnl", "") for w in (30, 72)],
+        "GPL-2.0-or-later": ["/*\n" + wrapped("gpl2free", " *", 40) + "\n */\nint x;"],
+        "MIT": [wrapped("mitgrant mitnotice", "#", 70).replace("\n", "\r\n")],
+        "Apache-2.0": [wrapped("apachelong", "#", 40) + "\n" + wrapped("apacheuse", "#", 40)],
+        "BSD-2-Clause": [bsd, " * a table |\n" + bsd],
+        "BSD-3-Clause": [f"{bsd}\n *\n" + "\n".join(f" * {x}" for x in textwrap.wrap(f"{n} {t}", 60))
+                         for n in ("3.", "(3)", "c)") for t in (third, author)],
+        "BSD-4-Clause": [f"{bsd}\n" + wrapped("bsdads", " *", 60) + f"\n * This product includes software.\n * {third}"],
+    }
+    texts = [(name, text) for name, own in cases.items() for text in own]
+    rows = found(spark, [t for _, t in texts])
+    assert [(rows[i][1], rows[i][2]) for i in range(len(texts))] == [([name], 0) for name, _ in texts]
+    split = wording["mitgrant"].replace("any person", "any\n\nperson")
+    assert found(spark, [split, "Released under. The MIT License.", "\n" * 100_000 + "MIT"])[0][0] == []
+
+
 def test_odd_tables(spark):
     docs = spark.createDataFrame([(1, "All rights reserved.", "x"), (1, "All rights reserved.", "x"), (None, None, None)],
                                  "doc_id long, text string, Licences string")
