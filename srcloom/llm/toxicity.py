@@ -1,9 +1,10 @@
 """Toxicity: a convolutional text classifier.
 
 Words are hashed to embeddings; filters of several widths run over them; each filter keeps its
-maximum over the whole text; a logistic unit reads the maxima. The model is trained with numpy on a
+maximum over the whole text; a logistic unit reads the maxima. The weights are trained with numpy on a
 bounded sample of labelled documents. Scores depend on the text alone. Thresholds are calibrated by
-language on labelled documents that the weights were not fitted to.
+language on counts of all labelled documents of a fold that the weights were not fitted to, whatever their
+length and number.
 
 Defined cases: a null text counts as empty; an empty text has the score of a text without any known
 word; repeated rows get equal scores; rows keep their extra columns, but a column with the name of an
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField
 
@@ -42,6 +43,8 @@ BATCH = 32
 THRESHOLD = 0.5
 # A language needs so many documents of each kind for a threshold of its own.
 LEAST_OF_LANGUAGE = 8
+# Thresholds tried. They lie between 0.2 and 0.8, so that few documents cannot move a threshold far.
+CUTS = np.linspace(0.2, 0.8, 61)
 
 
 @dataclass
@@ -65,23 +68,24 @@ def hashed_words(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
     return np.array(unique, np.int32)[coded.indices.to_numpy()] if unique else np.empty(0, np.int32), firsts
 
 
+def known_labels(labels: DataFrame, label: str) -> DataFrame:
+    """One row for each labelled document, with its highest label."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
+    return known.groupBy("doc_id").agg(F.max(label).cast("int").alias("_label"))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_DOCS) -> DataFrame:
     """Labelled training documents: at most ``rows`` of each label, by the least hashes of their ids.
 
     Ids whose fold is 0 stay out. The ids are chosen from the labels alone, so what is sent to all
     tasks has at most two times ``rows`` entries. Texts over ``SAMPLE_CHARS`` characters stay out.
     """
-    known = (
-        labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
-        .groupBy("doc_id")
-        .agg(F.max(label).cast("int").alias("_label"))
-        .where(fold(F.col("doc_id")) != 0)
-    )
+    known = known_labels(labels, label).where(fold(F.col("doc_id")) != 0)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.where("_label = 0").orderBy(*order).limit(rows).unionAll(
         known.where("_label = 1").orderBy(*order).limit(rows)
     )
-    texts = docs.where(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text", "lang")
+    texts = docs.where(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text")
     return texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
 
 
@@ -94,14 +98,35 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         return [pa.ListArray.from_arrays(pa.array(firsts.astype(np.int32)), pa.array(buckets))]
 
     coded = add_columns(
-        sample, encode, [StructField("_words", ArrayType(IntegerType()))], ["doc_id", "lang", "_label"]
+        sample, encode, [StructField("_words", ArrayType(IntegerType()))], ["doc_id", "_label"]
     ).withColumn("_fold", fold(F.col("doc_id")))
     rows = coded.orderBy("doc_id").toArrow()
     words = [np.asarray(x, np.int32) for x in rows.column("_words").to_pylist()]
     label = np.array(rows.column("_label").to_pylist(), np.int64)
-    langs = [x or "" for x in rows.column("lang").to_pylist()]
     held = np.array(rows.column("_fold").to_pylist(), np.int64) == FOLDS - 1
-    return fit(words, label, langs, held)
+    model = fit(words, label, [""] * len(words), held)
+    if np.isfinite(model.intercept):
+        counts = counted(docs, labels, model, fold(F.col("doc_id")) == FOLDS - 1)
+        if {c[2] for c in counts} != {0, 1}:
+            counts = counted(docs, labels, model, fold(F.col("doc_id")) != 0)
+        model.thresholds = calibrated(counts)
+    return model
+
+
+def counted(docs: DataFrame, labels: DataFrame, model: Model, where: Column) -> list[tuple[str | None, int, int, int]]:
+    """(lang, bin, label, documents) of all labelled documents with such ids; a bin is the number of ``CUTS`` that a
+    score reaches. Texts are scored where they lie; only ids and bins meet the labels."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def compute(texts: pa.StringArray, _: pa.RecordBatch) -> list[pa.Array]:
+        found = score_words(shared.value, *hashed_words(texts))
+        return [pa.array(np.searchsorted(CUTS, found, side="right").astype(np.int32))]
+
+    own = docs.where(where).select("doc_id", "lang", "text")
+    bins = add_columns(own, compute, [StructField("_bin", IntegerType())], ["doc_id", "lang"])
+    known = known_labels(labels, "toxic").where(where & F.col("_label").isin(0, 1))
+    sums = bins.join(known, "doc_id").groupBy("lang", "_bin", "_label").agg(F.count("*").alias("_n"))
+    return [tuple(r) for r in sums.collect()]
 
 
 def empty_model() -> Model:
@@ -111,7 +136,8 @@ def empty_model() -> Model:
 
 
 def fit(words: list[np.ndarray], label: np.ndarray, langs: list[str], held: np.ndarray, seed: int = 7) -> Model:
-    """Weights from the documents that are not held, thresholds from those that are."""
+    """Weights from the documents that are not held. Thresholds are calibrated later, on all documents, so that
+    ``langs`` has no use here."""
     used = ~held if len(set(label[~held])) == 2 else np.ones(len(label), bool)
     if len(set(label[used])) < 2:
         return empty_model()
@@ -202,33 +228,26 @@ def fit(words: list[np.ndarray], label: np.ndarray, langs: list[str], held: np.n
         np.concatenate([embedding @ k[j] for k in kernels if len(k) > j], axis=1).astype(np.float32)
         for j in range(max(WIDTHS))
     ]
-    model = Model(row_of, tables, bias, weights, intercept, {"": THRESHOLD})
-    checked = held if len(set(label[held])) == 2 else np.ones(len(label), bool)
-    flat = [words[i] for i in np.flatnonzero(checked)]
-    firsts = np.cumsum([0, *[len(w) for w in flat]])
-    scores = score_words(model, np.concatenate([*flat, np.empty(0, np.int32)]), firsts)
-    model.thresholds = calibrated(scores, label[checked], [langs[i] for i in np.flatnonzero(checked)])
-    return model
-
+    return Model(row_of, tables, bias, weights, intercept, {"": THRESHOLD})
 
-def calibrated(scores: np.ndarray, label: np.ndarray, langs: list[str]) -> dict[str, float]:
-    """By language, the middle of the cuts with the fewest errors, a missed and a wrong one alike.
 
-    The cuts tried lie between 0.2 and 0.8, so that few documents cannot move a threshold far.
-    """
-    cuts = np.linspace(0.2, 0.8, 61)
+def calibrated(counts: list[tuple[str | None, int, int, int]]) -> dict[str, float]:
+    """By language, the middle of the cuts with the fewest errors, a missed and a wrong one alike."""
+    by_lang: dict[str, np.ndarray] = {"": np.zeros((2, len(CUTS) + 1), np.int64)}
+    for lang, reached, label, n in counts:
+        own = by_lang.setdefault(lang or "", np.zeros((2, len(CUTS) + 1), np.int64))
+        own[label, reached] += n
 
     def best(own: np.ndarray) -> float:
-        wrong = [((scores[own] >= c) != label[own]).sum() for c in cuts]
-        good = cuts[np.array(wrong) == min(wrong)]
+        clean, toxic = np.cumsum(own, axis=1)
+        wrong = toxic[:-1] + clean[-1] - clean[:-1]
+        good = CUTS[wrong == wrong.min()]
         return float(good[np.argmin(np.abs(good - THRESHOLD))])
 
-    found = {"": best(np.ones(len(label), bool))}
-    names = np.array(langs)
-    for lang in sorted({*langs} - {""}):
-        own = names == lang
-        if min((label[own] == 1).sum(), (label[own] == 0).sum()) >= LEAST_OF_LANGUAGE:
-            found[lang] = best(own)
+    found = {"": best(sum(by_lang.values()))}
+    for lang in sorted({*by_lang} - {""}):
+        if by_lang[lang].sum(axis=1).min() >= LEAST_OF_LANGUAGE:
+            found[lang] = best(by_lang[lang])
     return found
 
 

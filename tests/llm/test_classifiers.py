@@ -46,6 +46,24 @@ def test_quality_on_held_out_documents(spark):
     assert len(rows) > 700 and wrong.mean() < 0.02
 
 
+def test_thresholds_count_every_labelled_document(spark):
+    """The documents of one language are all too long for the sample."""
+    ids = range(700)
+    lang = lambda i: "xx" if i % 3 == 0 else "en"
+    words = lambda i: ["vile", "mild"][i % 2 if i % 7 else 1 - i % 2] + f" plain w{i % 5}"
+    rows = [(i, f"{words(i)} " + "and so on " * (2500 if lang(i) == "xx" else 3), lang(i)) for i in ids]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    marks = spark.createDataFrame([(i, 1 - i % 2) for i in ids], "doc_id long, toxic int")
+    model = toxicity.train(docs, marks)
+    scored = toxicity.with_scores(docs, model, ["doc_id", "lang"]).where(fold(F.col("doc_id")) == 4).collect()
+    assert {"xx", "en"} < {*model.thresholds}
+    for name, cut in model.thresholds.items():
+        own = [(r.score, 1 - r.doc_id % 2) for r in scored if name in ("", r.lang)]
+        wrong = [sum((s >= c) != t for s, t in own) for c in toxicity.CUTS]
+        good = [c for c, w in zip(toxicity.CUTS, wrong) if w == min(wrong)]
+        assert cut == min(good, key=lambda c: abs(c - 0.5))
+
+
 ODD = [(1, None, None, 7), (2, "", "xx", 7), (None, "some text", "en", 7), (3, "b " * 200_000, "en", 7), (3, "b c", "en", 7)]
 ODD_SCHEMA = "doc_id long, text string, lang string, Score int"
 
