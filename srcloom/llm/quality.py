@@ -7,8 +7,9 @@ documents, whatever their labels. A small network minimises the non-negative unb
 
 where the class prior is estimated from the labelled training documents. Features describe the form
 of a text: shares of byte classes and single ASCII symbols, repeated words, lines, word lengths.
-Scores are shifted so that the cut at ``CUT`` falls into the widest gap between unlabelled scores near the
-quantile that the class prior leaves below it.
+Scores are shifted so that the cut at ``CUT`` falls into the widest gap between the outputs of all documents
+outside fold 0, near the quantile that the class prior leaves below it. The outputs are counted in bins; where they
+lie so close that no gap is as wide as a bin, the cut falls into the bin with the fewest documents.
 
 Defined cases: a null text counts as empty; an empty text has features of zeros and a score like any
 other; repeated rows get equal scores; a kept column with the name of an added one is replaced. Labels
@@ -18,6 +19,7 @@ positives or without unlabelled texts every score is 1.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,8 +41,10 @@ BATCH = 500
 CUT = 0.3
 # Prior where no labelled document tells it, and its limits.
 PRIOR, LEAST_PRIOR, MOST_PRIOR = 0.8, 0.05, 0.98
-# Share of the unlabelled scores, on each side of the quantile, among which the gap is sought.
+# Share of the documents, on each side of the quantile, among which the gap is sought.
 NEAR = 0.04
+# Bins for one unit of the network's output, and its limits for the bins.
+BINS, MOST_OUTPUT = 256, 64
 
 
 @dataclass
@@ -117,9 +121,10 @@ def _collected(rows: DataFrame, extra: list[str]) -> tuple[np.ndarray, list[list
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """Fit on at most ``POSITIVES`` trusted and ``UNLABELLED`` other texts, chosen by hashes of their ids.
+    """Fit on at most ``POSITIVES`` trusted and ``UNLABELLED`` other texts, chosen by hashes of their ids; the shift
+    comes from all documents outside fold 0.
 
-    Only documents outside fold 0 take part. What goes to all tasks is a list of ids of that bound.
+    No others take part. What goes to all tasks is a list of ids of that bound, then the model.
     """
     arrow_ready(docs.sparkSession)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
@@ -139,7 +144,19 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     mask = np.array(good, int) == 1
     if not mask.any() or mask.all():
         return None
-    return fit(x[mask], x[~mask], prior)
+    model = fit(x[mask], x[~mask], prior)
+    model.shift = gap(counted(own, model), 1 - prior)
+    return model
+
+
+def counted(docs: DataFrame, model: Model) -> list[tuple[int, float, float]]:
+    """(documents, least output, greatest output) of the bins that have any, in their order."""
+    scored = _with(docs, outputs, model, [], "_output")
+    limited = F.greatest(F.least(F.col("_output"), F.lit(float(MOST_OUTPUT))), F.lit(-float(MOST_OUTPUT)))
+    sums = scored.groupBy(F.floor(limited * BINS).alias("_bin")).agg(
+        F.count("*").alias("n"), F.min("_output").alias("least"), F.max("_output").alias("most")
+    )
+    return [(r.n, r.least, r.most) for r in sorted(sums.collect(), key=lambda r: r["_bin"])]
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 11) -> Model:
@@ -180,39 +197,53 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.999 * second[k] + 0.001 * g**2
                 params[k] -= rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
-    values = np.sort(output(u)[1])
-    return Model(mean, scale, params[0], params[1], params[2], gap(values, 1 - prior), prior)
+    # The outer bias is the same for all texts, so the shift takes it in.
+    return Model(mean, scale, params[0], params[1], params[2], 0.0, prior)
 
 
-def gap(values: np.ndarray, share: float) -> float:
-    """Middle of the widest gap between sorted values near their quantile ``share``."""
-    n = len(values)
-    low = int(np.clip(np.floor((share - NEAR) * n), 1, n - 1)) if n > 1 else 0
-    high = int(np.clip(np.ceil((share + NEAR) * n), low + 1, n)) if n > 1 else n
+def gap(bins: list[tuple[int, float, float]], share: float) -> float:
+    """Middle of the widest gap between outputs near their quantile ``share``, or of the emptiest bin there."""
+    below = np.cumsum([b[0] for b in bins])
+    n = int(below[-1])
     if n < 2:
-        return float(values[0]) - 1
-    steps = values[low:high] - values[low - 1 : high - 1]
-    at = low + int(np.argmax(steps))
-    return float(values[at] + values[at - 1]) / 2
+        return bins[0][1] - 1
+    low = int(np.clip(np.floor((share - NEAR) * n), 1, n - 1))
+    high = int(np.clip(np.ceil((share + NEAR) * n), low + 1, n))
+    # Between neighbouring bins, where so many outputs lie below that the cut is near the quantile.
+    gaps = [(b[1] - a[2], a[2], b[1]) for a, b, k in zip(bins, bins[1:], below) if low <= k < high]
+    if gaps and (widest := max(gaps, key=lambda g: g[0]))[0] >= 1 / BINS:
+        return (widest[1] + widest[2]) / 2
+    near = [b for b, k in zip(bins, below) if k > low - 1 and k - b[0] < high]
+    emptiest = min(near, key=lambda b: b[0])
+    return (emptiest[1] + emptiest[2]) / 2
+
+
+def outputs(model: Model, x: np.ndarray) -> np.ndarray:
+    """What the network makes of features, before the shift."""
+    z = np.clip((x - model.mean) / model.scale, -6, 6)
+    return np.tanh(z @ model.inner + model.inner_bias) @ model.outer
 
 
 def scores(model: Model | None, x: np.ndarray) -> np.ndarray:
     if model is None:
         return np.ones(len(x))
-    z = np.clip((x - model.mean) / model.scale, -6, 6)
-    value = np.tanh(z @ model.inner + model.inner_bias) @ model.outer - model.shift + np.log(CUT / (1 - CUT))
+    value = outputs(model, x) - model.shift + np.log(CUT / (1 - CUT))
     return 1 / (1 + np.exp(-np.clip(value, -500, 500)))
 
 
 def with_scores(docs: DataFrame, model: Model | None, keep: list[str], score: str = "score") -> DataFrame:
     """Adds the score of every whole text."""
+    return _with(docs, scores, model, keep, score)
+
+
+def _with(docs: DataFrame, value: Callable, model: Model | None, keep: list[str], name: str) -> DataFrame:
     arrow_ready(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def compute(texts: pa.StringArray, _: pa.RecordBatch) -> list[pa.Array]:
-        return [pa.array(scores(shared.value, features(texts)))]
+        return [pa.array(value(shared.value, features(texts)))]
 
-    return add_columns(docs, compute, [StructField(score, DoubleType())], keep)
+    return add_columns(docs, compute, [StructField(name, DoubleType())], keep)
 
 
 def reject_poor(docs: DataFrame, labels: DataFrame) -> DataFrame:
