@@ -68,47 +68,55 @@ def blanked(text: str) -> tuple[str, list[tuple[str, int, int]]]:
     return _BLANK.sub(blank, text), conditions
 
 
-def one_branch(code: str, conditions: list[tuple[str, int, int]]) -> str:
+def one_branch(code: str, conditions: list[tuple[str, int, int]]) -> tuple[str, list[tuple[int, int, int]]]:
     """Where the branches of a conditional do not balance their braces, only the first one counts.
 
-    The others are blanked for the scan; the bodies of functions are cut from the text itself.
+    Inner conditionals are judged before outer ones, without their hidden branches. The others are blanked for the
+    scan; the bodies of functions are cut from the text itself. Also, the hidden branches that lie in no other one:
+    offset of the conditional, start and end.
     """
-    open_: list[list[tuple[int, int]]] = []
-    hidden: list[tuple[int, int]] = []
-    balance = _balances(code)
+    # By open conditional its branches: start, end, and the depth that hidden branches inside add to the running one.
+    open_: list[list[list[int]]] = []
+    hidden: list[tuple[int, int, int]] = []
+    change = _changes(code)
     for kind, start, end in conditions:
         if kind.startswith("if"):
-            open_.append([(end, -1)])
+            open_.append([[end, -1, 0]])
         elif open_:
             branches = open_[-1]
-            branches[-1] = (branches[-1][0], start)
+            branches[-1][1] = start
             if kind != "endif":
-                branches.append((end, -1))
+                branches.append([end, -1, 0])
                 continue
             open_.pop()
-            if len(branches) > 1 and any(not balance(a, b) for a, b in branches):
-                hidden += branches[1:]
+            if len(branches) > 1 and any(change(a, b) != inner for a, b, inner in branches):
+                hidden += [(a, b, branches[0][0]) for a, b, _ in branches[1:]]
+                if open_:
+                    open_[-1][-1][2] += sum(change(a, b) for a, b, _ in branches[1:])
+            elif open_:
+                open_[-1][-1][2] += sum(inner for _, _, inner in branches)
     if not hidden:
-        return code
-    parts, at = [], 0
-    for start, end in sorted(hidden):
+        return code, []
+    parts, outer, at = [], [], 0
+    for start, end, first in sorted(hidden):
         if start >= at:
             parts += [code[at:start], _spaces(code[start:end])]
+            outer.append((first, start, end))
             at = end
-    return "".join([*parts, code[at:]])
+    return "".join([*parts, code[at:]]), outer
 
 
-def _balances(code: str):
-    """Whether the braces between two offsets close each other, by running depth."""
+def _changes(code: str):
+    """By how much the braces between two offsets change the depth."""
     marks = [m.start() for m in re.finditer(r"[{}]", code)]
     depths = [0]
     for m in marks:
         depths.append(depths[-1] + (1 if code[m] == "{" else -1))
 
-    def balanced(start: int, end: int) -> bool:
-        return depths[bisect_right(marks, start - 1)] == depths[bisect_right(marks, end - 1)]
+    def change(start: int, end: int) -> int:
+        return depths[bisect_right(marks, end - 1)] - depths[bisect_right(marks, start - 1)]
 
-    return balanced
+    return change
 
 
 def groups(head: str) -> list[tuple[int, int]]:
@@ -214,10 +222,33 @@ def _declares(piece: str, names: set[str]) -> bool:
 
 
 def scan(text: str) -> dict:
-    """Functions and rejected blocks of a C text, and how many braces nothing closes."""
+    """Functions and rejected blocks of a C text, and how many braces nothing closes.
+
+    Branches that do not count for the braces are scanned by themselves for their complete blocks.
+    """
+    found, waiting = _scan(text, 0)
+    depth = found["open_depth"]
+    while waiting:
+        start, end, inside = waiting.pop()
+        own, inner = _scan(text[start:end], inside)
+        waiting += [(start + a, start + b, d) for a, b, d in inner]
+        lines = text.count("\n", 0, start)
+        found["functions"] += [f | {k: f[k] + lines for k in ("start_line", "end_line")} for f in own["functions"]]
+        found["rejects"] += [
+            r | {"start_line": r["start_line"] + lines} for r in own["rejects"] if r["reason"] != "never closed"
+        ]
+    for rows in (found["functions"], found["rejects"]):
+        rows.sort(key=lambda r: r["start_line"])
+    return found | {"open_depth": depth}
+
+
+def _scan(text: str, inside: int) -> tuple[dict, list[tuple[int, int, int]]]:
+    """One text, and its hidden branches with the depth of blocks around them. ``inside`` is that depth of the text
+    itself; blocks count once so many braces are closed."""
     code, conditions = blanked(text)
+    hidden: list[tuple[int, int, int]] = []
     if conditions:
-        code = one_branch(code, conditions)
+        code, hidden = one_branch(code, conditions)
     marks = [(m.start(), m[0]) for m in _MARK.finditer(code)]
     closes: dict[int, int] = {}
     stack: list[int] = []
@@ -227,6 +258,8 @@ def scan(text: str) -> dict:
         elif mark == "}" and stack:
             closes[stack.pop()] = at
     lost = set(stack)
+    linkage: set[int] = set()
+    around = inside
     functions: list[dict] = []
     rejects: list[dict] = []
     start, lines, counted = 0, 1, 0
@@ -250,14 +283,21 @@ def scan(text: str) -> dict:
             old = (start, names) if names else None
             start = at + 1
         elif mark == "}":
+            inside = max(inside - 1, 0)
             start, old = at + 1, None
         elif at in lost or (code[start:at].strip() == "extern" and _LINKAGE.search(text, start, at)):
             if at in lost:
                 begin = start + len(code[start:at]) - len(code[start:at].lstrip())
                 rejects.append({"start_line": line_of(begin), "reason": "never closed"})
+            else:
+                linkage.add(at)
             start, old = at + 1, None
         else:
             end = closes[at]
+            if inside:
+                start, old = end + 1, None
+                i = place[end] + 1
+                continue
             if old and not code[start:at].strip():
                 start = old[0]
             head = code[start:at]
@@ -274,7 +314,22 @@ def scan(text: str) -> dict:
             # A type or an initializer goes on to its semicolon.
             start, old = end + 1, None
             i = place[end] + 1
-    return {"functions": functions, "rejects": rejects, "open_depth": len(lost)}
+    waiting = _surrounded(hidden, marks, closes, lost | linkage, around)
+    return {"functions": functions, "rejects": rejects, "open_depth": len(lost)}, waiting
+
+
+def _surrounded(hidden, marks, closes, no_scope, around) -> list[tuple[int, int, int]]:
+    """Hidden branches with the depth at the conditional they belong to; some braces open no scope."""
+    if not hidden:
+        return []
+    scopes = {at: end for at, end in closes.items() if at not in no_scope}
+    ends, places, depths = set(scopes.values()), [], [around]
+    paired = {*closes.values()}
+    for at, mark in marks:
+        if at in scopes or at in ends or (mark == "}" and at not in paired):
+            places.append(at)
+            depths.append(max(depths[-1] + (1 if mark == "{" else -1), 0))
+    return [(start, end, depths[bisect_right(places, first)]) for first, start, end in hidden]
 
 
 def _function(head: str, old_style: bool) -> tuple[dict | None, str]:
