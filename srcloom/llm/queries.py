@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcloom.llm import bpe, chat, decontaminate, fingerprints, licences, quality, simhash, toxicity, urls, wavelet
+from srcloom.llm import (
+    bpe,
+    chat,
+    decontaminate,
+    fingerprints,
+    licences,
+    quality,
+    sharding,
+    simhash,
+    toxicity,
+    urls,
+    wavelet,
+)
 from srcloom.llm.common import fold, table
 from srcloom.session import new_folder, written
 
@@ -169,3 +181,17 @@ def op6_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     wavelet.write_shards(table(spark, sf_dir, "documents"), bpe.tokenizer_path(BYTE_BPE), folder)
     found = wavelet.read_documents(spark.read.parquet(folder))
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.with_places(table(spark, sf_dir, "documents"), ["doc_id"])
+    return placed.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit(sharding.LAW).alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
