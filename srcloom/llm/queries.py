@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from srcloom.llm import (
     bpe,
     chat,
+    collocations,
     decontaminate,
     fingerprints,
     licences,
@@ -195,3 +196,11 @@ def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_collocations"] = collocations.oracle_sql()
