@@ -19,6 +19,7 @@ from srcloom.llm import (
     simhash,
     toxicity,
     urls,
+    variants,
     wavelet,
 )
 from srcloom.llm.common import fold, table
@@ -204,3 +205,9 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op12_collocations"] = collocations.oracle_sql()
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = variants.spelling_variants(table(spark, sf_dir, "documents"))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
