@@ -6,11 +6,12 @@ normal length more bits must be, after it fewer (normalised chunking). Boundarie
 insertion moves no boundary but those around it. The fingerprint is the set of (digest, length) of the
 chunks; containment is the share of a set's total length that the other set has too.
 
-``with_next`` pairs each document with the next by descending id, over id ranges that are sorted apart: the first
-document of a range is also sent to the range before it, and the very first one to the end.
+``with_next`` pairs each document with the next by descending id, over ranges that are sorted apart (``ordered``), as
+many as the session shuffles to or the input has splits: the first document of a range is also sent to the range
+before it, and the very first one to the end.
 
 Defined cases: a null text is empty; an empty text has the empty fingerprint, which any set contains in full (1),
-while it contains nothing of another (0); repeated chunks count once; equal ids go by text, the greater first; a null
+while it contains nothing of another (0); repeated chunks count once; equal ids go by the beginning of the text, the greater first, then by a hash; a null
 id is behind all others; a single document is its own next; an empty table gives no rows; other columns are
 ignored.
 """
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from srcloom.llm.common import arrow_ready
-from srcloom.llm.ordered import id_bounds, order_id, range_of
+from srcloom.llm.ordered import KEY, directed, in_ranges, keyed, range_heads
 
 LEAST, NORMAL, MOST = 16, 64, 255
 # Zero bits asked for before and after the normal length; log2(NORMAL) is 6.
@@ -142,24 +143,20 @@ def with_next(docs: DataFrame) -> DataFrame:
     """``PAIRED`` for every document: its fingerprint, that of its edited text, and likeness to that and to the
     next document by descending id. Texts are shuffled once."""
     arrow_ready(docs.sparkSession)
-    bounds = id_bounds(docs)
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), order_id().alias("_at")
-    ).withColumn("_range", range_of(F.col("_at"), bounds))
-    # The first id of each range, descending; at most as many as there are ranges.
-    heads = dict(rows.groupBy("_range").agg(F.max("_at")).collect())
-    present = sorted(heads, reverse=True)
-    before = {heads[r]: present[i - 1] for i, r in enumerate(present)}
-    goes_to = F.array(F.struct(F.col("_range").alias("place"), F.lit(0).alias("guest")))
-    if before:
-        known = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
-        also = F.array(F.struct(known[F.col("_at")].alias("place"), F.lit(1).alias("guest")))
-        goes_to = F.when(F.col("_at").isin(list(before)), F.concat(goes_to, also)).otherwise(goes_to)
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = keyed(docs)
+    heads = range_heads(rows, descending=True)
+    n = max(1, len(heads))
+    # The first row of a range, which its key tells from all others, goes to the range before too.
+    firsts = rows.sparkSession.createDataFrame(heads or [(0, "", 0, 0)], "o_at long, o_head string, o_hash long, o_read long")
+    first = rows.join(F.broadcast(firsts.withColumn("first", F.lit(True))), KEY, "left")
+    own = F.struct(F.col("place"), F.lit(0).alias("guest"))
+    also = F.struct(F.pmod(F.col("place") - 1, F.lit(n)).alias("place"), F.lit(1).alias("guest"))
+    goes_to = F.when(F.col("first"), F.array(own, also)).otherwise(F.array(own))
     ordered = (
-        rows.select("doc_id", "text", "_at", F.inline(goes_to))
-        .repartition(n, "place")
-        .sortWithinPartitions("place", "guest", F.desc("_at"), F.desc("text"))
+        in_ranges(first, heads, descending=True)
+        .select("doc_id", "text", *KEY, F.inline(goes_to))
+        .repartitionById(n, "place")
+        .sortWithinPartitions("place", "guest", *directed(descending=True))
         .select("place", "guest", "doc_id", "text")
     )
 

@@ -9,35 +9,36 @@ number of times a token occurs before a place, and the places where it occurs, w
 File format, little-endian: magic ``WVM1``; u32 bits, u64 ids, u64 documents; i64 doc_id and u64 first place of
 each document, u8 null flag of each id; u64 number of zeros of each plane; counts (u32) of all planes; planes (bytes, first
 id in the lowest bit). Files are rows of a Parquet table (part, shard, start, n_tokens, data), which Spark writes with its commit
-protocol, so a retried task leaves no half file; part is the id range, start the ids of the part before the shard. Parquet compresses the documents' entries and counts further.
+protocol, so a retried task leaves no half file; part is the partition of the sort, start the ids of the part before the shard. Parquet compresses the documents' entries and counts further.
 
-``encode`` uses the tokenizers library; each stretch of text between blanks is encoded once per worker
-and memo, which is exact because the byte-level pattern never joins characters across the border in front of a lone blank. Texts
-where that does not hold (runs of white space around a blank, special tokens in the text) are encoded whole.
+``encode`` uses the tokenizers library; texts are cut in front of blanks where the byte-level pattern has a border
+anyway, and each distinct stretch of a slice is encoded once. Texts with special tokens in them are encoded whole.
 
-Defined cases: a null text is empty and has the end id alone; documents of equal ids go by text; a null id goes first; a
+Documents are dealt by ranges of ids (``ordered``), as many as the session shuffles to or the input has splits, so
+parallelism follows the input and no group of equal or missing ids meets in one task.
+
+Defined cases: a null text is empty and has the end id alone; documents of equal ids go by the beginning of the text,
+then by a hash of it; a null id goes first; a
 document longer than a shard has a shard of its own; an empty table has no shards; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import os
-import re
-import string
 import struct
-from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 from tokenizers import Tokenizer
 
-from srcloom.llm.common import arrow_ready
-from srcloom.llm.ordered import id_bounds, order_id, range_of
+from srcloom.llm.common import arrow_ready, slices, text_bytes
+from srcloom.llm.ordered import in_order
 
 SHARD_TOKENS = 1 << 18
 END_ID = 0
@@ -45,7 +46,9 @@ BLOCK = 512
 MAGIC = b"WVM1"
 HEAD = struct.Struct("<4sIQQ")
 # Stretches of text in a generation of a worker's memo; it holds two at most.
-MEMO = 600_000
+MEMO = 150_000
+# Bytes of text that are encoded at once.
+SLICE = 8 << 20
 
 SHARDS = StructType(
     [
@@ -180,98 +183,132 @@ class Shard:
         return values
 
 
-# A blank with white space on both sides: the pattern's look-ahead may cut there otherwise.
-CROWDED = re.compile(r"\s \s")
+# Bytes that surely are no white space, whatever the library's tables say.
+SOLID = np.zeros(256, bool)
+SOLID[:0x80] = True
+SOLID[[*range(0x09, 0x0E), *range(0x1C, 0x20), 0x20]] = False
 
 
-class Stretches:
-    """Ids of the stretches of text that follow a blank, as packed bytes, in two generations.
+def stretches(texts: pa.StringArray) -> tuple[pa.BinaryArray, np.ndarray]:
+    """Texts cut in front of blanks, and the number of the first stretch of each text (one entry more than texts).
 
-    ``known`` serves look-ups. When it holds ``MEMO`` entries it becomes the old generation, from which those met
-    again are taken over, and the rest is forgotten. New words are encoded together, as one text of words
-    between blanks, and a word's marks behind it by themselves: the pattern cuts in front of each blank
-    and between letters and marks anyway.
+    The byte-level pattern has a border in front of a blank if the character before it or behind it is no white
+    space; where neither is sure the blank stays inside its stretch.
     """
-
-    def __init__(self, tokenizer: Tokenizer) -> None:
-        self.tokenizer = tokenizer
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def learn(self, stretches: set[str]) -> None:
-        if len(self.known) >= MEMO:
-            self.old, self.known = self.known, {}
-        known, stems, marked, others = self.known, set(), [], []
-        for s in stretches.difference(known):
-            if (again := self.old.get(s)) is not None:
-                known[s] = again
-                continue
-            stem = s.rstrip(string.punctuation)
-            if not stem.isalpha():
-                others.append(s)
-                continue
-            if stem not in known:
-                stems.add(stem)
-            if stem != s:
-                marked.append((s, stem, s[len(stem) :]))
-        words = list(stems)
-        known.update(zip(words, self._words(words)))
-        known.update(zip(others, self._each([f" {s}" for s in others])))
-        marks = list({mark for _, _, mark in marked})
-        by_mark = dict(zip(marks, self._each(marks)))
-        known.update((s, known[stem] + by_mark[mark]) for s, stem, mark in marked)
+    data, offsets = text_bytes(texts)
+    solid = SOLID[data]
+    cut = data == 0x20
+    if len(data):
+        near = np.zeros(len(data), bool)
+        near[1:] = solid[:-1]
+        edges = offsets[offsets < len(data)]
+        near[edges] = False
+        behind = np.zeros(len(data), bool)
+        behind[:-1] = solid[1:]
+        behind[offsets[1:][offsets[1:] > 0] - 1] = False
+        cut &= near | behind
+        cut[edges] = True
+    first = np.flatnonzero(cut)
+    bounds = np.append(first, len(data)).astype(np.int32)
+    found = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(bounds), pa.py_buffer(data)])
+    return found, np.searchsorted(first, offsets)
+
+
+class Encoder:
+    """Ids of texts, packed, by the library. Distinct stretches of a slice are encoded once; a memo of at most twice
+    ``MEMO`` of them, in two generations, only saves time. New stretches that start with a blank and a solid character
+    are encoded together, as one text: there is a border in front of each, whatever stands before, and the lengths of
+    the tokens tell where it is."""
+
+    def __init__(self, stored: str) -> None:
+        self.tokenizer = Tokenizer.from_str(stored)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.special = [t.content for t in added.values()]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.kind = np.uint16 if max(vocabulary.values()) < 1 << 16 else np.uint32
+        # Tokens are written with one character for each byte.
+        self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.lengths[i] = len(token.encode()) if i in added else len(token)
+        self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def _each(self, texts: list[str]) -> list[bytes]:
-        return [packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, self.kind).tobytes() for e in found]
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters, each behind a blank."""
-        if not words:
+    def _together(self, new: list[bytes]) -> list[bytes]:
+        if not new:
             return []
-        found = self.tokenizer.encode(" " + " ".join(words), add_special_tokens=False)
-        piece = np.array(found.word_ids, np.int64)
-        if piece[-1] + 1 != len(words):
-            # Letters to this Python that are none to the library.
-            return self._each([f" {w}" for w in words])
-        ends = (4 * np.searchsorted(piece, np.arange(len(words)), side="right")).tolist()
-        ids = packed(found.ids)
-        return [ids[start:end] for start, end in zip([0, *ends], ends)]
-
-
-def packed(ids: list[int]) -> bytes:
-    return array("I", ids).tobytes()
+        ids = np.array(self.tokenizer.encode_batch_fast([b"".join(new).decode()], add_special_tokens=False)[0].ids, np.int64)
+        ends = np.cumsum(self.lengths[ids])
+        wanted = np.cumsum([len(s) for s in new])
+        stops = np.searchsorted(ends, wanted)
+        if stops[-1] >= len(ends) or (ends[stops] != wanted).any():
+            return self._each([s.decode() for s in new])
+        raw, size = ids.astype(self.kind).tobytes(), np.dtype(self.kind).itemsize
+        borders = [0, *((stops + 1) * size).tolist()]
+        return [raw[a:b] for a, b in zip(borders, borders[1:])]
+
+    def _packed(self, distinct: list[bytes]) -> list[bytes]:
+        if len(self.known) >= MEMO:
+            self.old, self.known = self.known, {}
+        known, old = self.known, self.old
+        new = []
+        for s in distinct:
+            if s not in known:
+                if (again := old.get(s)) is not None:
+                    known[s] = again
+                else:
+                    new.append(s)
+        joined = [s for s in new if len(s) > 1 and s[0] == 0x20 and SOLID[s[1]]]
+        others = [s for s in new if not (len(s) > 1 and s[0] == 0x20 and SOLID[s[1]])]
+        known.update(zip(joined, self._together(joined)))
+        known.update(zip(others, self._each([s.decode() for s in others])))
+        return [known[s] for s in distinct]
+
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in order, and where those of each text start (one entry more than texts)."""
+        pieces, firsts = stretches(texts)
+        coded = pieces.dictionary_encode()
+        packed = self._packed(coded.dictionary.to_pylist())
+        pool = np.frombuffer(b"".join(packed), self.kind)
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // np.dtype(self.kind).itemsize
+        begins = np.cumsum(sizes) - sizes
+        which = coded.indices.to_numpy()
+        lengths = sizes[which]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        ids = pool[np.arange(ends[-1]) + np.repeat(begins[which] - ends[:-1], lengths)]
+        starts = ends[firsts]
+        special = [pc.match_substring(texts, s) for s in self.special]
+        held = np.flatnonzero(np.logical_or.reduce([m.to_numpy(zero_copy_only=False) for m in special])) if special else []
+        if not len(held):
+            return ids, starts
+        # Texts with special tokens in them are encoded whole.
+        rows = np.split(ids, starts[1:-1])
+        for i, raw in zip(held, self._each(texts.take(pa.array(held)).to_pylist())):
+            rows[i] = np.frombuffer(raw, self.kind)
+        return np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
 
 
 _loaded: list = [None, None]
 
 
-def _tokenizer(stored: str) -> tuple[Tokenizer, list[str], Stretches]:
+def encoder(stored: str) -> Encoder:
+    """The worker's encoder for a tokenizer file's content."""
     if _loaded[0] != hash(stored):
         # One task, one core.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        made = Tokenizer.from_str(stored)
-        made.no_truncation()
-        made.no_padding()
-        special = [t.content for t in made.get_added_tokens_decoder().values()]
-        _loaded[:] = [hash(stored), (made, special, Stretches(made))]
+        _loaded[:] = [hash(stored), Encoder(stored)]
     return _loaded[1]
 
 
 def encode(stored: str, texts: list[str]) -> list[np.ndarray]:
     """Ids of each text by the tokenizers library; ``stored`` is the tokenizer file's content."""
-    tokenizer, special, stretches = _tokenizer(stored)
-    rows, whole = [], []
-    for text in texts:
-        apart = not (CROWDED.search(text) or any(s in text for s in special))
-        first, *others = text.split(" ") if apart else [text]
-        whole.append(first)
-        rows.append(others)
-    stretches.learn(set().union(*rows))
-    known = stretches.known.__getitem__
-    heads = tokenizer.encode_batch_fast(whole, add_special_tokens=False)
-    return [
-        np.frombuffer(packed(head.ids) + b"".join(map(known, others)), np.uint32) for head, others in zip(heads, rows)
-    ]
+    ids, starts = encoder(stored).encode(pa.array(texts, pa.string()))
+    return np.split(ids, starts[1:-1]) if texts else []
 
 
 def _shards(rows: Iterator[tuple[int | None, np.ndarray]], bits: int) -> Iterator[tuple[int, bytes]]:
@@ -297,44 +334,23 @@ def write_shards(docs: DataFrame, tokenizer_file: str, folder: str, end_id: int
         stored = file.read()
     bits = max(1, (Tokenizer.from_str(stored).get_vocab_size() - 1).bit_length())
     shared = spark.sparkContext.broadcast(stored)
-    place = range_of(order_id(), id_bounds(docs))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = (
-        docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), order_id().alias("_at")
-        )
-        .withColumn("place", place)
-        .repartition(n, "place")
-        .sortWithinPartitions("place", "_at", "text")
-        .select("place", "doc_id", "text")
-    )
+    ordered = in_order(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def encoded() -> Iterator[tuple[int, int | None, np.ndarray]]:
-            for batch in batches:
-                texts = batch.column(2).to_pylist()
-                places, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                for at in range(0, len(texts), 500):
-                    part = slice(at, at + 500)
-                    for p, d, tokens in zip(places[part], ids[part], encode(shared.value, texts[part])):
-                        yield p, d, np.append(tokens, np.uint32(end_id))
-
-        rows = chain(encoded(), [None])
-        ahead = next(rows)
-        while ahead is not None:
-            now = ahead[0]
-
-            def own() -> Iterator[tuple[int | None, np.ndarray]]:
-                nonlocal ahead
-                while ahead is not None and ahead[0] == now:
-                    yield ahead[1], ahead[2]
-                    ahead = next(rows)
-
-            before = 0
-            for k, (size, data) in enumerate(_shards(own(), bits)):
-                columns = [pa.array([now], pa.int32()), *[pa.array([n]) for n in (k, before, size)], pa.array([data], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=SHARDS.names)
-                before += size
+        own = encoder(shared.value)
+
+        def encoded() -> Iterator[tuple[int | None, np.ndarray]]:
+            for batch in (part for whole in batches for part in slices(whole, 1, SLICE)):
+                ids, starts = own.encode(batch.column(1))
+                places = starts.tolist()
+                for doc_id, a, b in zip(batch.column(0).to_pylist(), places, places[1:]):
+                    yield doc_id, np.append(ids[a:b], own.kind(end_id))
+
+        part, before = TaskContext.get().partitionId(), 0
+        for k, (size, data) in enumerate(_shards(encoded(), bits)):
+            columns = [pa.array([part], pa.int32()), *[pa.array([n]) for n in (k, before, size)], pa.array([data], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=SHARDS.names)
+            before += size
 
     ordered.mapInArrow(run, SHARDS).write.parquet(folder)
 
@@ -343,7 +359,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of every document, from the shard files alone; ids are little-endian
     unsigned 32-bit numbers, start the number of ids in all files and documents before."""
     spark = arrow_ready(shards.sparkSession)
-    # One row per id range, MOST_RANGES at most: small enough for one window and for every task.
+    # One row per partition of the sort: small enough for one window and for every task.
     totals = shards.groupBy("part").agg(F.sum("n_tokens").alias("_n"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_part_start"))
@@ -375,3 +391,22 @@ def read_documents(shards: DataFrame) -> DataFrame:
                 )
 
     return rows.mapInArrow(run, schema)
+
+
+def occurrences(shards: DataFrame, token: int) -> DataFrame:
+    """(doc_id, place) of every occurrence of an id, place counted within the document. Shards without it are passed
+    over after one rank; in the others each occurrence is a select, and nothing is unpacked."""
+    arrow_ready(shards.sparkSession)
+    schema = StructType([StructField("doc_id", LongType()), StructField("place", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0):
+                shard = Shard(data.as_py())
+                places = np.array(shard.occurrences(token), np.int64)
+                home = np.searchsorted(shard.firsts, places, side="right") - 1
+                ids = [shard.doc_ids[h] for h in home.tolist()]
+                columns = [pa.array(ids, pa.int64()), pa.array(places - shard.firsts[home])]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return shards.select("data").mapInArrow(run, schema)

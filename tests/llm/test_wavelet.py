@@ -21,7 +21,7 @@ def test_encode():
     rng = random.Random(3)
     letters = " \n\t  abcdefgABC'sté123.,!\u2003\u3000\x1c\x85"
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(5000)]
-    texts += ["a<|endoftext|> b", "\n <|endoftext|>", "a  b   c", "x\n \ny", ""]
+    texts += ["a<|endoftext|> b", "\n <|endoftext|>", "a  b   c", "x\n \ny", "", "a  ", " ", "  ", "é é\u3000 a", "a 's 's"]
     for text, ids in zip(texts, wavelet.encode(STORED, texts)):
         assert ids.tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
 
@@ -74,3 +74,22 @@ def test_odd_rows(spark, tmp_path, monkeypatch, shard_tokens):
         found = wavelet.read_documents(spark.read.schema(wavelet.SHARDS).parquet(folder)).collect()
         made = sorted([(r.doc_id, r.start, r.n_tokens, zlib.crc32(r.ids)) for r in found], key=lambda r: r[1])
         assert made == (expected(rows) if name == "all" else [])
+
+
+def test_occurrences_over_shards(spark, tmp_path):
+    sf_dir, folder = "/root/testdata/sf0.001", str(tmp_path / "shards")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    wavelet.write_shards(docs, PATH, folder)
+    wanted = set()
+    for doc_id, text in docs.collect():
+        ids = [*LIBRARY.encode(text or "", add_special_tokens=False).ids, 0]
+        wanted |= {(doc_id, i) for i, t in enumerate(ids) if t == 290}
+    found = wavelet.occurrences(spark.read.parquet(folder), 290).collect()
+    assert len(wanted) > 100 and len(found) == len(wanted) and set(map(tuple, found)) == wanted
+
+
+def test_copies_without_id_are_spread(spark, tmp_path):
+    docs = spark.range(4000).selectExpr("cast(null as long) as doc_id", "'a copy' as text")
+    wavelet.write_shards(docs, PATH, str(tmp_path / "shards"))
+    rows = spark.read.parquet(str(tmp_path / "shards")).collect()
+    assert len(rows) == 8 and max(r.n_tokens for r in rows) < 1.5 * min(r.n_tokens for r in rows)
