@@ -51,7 +51,8 @@ def range_heads(rows: DataFrame, descending: bool = False) -> list[tuple]:
     if total is None:
         return []
     step = -(-total // n)
-    first = (F.col("position") == 1) | (F.floor(F.col("upto") / step) > F.floor((F.col("upto") - F.col("size")) / step))
+    last = F.expr(f"(upto - 1) div {step}")
+    first = (F.col("position") == 1) | (last > F.expr(f"(upto - 1 - size) div {step}"))
     return sorted(tuple(r) for r in upto.where(first).select(*KEY).collect())
 
 
