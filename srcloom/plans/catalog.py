@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from srcloom.functions import replies
@@ -627,9 +627,10 @@ def oversize(spark, sf_dir):
 # --- vectors ---------------------------------------------------------------------------------------
 
 
-def _label_queries(spark, sf_dir):
-    """One query per label: the mean of the label's vectors."""
-    return vectors.mean_vectors(tables.table(spark, sf_dir, "embeddings"), "label")
+def _vector_queries(spark, sf_dir):
+    """Every vector whose id is divisible by 20, as a query against all."""
+    own = tables.table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0")
+    return own.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
 
 def _ranked(nearest):
@@ -641,13 +642,32 @@ def _ranked(nearest):
 @query
 def vector_topk(spark, sf_dir):
     table = tables.table(spark, sf_dir, "embeddings")
-    return _ranked(vectors.search_many(table, _label_queries(spark, sf_dir)))
+    return _ranked(vectors.search_many(table, _vector_queries(spark, sf_dir)))
 
 
 @query
 def vector_topk_filtered(spark, sf_dir):
     table = tables.table(spark, sf_dir, "embeddings")
-    return _ranked(vectors.search_many(table, _label_queries(spark, sf_dir), where=F.col("label") >= 5))
+    return _ranked(vectors.search_many(table, _vector_queries(spark, sf_dir), where=F.col("label") >= 5))
+
+
+def _indexed(spark, sf_dir):
+    """Vector table stored with its buckets."""
+    return written(vectors.with_buckets(tables.table(spark, sf_dir, "embeddings")), "vector-index")
+
+
+@query
+def vector_buckets(spark, sf_dir):
+    """Nearest vectors among those in the buckets that a query looks into; distances are exact."""
+    return _ranked(vectors.search_buckets(_indexed(spark, sf_dir), _vector_queries(spark, sf_dir)))
+
+
+@query
+def vector_recall(spark, sf_dir):
+    """Whether the buckets find nine of ten of the exact nearest, over all queries."""
+    indexed, points = _indexed(spark, sf_dir), _vector_queries(spark, sf_dir)
+    met = vectors.recall(vectors.search_many(indexed, points), vectors.search_buckets(indexed, points))
+    return met.select("wanted", (F.col("recall") >= 0.9).alias("enough"))
 
 
 @query
@@ -660,10 +680,16 @@ def vector_search(spark, sf_dir):
 
 @query
 def retrieval_accuracy(spark, sf_dir):
+    """Share of queries with a vector of their own label among their nearest others."""
     table = tables.table(spark, sf_dir, "embeddings")
-    nearest = vectors.search_many(table, _label_queries(spark, sf_dir))
-    labelled = nearest.join(table.select("vec_id", "label"), "vec_id")
-    return vectors.retrieval_accuracy(labelled, F.col("label") == F.col("query_id"))
+    nearest = vectors.search_many(table, _vector_queries(spark, sf_dir), vectors.TOP_K + 1).where("query_id <> vec_id")
+    own = Window.partitionBy("query_id").orderBy("distance", "vec_id")
+    others = nearest.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= vectors.TOP_K)
+    labels = table.select("vec_id", "label")
+    labelled = others.join(labels, "vec_id").join(
+        labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("wanted")), "query_id"
+    )
+    return vectors.retrieval_accuracy(labelled, F.col("label") == F.col("wanted"))
 
 
 @query

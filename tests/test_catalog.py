@@ -19,8 +19,12 @@ def test_query_equals_sql(spark, db, name):
     assert compare(spark, db, CATALOG[name], ORACLES[name], SF_DIR) == []
 
 
+# Approximate search has no SQL; tests/test_tables.py holds it against exact search.
+WITHOUT_SQL = {"vector_buckets"}
+
+
 def test_every_query_has_sql():
-    assert set(CATALOG) == set(ORACLES)
+    assert set(CATALOG) == set(ORACLES) | WITHOUT_SQL
 
 
 def test_entry(spark):

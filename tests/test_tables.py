@@ -143,9 +143,9 @@ def test_vector_search(points):
     assert [r.vec_id for r in some.collect()] == nearest(data, data[7], 4, lambda i: i % 4 == 2)
 
 
-@pytest.mark.parametrize("block", [1024, 7])
-def test_many_queries_in_blocks(points, monkeypatch, block):
-    monkeypatch.setattr(vectors, "BLOCK", block)
+@pytest.mark.parametrize("size", [1 << 20, 500])
+def test_many_queries_in_cells(points, monkeypatch, size):
+    monkeypatch.setattr(vectors, "CELL_BYTES", size)
     data, table = points
     queries = table.where("vec_id >= 380").selectExpr("vec_id as query_id", "embedding as query")
     got = vectors.search_many(table, queries, 3).orderBy("query_id", "rank").collect()
@@ -162,6 +162,71 @@ def test_odd_vectors(spark):
     assert vectors.search_many(table, queries.limit(0), 3).count() == 0
 
 
+@pytest.mark.parametrize("size", [1 << 20, 500])
+def test_search_in_buckets(points, monkeypatch, size):
+    monkeypatch.setattr(vectors, "CELL_BYTES", size)
+    data, table = points
+    queries = table.where("vec_id >= 300").selectExpr("vec_id as query_id", "embedding as query")
+    indexed = vectors.with_buckets(table, tables=3, bits=6)
+    exact = vectors.search_many(table, queries, 4)
+    found = vectors.search_buckets(indexed, queries, 4, share=0.3, tables=3, bits=6)
+    rows = found.collect()
+    assert len(rows) == len({(r.query_id, r.vec_id) for r in rows}) == 400
+    for r in rows:
+        assert r.distance == ((data[r.query_id] - data[r.vec_id]) ** 2).sum()
+    # Exactly the nearest of what the buckets offer.
+    directions, every = vectors.planes(8, 3, 6), (np.arange(64)[:, None] >> np.arange(6)) & 1
+    codes = np.stack([(data @ p.T > 0) @ (1 << np.arange(6)) for p in directions])
+    wanted = set()
+    for q in range(300, 400):
+        offered = set()
+        for p, code in zip(directions, codes):
+            margins = p @ data[q]
+            cost = ((every != (margins > 0)) * margins**2).sum(1)
+            offered |= set(np.flatnonzero(np.isin(code, np.argsort(cost)[:19])).tolist())
+        wanted |= {(q, i, k) for k, i in enumerate(nearest(data, data[q], 4, offered.__contains__), 1)}
+    assert {(r.query_id, r.vec_id, r.rank) for r in rows} == wanted
+    row = vectors.recall(exact, found).first()
+    assert row.wanted == 400 and row.recall > 0.9
+    looked = vectors.looked_into(indexed, queries, 0.3, 3, 6).first()
+    assert (looked.queries, looked.vectors) == (100, 400) and 0.2 < looked.share / 3 < 0.4
+    # All buckets offer all vectors.
+    whole = vectors.search_buckets(indexed, queries, 4, share=1.0, tables=3, bits=6)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, exact.collect()))
+
+
+def test_a_common_vector_is_spread_over_cells(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CELL_BYTES", 16 * 50)
+    table = spark.range(600).selectExpr("id as vec_id", "if(id % 3 = 0, array(1d, 1d), array(double(id), 2d)) as embedding")
+    queries = spark.createDataFrame([(1, [1.0, 1.0]), (2, [3.0, 2.0])], "query_id long, query array<double>")
+    for found in (vectors.search_many(table, queries, 3), vectors.search_buckets(vectors.with_buckets(table), queries, 3, 1.0)):
+        got = sorted((r.query_id, r["rank"], r.vec_id) for r in found.collect())
+        assert got == [(1, 1, 0), (1, 2, 3), (1, 3, 6), (2, 1, 2), (2, 2, 4), (2, 3, 1)]
+
+
+ALONE = """
+import os, sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+import __spark_entry__ as entry
+print("ROWS", entry.queries()[{name!r}](spark, "/root/testdata/sf0.001").count())
+"""
+
+
+@pytest.mark.parametrize("name", ["vector_topk", "vector_buckets", "extract_functions"])
+def test_first_query_of_a_session_elsewhere(tmp_path, name):
+    import os
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    own = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    code = ALONE.format(repo=repo, name=name)
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=own, capture_output=True, text=True, timeout=300)
+    assert "ROWS" in done.stdout, done.stderr[-2000:]
+
+
 def test_many_queries_do_not_pass_through_the_driver(spark, points, monkeypatch):
     from pyspark.sql.classic.dataframe import DataFrame
 
