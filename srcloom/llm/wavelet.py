@@ -11,8 +11,8 @@ each document, u8 null flag of each id; u64 number of zeros of each plane; count
 id in the lowest bit). Files are rows of a Parquet table (part, shard, start, n_tokens, data), which Spark writes with its commit
 protocol, so a retried task leaves no half file; part is the partition of the sort, start the ids of the part before the shard. Parquet compresses the documents' entries and counts further.
 
-``encode`` uses the tokenizers library; texts are cut in front of blanks where the byte-level pattern has a border
-anyway, and each distinct stretch of a slice is encoded once. Texts with special tokens in them are encoded whole.
+``encode`` uses the tokenizers library; texts are cut where the byte-level pattern has a border anyway, and each distinct
+stretch of a slice is encoded once. Texts with special tokens in them are encoded whole.
 
 Documents are dealt by ranges of ids (``ordered``), as many as the session shuffles to or the input has splits, so
 parallelism follows the input and no group of equal or missing ids meets in one task.
@@ -46,7 +46,7 @@ BLOCK = 512
 MAGIC = b"WVM1"
 HEAD = struct.Struct("<4sIQQ")
 # Stretches of text in a generation of a worker's memo; it holds two at most.
-MEMO = 150_000
+MEMO = 300_000
 # Bytes of text that are encoded at once.
 SLICE = 8 << 20
 
@@ -189,25 +189,35 @@ SOLID[:0x80] = True
 SOLID[[*range(0x09, 0x0E), *range(0x1C, 0x20), 0x20]] = False
 
 
+BLANK, LINE_END, ALNUM, MARK = 0x20, np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+LINE_END[0x0A:0x0E] = True
+ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+MARK[0x21:0x7F] = ~ALNUM[0x21:0x7F]
+
+
 def stretches(texts: pa.StringArray) -> tuple[pa.BinaryArray, np.ndarray]:
-    """Texts cut in front of blanks, and the number of the first stretch of each text (one entry more than texts).
+    """Texts cut at borders of the byte-level pattern, and the number of the first stretch of each text (one entry more
+    than texts).
 
-    The byte-level pattern has a border in front of a blank if the character before it or behind it is no white
-    space; where neither is sure the blank stays inside its stretch.
+    The pattern has a border in front of a blank if the character before it or behind it is no white space, in front of
+    a line end behind such a character, behind a single line end between two, and between an ASCII letter or
+    digit and an ASCII mark. Where none of this is sure the text stays together.
     """
     data, offsets = text_bytes(texts)
-    solid = SOLID[data]
-    cut = data == 0x20
+    cut = np.zeros(len(data), bool)
     if len(data):
-        near = np.zeros(len(data), bool)
-        near[1:] = solid[:-1]
-        edges = offsets[offsets < len(data)]
-        near[edges] = False
-        behind = np.zeros(len(data), bool)
-        behind[:-1] = solid[1:]
-        behind[offsets[1:][offsets[1:] > 0] - 1] = False
-        cut &= near | behind
-        cut[edges] = True
+        solid, blank, ended = SOLID[data], data == BLANK, LINE_END[data]
+        cut[:-1] = blank[:-1] & solid[1:]
+        cut[1:] |= solid[:-1] & (blank[1:] | ended[1:])
+        cut[2:] |= solid[:-2] & ended[1:-1] & solid[2:]
+        cut[1:] |= ALNUM[data[:-1]] & MARK[data[1:]]
+        # What follows the last character of a text is another text.
+        last = offsets[1:][offsets[1:] > offsets[:-1]] - 1
+        sure = np.zeros(len(last), bool)
+        inner = last > 0
+        sure[inner] = solid[last[inner] - 1]
+        cut[last[blank[last] & ~sure]] = False
+        cut[offsets[offsets < len(data)]] = True
     first = np.flatnonzero(cut)
     bounds = np.append(first, len(data)).astype(np.int32)
     found = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(bounds), pa.py_buffer(data)])

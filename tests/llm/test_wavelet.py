@@ -93,3 +93,11 @@ def test_copies_without_id_are_spread(spark, tmp_path):
     wavelet.write_shards(docs, PATH, str(tmp_path / "shards"))
     rows = spark.read.parquet(str(tmp_path / "shards")).collect()
     assert len(rows) == 8 and max(r.n_tokens for r in rows) < 1.5 * min(r.n_tokens for r in rows)
+
+
+def test_encode_hostile_borders():
+    rng = random.Random(5)
+    letters = " \n\n\r\t a'sS.,é1 \x1c!"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 12))) for _ in range(20_000)]
+    for text, ids in zip(texts, wavelet.encode(STORED, texts)):
+        assert ids.tolist() == LIBRARY.encode(text, add_special_tokens=False).ids, repr(text)
