@@ -747,6 +747,38 @@ def stream_dedup(spark, sf_dir):
     return streams.dedup_results(keyed, "hash", "ts").select("hash")
 
 
+# Times of prompts and replies that tables without any are given: a prompt a second, replies after up to nine minutes.
+SENT = "timestamp '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, p_partkey)"
+RECEIVED = f"{SENT} + make_dt_interval(0, 0, p_partkey % 10, 0)"
+# Beyond all times in the tables.
+END = "2100-01-01 00:00:00"
+
+
+@query
+def stream_replies(spark, sf_dir):
+    """Prompts and replies as two streams; a prompt whose reply does not come within five minutes is missing one."""
+    parts = streams.file_stream(spark, f"{sf_dir}/part.parquet*")
+    prompts = parts.selectExpr(f"{tables.SOURCE_PATH} as file_path", "concat('f', p_partkey) as chunk_name", "p_partkey as chunk_id", f"{SENT} as sent")
+    replies = parts.where(tables.REPLIED).selectExpr("p_partkey as chunk_id", f"{tables.F_REPLY} as raw_response", "bigint(p_size * 10) as tokens_used", f"{RECEIVED} as received")
+    met = streams.with_replies(
+        streams.closed(prompts, sent=END, chunk_id=-1), streams.closed(replies, received=END, chunk_id=-1), "chunk_id", "sent", "received"
+    )
+    checked = results.validate_responses(met.where(F.col("sent") < F.lit(END).cast("timestamp")))
+    error = F.when(F.col("replied"), F.col("error")).otherwise(F.lit(results.NO_REPLY))
+    rows = results.assemble_results(checked.withColumn("error", error))
+    return streams.append_results(rows.select("file_path", "chunk_name", "status", "function_role"), lambda same: same)
+
+
+@query
+def stream_retries(spark, sf_dir):
+    """Last state of each chunk's tries, all timers over: what has not succeeded by then is given up."""
+    events = streams.closed(streams.file_stream(spark, f"{sf_dir}/events.parquet*").selectExpr("event_id", "event_type", "cast(ts as timestamp) as ts"), ts=END)
+    attempts = events.selectExpr("event_id div 4 as chunk_id", f"{tables.OUTCOME} as outcome", "ts")
+    rows = streams.append_results(streams.retry_states(attempts, max_attempts=3, max_wait=3600), lambda same: same)
+    last = F.max_by(F.struct("failures", "succeeded", "elapsed_seconds", "gave_up"), F.struct(F.col("gave_up"), "failures")).alias("last")
+    return rows.groupBy("chunk_id").agg(last).select("chunk_id", F.col("last.failures").cast("bigint").alias("failures"), "last.succeeded", "last.elapsed_seconds", "last.gave_up")
+
+
 @query
 def stream_stats(spark, sf_dir):
     stream = streams.file_stream(spark, f"{sf_dir}/events.parquet*")

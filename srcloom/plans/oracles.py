@@ -744,5 +744,20 @@ oracle(
         from c_stream_checked""",
 )
 oracle("stream_append_csv", "select file_path, md5(raw_response) as digest from c_stream")
+# Replies after more than five minutes come too late.
+CTES["c_prompted"] = f"""
+    select {t.SOURCE_PATH} as file_path, concat('f', p_partkey) as chunk_name, {t.F_REPLY} as raw_response,
+        {t.REPLIED} and p_partkey % 10 <= 5 as replied from part"""
+CTES["c_prompted_checked"] = _checked("c_prompted", "raw_response")
+oracle(
+    "stream_replies",
+    f"""select file_path, chunk_name, case when not replied then 'missing' when error is not null then 'invalid' else 'ok' end as status,
+        case when not replied then concat({_MARK}, 'no reply') else {_value('function_role', f"concat({_MARK}, left(error, 100))")} end as function_role
+        from c_prompted_checked""",
+)
+oracle(
+    "stream_retries",
+    """select chunk_id, failures, succeeded, elapsed_seconds, not succeeded and failures > 0 as gave_up from c_tries""",
+)
 oracle("stream_dedup", "select distinct sha256(concat(event_type, props)) as hash from events")
 oracle("stream_stats", "select event_type, count(*) as n, cast(sum(user_id) as bigint) as tokens from events group by 1")

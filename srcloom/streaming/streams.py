@@ -1,17 +1,29 @@
-"""File streams into append, deduplicated and running-counter tables."""
+"""File streams into append, deduplicated, joined and running tables.
+
+Event-time state is bounded by watermarks: rows later than the watermark are dropped and counted, and what cannot be
+met any more leaves the state.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructField, StructType
 
-from srcloom.session import new_folder
+from srcloom.operators.retries import EXPONENTIAL_BASE, MAX_ATTEMPTS, MAX_WAIT_SECONDS
+from srcloom.session import new_folder, ship_package
 from srcloom.sources.sinks import CSV
 
 TTL = "30 days"
+REPLY_LIMIT, REPLY_DELAY = "300 seconds", "60 seconds"
+# Groups in which a key's copies are reduced before they meet; batches whose progress is kept.
+SALTS, KEPT_PROGRESS = 64, 10_000
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -42,37 +54,155 @@ def append_results(stream: DataFrame, transform: Callable[[DataFrame], DataFrame
     return spark.read.parquet(sink)
 
 
-def dedup_into(stream: DataFrame, key: str, ts: str, sink: str, checkpoint: str, ttl: str = TTL) -> None:
-    """Append the first row of each key to a table; a key counts anew once ``ttl`` has passed since its last row there.
+@dataclass(frozen=True)
+class Progress:
+    """Of a run: batches, rows later than the watermark, and the largest state of any batch."""
 
-    Copies within a batch are combined on the map side, so a key with a third of the rows reaches the shuffle
-    once per task. What is left is compared with the keys written by earlier batches. Each batch has a folder of its own,
-    so a repeated one overwrites itself.
-    """
+    batches: int
+    late_rows: int
+    state_rows: int
+    state_bytes: int
+
+
+def run_counted(stream: DataFrame, sink: str, checkpoint: str) -> Progress:
+    """``run_available`` in append mode, with what the state did; all batches of the run count."""
     spark = stream.sparkSession
-    # Only the latest batch may run again, so a folder that exists for later ones is never read here.
-    expiry = F.expr(f"interval {ttl}")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", str(KEPT_PROGRESS))
+    writer = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+    query = writer.format("parquet").option("path", sink).trigger(availableNow=True).start()
+    query.awaitTermination()
+    states = [json.loads(p.json)["stateOperators"] for p in query.recentProgress]
+    return Progress(
+        len(states),
+        sum(o["numRowsDroppedByWatermark"] for batch in states for o in batch),
+        max((sum(o["numRowsTotal"] for o in batch) for batch in states), default=0),
+        max((sum(o["memoryUsedBytes"] for o in batch) for batch in states), default=0),
+    )
 
-    def save(batch: DataFrame, number: int) -> None:
-        others = [c for c in batch.columns if c not in (key, ts)]
-        row = F.min(F.struct(F.col(ts).cast("timestamp").alias(ts), *others)).alias("_row")
-        firsts = batch.groupBy(key).agg(row).select(key, "_row.*").select(*batch.columns)
-        if number:
-            before = spark.read.schema(StructType([*firsts.schema.fields, StructField("batch", LongType())])).parquet(sink).where(F.col("batch") < number)
-            last = before.groupBy(F.col(key).alias("_key")).agg(F.max(ts).alias("_last"))
-            known = (F.col(key) == F.col("_key")) & (F.col("_last") + expiry >= F.col(ts))
-            firsts = firsts.join(last, known, "left_anti")
-        firsts.write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
-    query = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(save).trigger(availableNow=True)
-    query.start().awaitTermination()
+def first_of_key(stream: DataFrame, key: str, ts: str, ttl: str = TTL) -> DataFrame:
+    """One row of each key; a key counts anew once the watermark, ``ttl`` behind the newest row, has passed its first row.
+
+    Null keys are one key. A key's rows are first reduced within ``SALTS`` groups by where they were read, so that one with a
+    third of all rows does not meet in a single task.
+    """
+    at = F.col(ts).cast("timestamp").alias("event_time")
+    salted = stream.select("*", at, F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt"))
+    marked = salted.withWatermark("event_time", ttl)
+    once = marked.dropDuplicatesWithinWatermark([key, "salt"]).dropDuplicatesWithinWatermark([key])
+    return once.select(*stream.columns)
+
+
+def dedup_into(stream: DataFrame, key: str, ts: str, sink: str, checkpoint: str, ttl: str = TTL) -> Progress:
+    """Append ``first_of_key`` to a table. The state is all that is kept of earlier batches."""
+    return run_counted(first_of_key(stream, key, ts, ttl), sink, checkpoint)
 
 
 def dedup_results(stream: DataFrame, key: str, ts: str, ttl: str = TTL) -> DataFrame:
     spark = stream.sparkSession
     sink = new_folder(spark, "dedup")
     dedup_into(stream, key, ts, sink, new_folder(spark, "dedup-log"), ttl)
-    return spark.read.parquet(sink).drop("batch")
+    return spark.read.parquet(sink)
+
+
+def closed(stream: DataFrame, **values: object) -> DataFrame:
+    """A stream that is read in one batch with one more row of the given values, null elsewhere, whose time moves the
+    watermark behind all others; in more batches such a row belongs into the last file. It needs whatever filters ask for that Spark may move in front of the watermark, such as a key that is
+    not null; take it out by its time, by which no filter moves."""
+    spark = stream.sparkSession
+    folder = new_folder(spark, "closing")
+    row = [F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in stream.schema]
+    spark.range(1).select(*row).write.parquet(folder)
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(folder))
+
+
+def with_replies(
+    prompts: DataFrame,
+    replies: DataFrame,
+    key: str,
+    sent: str,
+    received: str,
+    limit: str = REPLY_LIMIT,
+    delay: str = REPLY_DELAY,
+) -> DataFrame:
+    """Prompts with the replies that came within ``limit`` of being sent, and ``replied``; a prompt without one
+    comes out with nulls when the watermark has passed its limit.
+
+    Both streams hold rows of their own for as long as a partner may come and no longer. ``delay`` is how
+    late a row may be behind the newest of its stream. Prompts with a null key have no reply.
+    """
+    own = prompts.withWatermark(sent, delay)
+    others = replies.withColumnRenamed(key, "reply_key").withWatermark(received, delay)
+    within = (
+        (F.col(key) == F.col("reply_key"))
+        & (F.col(received) >= F.col(sent))
+        & (F.col(received) <= F.col(sent) + F.expr(f"interval {limit}"))
+    )
+    met = own.join(others, within, "leftOuter")
+    return met.withColumn("replied", F.col("reply_key").isNotNull()).drop("reply_key")
+
+
+ATTEMPT_STATE = "failures int, succeeded boolean, first_at long, last_at long"
+ATTEMPT_ROW = "failures int, succeeded boolean, elapsed_seconds long, gave_up boolean, next_wait_seconds double"
+
+
+def retry_states(
+    attempts: DataFrame,
+    max_attempts: int = MAX_ATTEMPTS,
+    max_wait: int = MAX_WAIT_SECONDS,
+    base: int = EXPONENTIAL_BASE,
+    delay: str = "0 seconds",
+) -> DataFrame:
+    """Tries of each chunk as they come in: (chunk_id, failures, succeeded, elapsed_seconds, gave_up, next_wait_seconds),
+    a row whenever a chunk has new ones.
+
+    A chunk has a timer at its first try plus ``max_wait``. If it has failed and not succeeded by then it is given
+    up, whether or not a further row comes; its state goes, as that of a chunk that succeeded or failed too often does when its
+    timer ends.
+    """
+    ship_package(attempts.sparkSession)
+    fields = [StructField("chunk_id", attempts.schema["chunk_id"].dataType)]
+    schema = StructType([*fields, *StructType.fromDDL(ATTEMPT_ROW).fields])
+    marked = attempts.where(F.col("chunk_id").isNotNull() & F.col("ts").isNotNull()).select(
+        "chunk_id",
+        (F.col("outcome") == "transient").alias("failed"),
+        (F.col("outcome") == "success").alias("succeeded"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"),
+    )
+
+    def row(key: tuple, failures: int, succeeded: bool, seconds: int, over: bool) -> pd.DataFrame:
+        gave_up = not succeeded and failures > 0 and (over or failures >= max_attempts or seconds >= max_wait)
+        waits = not succeeded and not gave_up and failures > 0
+        wait = min(float(base) ** (failures - 1), float(max_wait - seconds)) if waits else None
+        return pd.DataFrame([(key[0], failures, succeeded, seconds, gave_up, wait)], columns=schema.names)
+
+    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        failures, succeeded, first, last = state.get if state.exists else (0, False, None, None)
+        if state.hasTimedOut:
+            yield row(key, failures, succeeded, last - first, True)
+            state.remove()
+            return
+        for batch in batches:
+            failures += int(batch["failed"].sum())
+            succeeded = bool(succeeded or batch["succeeded"].any())
+            first = min(int(batch["at"].min()), first) if first is not None else int(batch["at"].min())
+            last = max(int(batch["at"].max()), last) if last is not None else int(batch["at"].max())
+        state.update((failures, succeeded, first, last))
+        end = (first + max_wait) * 1000
+        over = end <= state.getCurrentWatermarkMs()
+        if over:
+            state.remove()
+        else:
+            state.setTimeoutTimestamp(end)
+        yield row(key, failures, succeeded, last - first, over)
+
+    return (
+        marked.withWatermark("ts", delay)
+        .groupBy("chunk_id")
+        .applyInPandasWithState(follow, schema, ATTEMPT_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    )
 
 
 def append_csv(stream: DataFrame, folder: str, checkpoint: str) -> None:
