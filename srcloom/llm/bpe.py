@@ -21,13 +21,13 @@ that the installed Unicode tables class differently (unassigned or newest ones)
 from __future__ import annotations
 
 import json
-import os
 import unicodedata
 from collections.abc import Iterable
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -39,9 +39,6 @@ from srcloom.llm.common import add_columns, arrow_ready
 SHORT = 64
 MEMO = 300_000
 
-# Folder of the public tokenizer files; a parameter of the installation.
-TOKENIZERS = os.environ.get("TOKENIZERS", "/opt/tokenizers")
-
 NONE = np.iinfo(np.int64).max
 PLACE_BITS = 32
 
@@ -61,7 +58,8 @@ class Vocabulary:
 
 
 def tokenizer_path(name: str) -> str:
-    return os.path.join(TOKENIZERS, name)
+    """Where the installation keeps a public tokenizer file."""
+    return public_tokenizers.path(name)
 
 
 def byte_characters() -> list[str]:

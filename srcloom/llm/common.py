@@ -74,15 +74,16 @@ def add_columns(
     """Keep some columns and add others that are computed from whole texts, without a shuffle.
 
     ``compute`` gets the texts (null: empty) and the columns ``also`` of one slice. A kept column with the
-    name of an added one, whatever its case, is replaced.
+    name of an added one, whatever its case, is replaced; other names cannot clash.
     """
     kept = without(keep, [f.name for f in fields])
     chosen = docs.select(
-        *[quoted(c) for c in kept],
-        *[quoted(c).alias(f"_also_{i}") for i, c in enumerate(also)],
-        F.coalesce(quoted(text).cast("string"), F.lit("")).alias("_text"),
+        *[quoted(c).alias(f"k{i}") for i, c in enumerate(kept)],
+        *[quoted(c).alias(f"a{i}") for i, c in enumerate(also)],
+        F.coalesce(quoted(text).cast("string"), F.lit("")).alias("t"),
     )
-    schema = StructType([*chosen.schema.fields[: len(kept)], *fields])
+    made_fields = [StructField(f"f{i}", f.dataType) for i, f in enumerate(fields)]
+    schema = StructType([*chosen.schema.fields[: len(kept)], *made_fields])
     names, place, n = schema.names, len(kept) + len(also), len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +93,23 @@ def add_columns(
                 made = compute(part.column(place), others)
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], *made], names=names)
 
-    return chosen.mapInArrow(run, schema)
+    found = chosen.mapInArrow(run, schema)
+    return found.select(
+        *[F.col(f"k{i}").alias(c) for i, c in enumerate(kept)], *[F.col(f"f{i}").alias(f.name) for i, f in enumerate(fields)]
+    )
+
+
+def carried(docs: DataFrame, wanted: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """The columns of a table under names that clash with nothing, and beside them those an operator reads by
+    name, null where the table has none but a text. ``returned`` takes back the first."""
+    present = {c.lower() for c in docs.columns}
+    own = [f"own_{i}" for i in range(len(docs.columns))]
+    read = [quoted(c).alias(c) if c in present or c == "text" else F.lit(None).cast("string").alias(c) for c in wanted]
+    return docs.select(*[quoted(c).alias(o) for c, o in zip(docs.columns, own)], *read), own
+
+
+def returned(found: DataFrame, docs: DataFrame) -> DataFrame:
+    return found.select(*[F.col(f"own_{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def _word_bytes() -> np.ndarray:

@@ -9,13 +9,15 @@ its longest verbatim match in the shard and, at the window length, the interval
 A window is ``WINDOW`` consecutive words of an item, or all words of a shorter one. A document word inside any
 occurrence is hit. A document is contaminated if the hit words make at least 1/``SHARE`` of its words.
 
-Benchmarks of any size work: each ``BLOCK_BYTES`` of items (or one longer item) are a block, each block is
-sent to the tasks by itself and passes over the documents in the same stage, adding to what the blocks before
-have found.
+Benchmarks of any size work: each ``BLOCK_BYTES`` of items (or one longer item) are a block, and blocks pass over the
+documents one after the other; the driver and the tasks hold one at a time.
 
 Defined cases: null or wordless texts have no words and no hits, and stay; null or wordless items have no
 windows; rows of equal ids are judged each by itself; items of equal text all count; items with equal ids are one
-id in ``items``. Items with a null id hit words but are not counted among the ids.
+id in ``items``. Items with a null id hit words but are not counted among the ids. Texts and items of any length are
+read whole; an empty table or an empty benchmark gives no hits; a kept column with the name of an added one is
+replaced, and no other name clashes. Documents must read the same way twice, as files do, where a benchmark has
+several blocks.
 """
 
 from __future__ import annotations
@@ -30,19 +32,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from srcloom.llm.common import arrow_ready, quoted, slices, text_words, without
+from pyspark.sql.pandas.types import to_arrow_type
+
+from srcloom.llm.common import arrow_ready, carried, quoted, returned, slices, text_words, without
+from srcloom.session import written
 
 WINDOW = 13
 SHARE = 20
 BLOCK_BYTES = 8 << 20
 SHARD_BYTES = 4 << 20
 
+PLACE = StructType([StructField("item_word", LongType()), StructField("doc_word", LongType())])
 MATCH = StructType(
     [
         StructField("item_id", StringType()),
-        StructField("item_word", LongType()),
-        StructField("doc_word", LongType()),
         StructField("n_words", LongType()),
+        StructField("places", ArrayType(PLACE)),
     ]
 )
 SPAN = StructType([StructField("start", LongType()), StructField("stop", LongType())])
@@ -52,6 +57,8 @@ FOUND = [
     StructField("_items", ArrayType(StringType())),
     StructField("_matches", ArrayType(MATCH)),
 ]
+# Pairs of a place in the shard and one in an item that are compared at once.
+PAIRS = 1 << 20
 
 
 @dataclass
@@ -85,13 +92,13 @@ def blocks(benchmark: DataFrame) -> Iterator[Block]:
     """The benchmark in blocks of bounded size; one block at a time is in the driver."""
     rows = benchmark.select(quoted("item_id").cast("string"), F.coalesce("text", F.lit("")).alias("text"))
     ids, texts, size = [], [], 0
-    for row in rows.toLocalIterator():
-        if ids and size + len(row[1]) > BLOCK_BYTES:
+    for row in rows.select("*", F.octet_length("text")).toLocalIterator():
+        if ids and size + row[2] > BLOCK_BYTES:
             yield block(ids, texts)
             ids, texts, size = [], [], 0
         ids.append(row[0])
         texts.append(row[1])
-        size += len(row[1])
+        size += row[2]
     if ids:
         yield block(ids, texts)
 
@@ -196,12 +203,11 @@ def scan_shard(texts: pa.StringArray, own: Block) -> list[tuple]:
     # Longest verbatim match of every item suffix: with the neighbours of its place in the array.
     every = np.arange(len(own.words))
     place = search(shard, suffixes, own, every, own.left, False)
-    best, where = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64)
+    best = np.zeros(len(every), np.int64)
     for side in (place - 1, place):
         near = np.clip(side, 0, len(suffixes) - 1)
         common, _ = _compare(shard, suffixes[near], own, every, own.left)
-        better = (common > best) & (side == near)
-        best[better], where[better] = common[better], suffixes[near[better]]
+        best = np.maximum(best, np.where(side == near, common, 0))
     # Windows that occur: the interval of suffixes with the window as prefix.
     queries = own.queries[best[own.queries] >= own.depth[own.queries]]
     if not len(queries):
@@ -214,89 +220,134 @@ def scan_shard(texts: pa.StringArray, own: Block) -> list[tuple]:
     by_interval = np.argsort(inverse.ravel(), kind="stable")
     ends = np.cumsum(np.bincount(inverse.ravel(), minlength=len(intervals)))
     cover = np.zeros(len(shard) + 1, np.int64)
-    items: list[set] = [set() for _ in range(n)]
-    longest: list[dict] = [{} for _ in range(n)]
+    met: list[np.ndarray] = []
+    longest: list[tuple] = []
     for k, (a, b, d) in enumerate(intervals.tolist()):
         spots = suffixes[a:b]
+        asked = queries[by_interval[ends[k - 1] if k else 0 : ends[k]]]
         np.add.at(cover, spots, 1)
         np.add.at(cover, spots + d, -1)
-        homes = np.searchsorted(starts, spots, side="right") - 1
-        heads, first = np.unique(homes, return_index=True)
-        for q in queries[by_interval[ends[k - 1] if k else 0 : ends[k]]].tolist():
-            item = int(own.item[q])
-            for home, at in zip(heads.tolist(), first.tolist()):
-                items[home].add(own.ids[item])
-                longest[home].setdefault(item, []).append((q, int(spots[at])))
+        homes = np.unique(np.searchsorted(starts, spots, side="right") - 1)
+        items = np.unique(own.item[asked])
+        met.append((homes[:, None] * len(own.ids) + items).ravel())
+        step = max(1, PAIRS // len(asked))
+        for at in range(0, len(spots), step):
+            longest.append(_maximal(shard, own, spots[at : at + step], asked))
     hit = np.cumsum(cover[:-1]) > 0
+    found_items: list[set] = [set() for _ in range(n)]
+    for pair in np.unique(np.concatenate(met)).tolist():
+        found_items[pair // len(own.ids)].add(own.ids[pair % len(own.ids)])
+    matches = _longest(own, starts, *(np.concatenate(c) for c in zip(*longest)))
     for i in range(n):
-        if not items[i]:
+        if not found_items[i]:
             continue
         own_hit = np.concatenate([[False], hit[starts[i] : starts[i] + counts[i]], [False]])
         edges = np.flatnonzero(own_hit[1:] != own_hit[:-1]).tolist()
         spans = [{"start": s, "stop": e} for s, e in zip(edges[::2], edges[1::2])]
-        matches = []
-        for item, found in sorted(longest[i].items()):
-            q = np.array([f[0] for f in found])
-            at = np.array([f[1] for f in found])
-            common, _ = _compare(shard, at, own, q, own.left[q])
-            top = int(np.argmax(common))
-            matches.append(
-                {
-                    "item_id": own.ids[item],
-                    "item_word": int(own.place[q[top]]),
-                    "doc_word": int(at[top] - starts[i]),
-                    "n_words": int(common[top]),
-                }
-            )
-        result[i] = (int(counts[i]), spans, sorted(x for x in items[i] if x is not None), matches)
+        result[i] = (int(counts[i]), spans, sorted(x for x in found_items[i] if x is not None), matches.get(i, []))
     return result
 
 
-def merged(spans: list[dict], more: list[dict]) -> list[dict]:
-    """Union of two lists of spans."""
-    joined: list[dict] = []
-    for s in sorted([*spans, *more], key=lambda s: (s["start"], s["stop"])):
-        if joined and s["start"] <= joined[-1]["stop"]:
-            joined[-1]["stop"] = max(joined[-1]["stop"], s["stop"])
-        else:
-            joined.append(dict(s))
-    return joined
+def _maximal(shard: np.ndarray, own: Block, spots: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all pairs of a place in the shard and an item's word with a window in common, those that no
+    equal word in front would lengthen, and how many words they share."""
+    at, q = np.repeat(spots, len(asked)), np.tile(asked, len(spots))
+    front = (at > 0) & (own.place[q] > 0)
+    longer = np.zeros(len(at), bool)
+    longer[front] = shard[at[front] - 1] == own.words[q[front] - 1]
+    at, q = at[~longer], q[~longer]
+    common, _ = _compare(shard, at, own, q, own.left[q])
+    return at, q, common
+
+
+def _longest(own: Block, starts: np.ndarray, at: np.ndarray, q: np.ndarray, common: np.ndarray) -> dict[int, list[dict]]:
+    """For each document, the longest match of each item with all places where it stands. A match may be met
+    from several windows."""
+    home, item = np.searchsorted(starts, at, side="right") - 1, own.item[q]
+    order = np.lexsort((at, q, -common, item, home))
+    home, item, at, q, common = home[order], item[order], at[order], q[order], common[order]
+    found: dict[int, list[dict]] = {}
+    heads = np.flatnonzero(np.concatenate([[True], (home[1:] != home[:-1]) | (item[1:] != item[:-1])]))
+    for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(home)]):
+        b = a + int(np.searchsorted(-common[a:b], -common[a], side="right"))
+        places = sorted({(int(own.place[w]), int(p - starts[home[a]])) for w, p in zip(q[a:b].tolist(), at[a:b].tolist())})
+        found.setdefault(int(home[a]), []).append(
+            {
+                "item_id": own.ids[item[a]],
+                "n_words": int(common[a]),
+                "places": [{"item_word": w, "doc_word": p} for w, p in places],
+            }
+        )
+    return found
+
+
+def _step(shared, place: int):
+    """Judges the texts in column ``place`` and puts what it finds behind the columns before that."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, place, SHARD_BYTES):
+                rows = scan_shard(part.column(place), shared.value)
+                made = [pa.array([r[k] for r in rows], to_arrow_type(f.dataType)) for k, f in enumerate(FOUND)]
+                names = [*part.schema.names[:place], *[f.name for f in FOUND]]
+                yield pa.RecordBatch.from_arrays([*part.columns[:place], *made], names=names)
+
+    return run
+
+
+def _joined_spans(spans: Column) -> Column:
+    """Union of spans that may overlap or touch."""
+    none = F.array().cast(ArrayType(SPAN))
+
+    def add(done: Column, s: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        apart = last.isNull() | (s["start"] > last["stop"])
+        wider = F.struct(last["start"].alias("start"), F.greatest(last["stop"], s["stop"]).alias("stop"))
+        return F.when(apart, F.concat(done, F.array(s))).otherwise(
+            F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(wider))
+        )
+
+    return F.aggregate(F.array_sort(spans), none, add)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> DataFrame:
     """The kept columns with ``_n_words``, ``_spans`` of hit words, ``_items`` and, for each item, the longest
-    ``_matches``. No shuffle: a document is judged where it is read."""
+    ``_matches`` with all places.
+
+    A document is judged where it is read, without a shuffle. The last block of the benchmark, mostly the only
+    one, passes over the documents when the result is used. Each block before it passes over them by itself: only what
+    it hits is written, by row, and joined at the end; then the block is given up. So the driver and the tasks hold one
+    block at a time.
+    """
     spark = arrow_ready(docs.sparkSession)
     kept = without(keep, [f.name for f in FOUND])
-    found = docs.select(
-        *[quoted(c) for c in kept],
-        F.coalesce("text", F.lit("")).alias("_text"),
-        *[F.lit(None).cast(f.dataType).alias(f.name) for f in FOUND],
+    rows = docs.select(
+        *[quoted(c).alias(f"k{i}") for i, c in enumerate(kept)],
+        F.monotonically_increasing_id().alias("row"),
+        F.coalesce(quoted("text").cast("string"), F.lit("")).alias("t"),
     )
-    schema, place, names = found.schema, len(kept), [f.name for f in FOUND]
-
-    def step(shared):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in slices(batch, place, SHARD_BYTES):
-                    rows = scan_shard(part.column(place), shared.value)
-                    before = [part.column(place + 1 + k).to_pylist() for k in range(1, len(FOUND))]
-                    made = [[r[0] for r in rows]]
-                    made.append([merged(old or [], r[1]) for old, r in zip(before[0], rows)])
-                    made.append([sorted({*(old or []), *r[2]}) for old, r in zip(before[1], rows)])
-                    made.append([[*(old or []), *r[3]] for old, r in zip(before[2], rows)])
-                    types = [part.schema.field(place + 1 + k).type for k in range(len(FOUND))]
-                    arrays = [pa.array(v, t) for v, t in zip(made, types)]
-                    yield pa.RecordBatch.from_arrays([*part.columns[: place + 1], *arrays], schema=part.schema)
-
-        return run
-
-    any_block = False
-    for own in blocks(benchmark):
-        found, any_block = found.mapInArrow(step(spark.sparkContext.broadcast(own)), schema), True
-    if not any_block:
-        found = found.mapInArrow(step(spark.sparkContext.broadcast(block([], []))), schema)
-    return found.select(*[quoted(c) for c in kept], *names)
+    every = blocks(benchmark)
+    current, hits = next(every, None) or block([], []), []
+    for following in every:
+        shared = spark.sparkContext.broadcast(current)
+        alone = rows.select("row", "t")
+        schema = StructType([alone.schema["row"], *FOUND])
+        hits.append(written(alone.mapInArrow(_step(shared, 1), schema).where(F.size("_spans") > 0), "benchmark-hits"))
+        shared.destroy()
+        current = following
+    place = len(kept) + 1
+    schema = StructType([*rows.schema.fields[:place], *FOUND])
+    found = rows.mapInArrow(_step(spark.sparkContext.broadcast(current), place), schema)
+    if hits:
+        before = hits[0]
+        for more in hits[1:]:
+            before = before.unionAll(more)
+        lists = [f.name for f in FOUND[1:]]
+        before = before.groupBy("row").agg(*[F.flatten(F.collect_list(c)).alias(f"b{c}") for c in lists])
+        found = found.join(before, "row", "left")
+        both = {c: F.concat(F.col(c), F.coalesce(F.col(f"b{c}"), F.array().cast(found.schema[c].dataType))) for c in lists}
+        found = found.withColumns({"_spans": _joined_spans(both["_spans"]), "_items": F.array_sort(F.array_distinct(both["_items"])), "_matches": both["_matches"]})
+    return found.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(kept)], *[f.name for f in FOUND])
 
 
 def hit_words() -> Column:
@@ -308,5 +359,6 @@ def contaminated() -> Column:
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents that are not contaminated, with their columns."""
-    return scan(docs, benchmark, docs.columns).where(~contaminated()).select(*docs.columns)
+    """Documents that are not contaminated, with all their columns."""
+    own, names = carried(docs, ["text"])
+    return returned(scan(own, benchmark, names).where(~contaminated()), docs)

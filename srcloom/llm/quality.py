@@ -14,7 +14,8 @@ lie so close that no gap is as wide as a bin, the cut falls into the bin with th
 Defined cases: a null text counts as empty; an empty text has features of zeros and a score like any
 other; repeated rows get equal scores; a kept column with the name of an added one is replaced. Labels
 that are null count as missing, and of several labels of a document the highest holds. Without trusted
-positives or without unlabelled texts every score is 1.
+positives or without unlabelled texts every score is 1. An empty table gives an empty result; texts of any length
+are read whole.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField
 
-from srcloom.llm.common import add_columns, arrow_ready, fold, text_bytes, text_words
+from srcloom.llm.common import add_columns, arrow_ready, carried, fold, returned, text_bytes, text_words
 
 # Bounds of the samples, in documents: trusted positives, unlabelled texts.
 POSITIVES = 5000
@@ -247,6 +248,7 @@ def _with(docs: DataFrame, value: Callable, model: Model | None, keep: list[str]
 
 
 def reject_poor(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents with a score of ``CUT`` or more."""
-    scored = with_scores(docs, train(docs, labels), docs.columns, "_quality")
-    return scored.where(F.col("_quality") >= CUT).select(*docs.columns)
+    """Documents with a score of ``CUT`` or more, with all their columns."""
+    own, names = carried(docs, ["doc_id", "text"])
+    scored = with_scores(own, train(own, labels), names)
+    return returned(scored.where(F.col("score") >= CUT), docs)

@@ -14,7 +14,9 @@ components, its aggregates combine on the map side, and the bucket may have any
 
 Defined cases: a null text counts as empty; a text without words has fingerprint zero and is linked
 like any other; rows with equal ids are separate rows with the same component rules; a null id is no
-component's name: its rows get the component of their fingerprint, null if all ids there are null.
+component's name: its rows get the component of their fingerprint, null if all ids there are null. An empty table
+gives an empty result; texts of any length are read whole; a kept column named like one of ``OWN`` is replaced, and
+``keep_one`` takes columns of any names and types.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField
 
-from srcloom.llm.common import add_columns, arrow_ready, quoted, without
+from srcloom.llm.common import add_columns, arrow_ready, carried, quoted, returned, without
 from srcloom.llm.components import components
 from srcloom.operators.skew import join_unique
 from srcloom.session import written
@@ -184,35 +186,33 @@ def hex_of(fp: Column) -> Column:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each group of near-duplicates: of the least id, and of rows with that id the least hash of the
-    text, then the least row.
+    text, then the row that comes first as JSON.
 
     Which rows go is decided on ids and hashes; texts meet only the list of those.
     """
-    columns = docs.columns
-    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("_hash"))
-    found = written(near_duplicates(hashed, ["doc_id", "_hash"]), "simhash-groups")
+    own, names = carried(docs, ["doc_id", "text"])
+    hashed = own.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    found = written(near_duplicates(hashed, ["doc_id", "hash"]), "simhash-groups")
     winners = (
         found.groupBy("group")
-        .agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.struct("doc_id", "_hash"))).alias("_one"), F.count("*").alias("_n"))
-        .where("_n > 1")
+        .agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.struct("doc_id", "hash"))).alias("one"), F.count("*").alias("n"))
+        .where("n > 1")
     )
     lost = (
         join_unique(found, winners, "group", "inner")
-        .where(~F.struct("doc_id", "_hash").eqNullSafe(F.col("_one")))
-        .select(F.col("doc_id").alias("_lost_id"), F.col("_hash").alias("_lost_hash"))
+        .where(~F.struct("doc_id", "hash").eqNullSafe(F.col("one")))
+        .select(F.col("doc_id").alias("lost_id"), F.col("hash").alias("lost_hash"))
         .distinct()
     )
-    own = docs.select(*[quoted(c) for c in columns], F.xxhash64("text").alias("_own_hash"))
-    kept = own.join(
-        lost, F.col("doc_id").eqNullSafe(F.col("_lost_id")) & (F.col("_own_hash") == F.col("_lost_hash")), "left_anti"
-    )
-    again = found.groupBy("doc_id", "_hash").count().where("count > 1")
+    own = own.withColumn("hash", F.xxhash64("text"))
+    kept = own.join(lost, F.col("doc_id").eqNullSafe(F.col("lost_id")) & (F.col("hash") == F.col("lost_hash")), "left_anti")
+    again = found.groupBy("doc_id", "hash").count().where("count > 1")
     if again.isEmpty():
-        return kept.select(*[quoted(c) for c in columns])
+        return returned(kept, docs)
     # Rows of equal id and text: one of each.
-    again = again.select(F.col("doc_id").alias("_again_id"), F.col("_hash").alias("_again_hash"))
-    same = F.col("doc_id").eqNullSafe(F.col("_again_id")) & (F.col("_own_hash") == F.col("_again_hash"))
-    row = F.min(F.struct(*[quoted(c) for c in columns])).alias("_row")
-    single = kept.join(again, same, "left_anti").select(*[quoted(c) for c in columns])
-    packed = kept.join(again, same, "left_semi").groupBy("doc_id", "_own_hash").agg(row)
-    return single.unionAll(packed.select("_row.*"))
+    again = again.select(F.col("doc_id").alias("again_id"), F.col("hash").alias("again_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("again_id")) & (F.col("hash") == F.col("again_hash"))
+    row = F.struct(*names)
+    single = kept.join(again, same, "left_anti").select(*names)
+    packed = kept.join(again, same, "left_semi").groupBy("doc_id", "hash").agg(F.min_by(row, F.to_json(row)).alias("row"))
+    return returned(single.unionAll(packed.select("row.*")), docs)

@@ -9,8 +9,11 @@ length and number.
 Defined cases: a null text counts as empty; an empty text has the score of a text without any known
 word; repeated rows get equal scores; rows keep their extra columns, but a column with the name of an
 added one is replaced. Labels that are null count as missing, and of several labels of a document the
-highest holds. Without labels of both kinds every score is 0. An unknown language has the threshold
-of all languages together.
+highest holds. Without labels of both kinds every score is 0. An unknown language, one with fewer than
+``LEAST_OF_LANGUAGE`` documents of either kind in the fold, or a table without languages has the threshold of all
+languages together. An empty table gives an empty result; texts of any length are read whole. The sample shows the
+classifier at most ``MOST_KNOWN`` buckets of words, the most frequent ones; a word in any other is unknown and adds
+nothing to a score.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField
 
-from srcloom.llm.common import FOLDS, add_columns, arrow_ready, fold, text_words
+from srcloom.llm.common import FOLDS, add_columns, arrow_ready, carried, fold, returned, text_words
 
 # Bounds of the labelled sample: documents of each kind, and characters of a document in it.
 SAMPLE_DOCS = 3000
@@ -104,7 +107,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     words = [np.asarray(x, np.int32) for x in rows.column("_words").to_pylist()]
     label = np.array(rows.column("_label").to_pylist(), np.int64)
     held = np.array(rows.column("_fold").to_pylist(), np.int64) == FOLDS - 1
-    model = fit(words, label, [""] * len(words), held)
+    model = fit(words, label, held)
     if np.isfinite(model.intercept):
         counts = counted(docs, labels, model, fold(F.col("doc_id")) == FOLDS - 1)
         if {c[2] for c in counts} != {0, 1}:
@@ -122,7 +125,7 @@ def counted(docs: DataFrame, labels: DataFrame, model: Model, where: Column) ->
         found = score_words(shared.value, *hashed_words(texts))
         return [pa.array(np.searchsorted(CUTS, found, side="right").astype(np.int32))]
 
-    own = docs.where(where).select("doc_id", "lang", "text")
+    own = with_lang(docs).where(where).select("doc_id", "lang", "text")
     bins = add_columns(own, compute, [StructField("_bin", IntegerType())], ["doc_id", "lang"])
     known = known_labels(labels, "toxic").where(where & F.col("_label").isin(0, 1))
     sums = bins.join(known, "doc_id").groupBy("lang", "_bin", "_label").agg(F.count("*").alias("_n"))
@@ -135,9 +138,8 @@ def empty_model() -> Model:
     return Model(np.zeros(BUCKETS, np.uint16), tables, np.zeros(n), np.zeros(n), -np.inf, {"": THRESHOLD})
 
 
-def fit(words: list[np.ndarray], label: np.ndarray, langs: list[str], held: np.ndarray, seed: int = 7) -> Model:
-    """Weights from the documents that are not held. Thresholds are calibrated later, on all documents, so that
-    ``langs`` has no use here."""
+def fit(words: list[np.ndarray], label: np.ndarray, held: np.ndarray, seed: int = 7) -> Model:
+    """Weights from the documents that are not held. Thresholds are calibrated later, on all documents."""
     used = ~held if len(set(label[~held])) == 2 else np.ones(len(label), bool)
     if len(set(label[used])) < 2:
         return empty_model()
@@ -273,6 +275,11 @@ def score_words(model: Model, buckets: np.ndarray, firsts: np.ndarray) -> np.nda
     return 1 / (1 + np.exp(-np.clip(value, -500, 500)))
 
 
+def with_lang(docs: DataFrame) -> DataFrame:
+    """A table without languages has null ones, which the threshold of all languages serves."""
+    return docs if "lang" in {c.lower() for c in docs.columns} else docs.withColumn("lang", F.lit(None).cast("string"))
+
+
 def with_scores(docs: DataFrame, model: Model, keep: list[str], score: str = "score") -> DataFrame:
     """Adds the score of every whole text, and ``score_cut``, the threshold of its language."""
     arrow_ready(docs.sparkSession)
@@ -289,10 +296,11 @@ def with_scores(docs: DataFrame, model: Model, keep: list[str], score: str = "sc
         ]
 
     fields = [StructField(score, DoubleType()), StructField(f"{score}_cut", DoubleType())]
-    return add_columns(docs, compute, fields, keep, also=["lang"])
+    return add_columns(with_lang(docs), compute, fields, keep, also=["lang"])
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents whose score stays below the threshold of their language."""
-    scored = with_scores(docs, train(docs, labels), docs.columns, "_toxicity")
-    return scored.where("_toxicity < _toxicity_cut").select(*docs.columns)
+    """Documents whose score stays below the threshold of their language, with all their columns."""
+    own, names = carried(docs, ["doc_id", "text", "lang"])
+    scored = with_scores(own, train(own, labels), names)
+    return returned(scored.where("score < score_cut"), docs)

@@ -120,7 +120,7 @@ def test_convolution_against_plain_loops():
     rng = np.random.default_rng(0)
     words = [rng.integers(0, 30, n).astype(np.int32) for n in (0, 1, 2, 7, 40)]
     label = np.array([0, 1, 0, 1, 1])
-    model = toxicity.fit(words, label, [""] * 5, np.zeros(5, bool))
+    model = toxicity.fit(words, label, np.zeros(5, bool))
     firsts = np.cumsum([0, *map(len, words)])
     found = toxicity.score_words(model, np.concatenate(words), firsts)
     for text, score in zip(words, found):

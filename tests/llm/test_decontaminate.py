@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from srcloom.llm import decontaminate
 from srcloom.llm.common import LOWER, UPPER, table
@@ -62,10 +63,45 @@ def test_shards_against_windows(vocabulary):
         rows = decontaminate.scan_shard(pa.array(texts, pa.string()), own)
         assert [(n, counted(spans), ids) for n, spans, ids, _ in rows] == plain(texts, items)
         for text, (_, _, _, matches) in zip(texts, rows):
-            for m in matches:
-                item = words_of(dict(items)[int(m["item_id"])])
-                a, b, n = m["item_word"], m["doc_word"], m["n_words"]
-                assert item[a : a + n] == words_of(text)[b : b + n] and len(item[a : a + n]) == n
+            found = sorted((m["item_id"], m["n_words"], [(p["item_word"], p["doc_word"]) for p in m["places"]]) for m in matches)
+            assert found == plain_matches(text, items)
+
+
+def plain_matches(text, items):
+    """The longest runs of equal words of each item that has a window in the text, by all pairs of places."""
+    doc, found = words_of(text), []
+    for name, item_text in items:
+        item = words_of(item_text)
+        runs = {}
+        for i in range(len(item)):
+            for j in range(len(doc)):
+                n = 0
+                while i + n < len(item) and j + n < len(doc) and item[i + n] == doc[j + n]:
+                    n += 1
+                runs[i, j] = n
+        longest = max(runs.values(), default=0)
+        if item and longest >= min(len(item), 13):
+            found.append((str(name), longest, sorted(p for p, n in runs.items() if n == longest)))
+    return sorted(found)
+
+
+def test_a_short_copy_does_not_hide_a_long_one():
+    item = " ".join(f"w{i}" for i in range(50))
+    head = " ".join(f"w{i}" for i in range(13))
+    own = decontaminate.block(["a"], [item])
+    for text, at in ((f"{head} x {item}", 14), (f"{item} x {head}", 0)):
+        ((_, _, _, matches),) = decontaminate.scan_shard(pa.array([text]), own)
+        assert matches == [{"item_id": "a", "n_words": 50, "places": [{"item_word": 0, "doc_word": at}]}]
+    ((_, _, _, matches),) = decontaminate.scan_shard(pa.array([f"{item} . {item}"]), own)
+    assert [p["doc_word"] for p in matches[0]["places"]] == [0, 50]
+
+
+def test_words_repeated_many_times():
+    own = decontaminate.block(["a", "b"], ["la " * 300, "la " * 20 + "lu"])
+    ((n, spans, ids, matches),) = decontaminate.scan_shard(pa.array(["la " * 5000]), own)
+    assert (n, spans, ids) == (5000, [{"start": 0, "stop": 5000}], ["a", "b"])
+    assert [(m["item_id"], m["n_words"]) for m in matches] == [("a", 300), ("b", 20)]
+    assert matches[0]["places"] == [{"item_word": 0, "doc_word": k} for k in range(4701)]
 
 
 def test_suffixes_are_sorted():
@@ -97,10 +133,10 @@ def test_query_against_windows(spark):
 
 def test_blocks_of_a_large_benchmark(spark, monkeypatch):
     docs, benchmark = table(spark, SF_DIR, "documents"), table(spark, SF_DIR, "benchmark")
-    whole = decontaminate.scan(docs, benchmark, ["doc_id"]).select("doc_id", "_n_words", "_spans", "_items")
+    whole = decontaminate.scan(docs, benchmark, ["doc_id"]).select("doc_id", "_n_words", "_spans", "_items", F.expr("array_sort(_matches)").alias("m"))
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 3000)
     assert len(list(decontaminate.blocks(benchmark))) > 2
-    parts = decontaminate.scan(docs, benchmark, ["doc_id"]).select("doc_id", "_n_words", "_spans", "_items")
+    parts = decontaminate.scan(docs, benchmark, ["doc_id"]).select("doc_id", "_n_words", "_spans", "_items", F.expr("array_sort(_matches)").alias("m"))
     assert sorted(whole.collect()) == sorted(parts.collect())
 
 
