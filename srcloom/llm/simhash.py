@@ -3,14 +3,15 @@
 A fingerprint is cut into a ring of m segments. If two fingerprints differ in at most t bits, some chain
 of consecutive segments, wherever it starts, keeps every prefix of j segments within j * t / m
 differing bits. With t = 2 and m = 5 the first two segments of such a chain are equal, three and four of
-them differ in at most one bit, five in at most two. So fingerprints meet by (start, two segments), 25 or 26
-bits, the chain is checked segment by segment, and only what is left gets the full Hamming check.
+them differ in at most one bit, five in at most two. So of the third and the fourth segment one is equal too: fingerprints
+meet by (start, first two segments, and the third or the fourth), 38 or 39 bits, ten rows for each fingerprint. The
+chain is then checked segment by segment, and only what is left gets the full Hamming check.
 
-A bucket of at most ``BUCKET`` fingerprints yields its linked pairs inside one row. In a larger one, such as a
-group of near copies has, no pairs are formed: two fingerprints differ in at most two bits if and only if
-they share a fingerprint at distance one or less from both, so each member of the bucket names those around it,
-and a member is linked to the least one with the same neighbour. That adds no link and loses none between
-components, its aggregates combine on the map side, and the bucket may have any size.
+By chance a bucket of that many bits holds two fingerprints where there are some 10^11. What fills one is a group of near copies. Up to
+``BUCKET`` members yield their linked pairs inside one row. In a larger group no pairs are formed: two fingerprints
+differ in at most two bits if and only if they share a fingerprint at distance one or less from both, so each member
+names those around it, once, and a member is linked to the least one with the same neighbour. That adds no link and
+loses none between components, its aggregates combine on the map side, and the group may have any size.
 
 Defined cases: a null text counts as empty; a text without words has fingerprint zero and is linked
 like any other; rows with equal ids are separate rows with the same component rules; a null id is no
@@ -96,14 +97,16 @@ def chain_holds(x: Column, y: Column, start: int, distance: int = DISTANCE) -> C
 
 
 def buckets(fps: DataFrame) -> DataFrame:
-    """(fp, start, key): a row for each start of a chain, whose first two segments are the key."""
-    keys = [
-        F.struct(
-            F.lit(i).alias("start"),
-            _segment(F.col("fp"), i).bitwiseOR(F.shiftleft(_segment(F.col("fp"), i + 1), 13)).alias("key"),
-        )
-        for i in range(len(SEGMENTS))
-    ]
+    """(fp, start, key): two rows for each start of a chain, whose first two segments are in the key, with the third or
+    the fourth, of which one is equal in every chain."""
+
+    def key(start: int, other: int) -> Column:
+        found = _segment(F.col("fp"), start)
+        for place, i in enumerate((start + 1, start + other), 1):
+            found = found.bitwiseOR(F.shiftleft(_segment(F.col("fp"), i), 13 * place))
+        return F.struct(F.lit(start).alias("start"), found.bitwiseOR(F.lit(other << 39)).alias("key"))
+
+    keys = [key(i, other) for i in range(len(SEGMENTS)) for other in (2, 3)]
     return fps.select("fp", F.inline(F.array(*keys)))
 
 

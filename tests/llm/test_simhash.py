@@ -116,3 +116,18 @@ def test_odd_rows(spark):
 def test_long_path_of_links(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
     assert {(r.node, r.label) for r in components(links).collect()} == {(i, 0) for i in range(301)}
+
+
+def test_three_thousand_that_share_two_segments(spark):
+    rng = np.random.default_rng(9)
+    fps = [int(f) << 26 | 12345 for f in rng.integers(0, 1 << 37, 1500)]
+    for f in fps[:1500]:
+        for _ in range(int(rng.integers(0, 4))):
+            f ^= 1 << int(rng.integers(26, 64))
+        fps.append(f)
+    rows = [(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(fps)]
+    prints = spark.createDataFrame(rows, "doc_id long, fp long")
+    distinct = prints.select("fp").distinct()
+    assert simhash.buckets(distinct).count() == 10 * distinct.count()
+    found = {r.doc_id: r.component_id for r in simhash.with_components(prints).collect()}
+    assert found == plain_components(rows)
