@@ -115,12 +115,13 @@ def file_outcome(files: DataFrame, results: DataFrame) -> DataFrame:
         _sum(F.when(~missing, F.col("tokens_used"))).alias("total_tokens"),
     )
     counters = [c for c in seen.columns if c != "path"]
-    found = files.select("path", "functions", "parse_error").join(seen, "path", "left")
+    # Only the number of functions meets the results, not their text.
+    found = files.select("path", F.size("functions").alias("found"), "parse_error").join(seen, "path", "left")
     ok = F.coalesce(F.col("successful_chunks") > 0, F.lit(False))
     reason = (
         F.when(ok, F.lit(""))
         .when(F.col("parse_error").isNotNull(), F.col("parse_error"))
-        .when(F.size("functions") == 0, F.lit("no functions"))
+        .when(F.col("found") == 0, F.lit("no functions"))
         .when(F.col("chunks").isNull(), F.lit("no chunks"))
         .otherwise(F.lit("all chunks failed"))
     )

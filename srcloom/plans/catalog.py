@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from srcloom.functions import replies
 from srcloom.functions import text as tx
 from srcloom.operators import chunks as ck
-from srcloom.operators import documents, graph, ordering, reports, results, retries, snapshot, vectors
+from srcloom.operators import documents, graph, ordering, reports, results, retries, snapshot, stored, vectors
 from srcloom.operators.functions_table import (
     explode_functions,
     extract_functions,
@@ -18,7 +18,7 @@ from srcloom.operators.functions_table import (
     parse_files,
     rejected_blocks,
 )
-from srcloom.plans import tables
+from srcloom.plans import incremental, tables
 from srcloom.plans.analysis import analyze_parsed, chunk_rows, prompts_of
 from srcloom.session import new_folder, spread, tune, written
 from srcloom.sources import sinks
@@ -706,6 +706,59 @@ def vector_upsert(spark, sf_dir):
     return done.select("vec_id", "label", F.size("embedding").cast("bigint").alias("dims"), *ends)
 
 
+@query
+def stored_upsert(spark, sf_dir):
+    """``vector_upsert`` on a stored table, of which only the parts of incoming ids are rewritten."""
+    table = tables.table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    folder = new_folder(spark, "vectors")
+    stored.create(table, folder, "vec_id")
+    incoming = table.select(
+        F.when(F.col("label") < 5, F.col("vec_id")).otherwise(F.col("vec_id") + 1000000).alias("vec_id"),
+        (F.col("label") + 100).alias("label"),
+        F.reverse("embedding").alias("embedding"),
+    )
+    stored.upsert(spark, folder, incoming)
+    ends = [F.col("embedding")[i].cast("double").alias(n) for i, n in ((0, "first"), (63, "last"))]
+    return stored.read(spark, folder).select("vec_id", "label", F.size("embedding").cast("bigint").alias("dims"), *ends)
+
+
+@query
+def stored_delete(spark, sf_dir):
+    """``delete_by_file`` on a stored table of chunks."""
+    rows = chunk_rows(_written_functions(spark, sf_dir)).select("chunk_id", "file_path", "chunk_name")
+    folder = new_folder(spark, "chunks")
+    stored.create(rows, folder, "file_path")
+    parts = tables.table(spark, sf_dir, "part")
+    gone = parts.where(F.col("p_type") == "SMALL").select(F.expr(tables.SOURCE_PATH).alias("file_path"))
+    stored.replace(spark, folder, gone)
+    return stored.read(spark, folder)
+
+
+@query
+def run_incremental(spark, sf_dir):
+    """Statistics of a run kept up over three snapshots: files are added, changed and removed, replies come later."""
+    store = new_folder(spark, "store")
+    now = tables.sources(spark, sf_dir).withColumn("hash", tx.content_hash(F.col("content")))
+    part = F.pmod(F.xxhash64("path"), F.lit(6))
+    other = F.concat("content", F.lit("\nint more(void) { return 1; }\n"))
+
+    def altered(files, where):
+        return files.withColumn("content", F.when(where, other).otherwise(F.col("content"))).withColumn(
+            "hash", tx.content_hash(F.col("content"))
+        )
+
+    gone = altered(now.where(part == 5), F.lit(True)).withColumn("path", F.concat(F.lit("old/"), "path"))
+    snapshots = [altered(now.where(part != 0), part == 1).unionByName(gone), altered(now, part == 2), now]
+    replies = tables.responses(spark, sf_dir)
+    late = F.pmod(F.xxhash64("chunk_id"), F.lit(3)) == 0
+    incremental.start(spark, store)
+    for files, known in zip(snapshots, (replies.where(~late), replies.where(~late), replies)):
+        incremental.update(
+            spark, store, files.select("path", "hash"), lambda fresh: files.join(fresh, "path", "left_semi"), known, MAX_TOKENS, "version"
+        )
+    return incremental.run_stats(spark, store).withColumns({c: F.round(c, 6) for c in ("error_rate", "success_rate")})
+
+
 # --- streams ----------------------------------------------------------------------------------------
 
 

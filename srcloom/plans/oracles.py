@@ -527,6 +527,7 @@ oracle(
     "run_stats",
     f"select *, round({_RATE}, 6) as error_rate, round(1.0 - ({_RATE}), 6) as success_rate from c_stats",
 )
+ORACLES["run_incremental"] = ORACLES["run_stats"]
 oracle("file_outcome", "select * from c_outcome")
 oracle(
     "quality_gate",
@@ -732,6 +733,9 @@ oracle(
             cast(embedding[1] as double) from embeddings where label >= 5""",
 )
 
+ORACLES["stored_upsert"] = ORACLES["vector_upsert"]
+ORACLES["stored_delete"] = ORACLES["delete_by_file"]
+
 # --- streams ---------------------------------------------------------------------------------------------------
 CTES["c_stream"] = f"""
     select {t.SOURCE_PATH} as file_path, concat('f', p_partkey) as chunk_name, {t.F_REPLY} as raw_response,
