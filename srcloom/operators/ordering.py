@@ -7,10 +7,16 @@ the partitions before, which are as few as there are partitions.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from srcloom.session import checkpointed, written
+from srcloom.session import checkpointed, ship_package, written
 
 
 def _ranged(df: DataFrame, order: list[str]) -> DataFrame:
@@ -60,6 +66,17 @@ def with_global_position(
     )
 
 
+@dataclass(frozen=True)
+class Carry:
+    """What the requests of earlier batches leave to those of the next: how many they were, what they cost, and the
+    last window and slot in use."""
+
+    position: int = 0
+    spent: int = 0
+    window: int = -1
+    slot: int = -1
+
+
 def rate_slots(
     requests: DataFrame,
     order: list[str],
@@ -67,26 +84,92 @@ def rate_slots(
     requests_per_minute: int = 500,
     tokens_per_minute: int = 10000,
 ) -> DataFrame:
-    """Add ``slot``, the minute from 0 in which each request may be sent under both limits, in the given order,
-    and ``over_limit`` for a request that is larger than a minute's tokens by itself.
+    """Add ``position``, ``slot``, the minute from 0 in which each request may be sent under both limits, in the given
+    order, and ``over_limit`` for a request that is larger than a minute's tokens by itself."""
+    return next_rate_slots(requests, order, tokens, Carry(), requests_per_minute, tokens_per_minute)[0]
+
+
+def next_rate_slots(
+    requests: DataFrame,
+    order: list[str],
+    tokens: str,
+    carry: Carry,
+    requests_per_minute: int = 500,
+    tokens_per_minute: int = 10000,
+) -> tuple[DataFrame, Carry]:
+    """``rate_slots`` for requests that come after those of ``carry``, and the carry of both. Any cut of an order into
+    batches gives the slots of one.
 
     A request costs the greater of its shares of the two limits, in whole numbers with the product of the limits as
     a minute's capacity. Running costs cut the order into windows of that capacity. Requests that fit into
     their window share a slot; the one that crosses its end, at most one and the last to start, has the slot behind. So the
-    sums of a slot keep both limits. Slots in use are then numbered without gaps.
+    sums of a slot keep both limits. Windows ascend with the order, so slots without gaps are a running count of their
+    changes: after one range sort, each partition's costs and then its changes of windows are summed, and the driver adds
+    up what goes before each partition. These are two small jobs over numbers when the plan is built.
     """
+    spark = requests.sparkSession
+    ship_package(spark)
     capacity = requests_per_minute * tokens_per_minute
     cost = F.greatest(F.coalesce(F.col(tokens), F.lit(0)).cast("bigint") * requests_per_minute, F.lit(tokens_per_minute).cast("bigint"))
-    priced = requests.withColumn("_cost", cost)
-    placed = with_global_position(priced, order, {"_spent": "_cost"})
-    begins = F.col("_spent") - F.col("_cost")
-    window = F.expr(f"(_spent - _cost) div {capacity}")
-    crosses = begins % capacity + F.col("_cost") > capacity
-    raw = placed.withColumn("_raw", 2 * window + crosses.cast("bigint"))
-    dense = with_global_position(raw.select("_raw").distinct(), ["_raw"], name="_slot")
-    return raw.join(dense, "_raw").select(
-        *requests.columns,
-        "position",
-        (F.col("_slot") - 1).alias("slot"),
-        (F.col(tokens) > tokens_per_minute).alias("over_limit"),
+    names = requests.columns
+    priced = requests.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(names)], cost.alias("cost"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    keys = [f"o{i}" for i in range(len(order))]
+    ranged = priced.repartitionByRange(*keys).sortWithinPartitions(*keys).drop(*keys)
+    part = F.shiftright(F.monotonically_increasing_id(), 33).cast("int")
+    ranged = checkpointed(ranged.withColumn("part", part))
+
+    def windows(batches: Iterator[pa.RecordBatch], before: dict[int, int]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        """Batches with the windows of their rows."""
+        spent = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = batch.column("cost").to_numpy()
+            if spent is None:
+                spent = before[batch.column("part")[0].as_py()]
+            begins = spent + np.cumsum(own) - own
+            spent = int(begins[-1] + own[-1])
+            yield batch, 2 * (begins // capacity) + (begins % capacity + own > capacity)
+
+    sums = sorted((r["part"], r["n"], r["spent"]) for r in ranged.groupBy("part").agg(F.count("*").alias("n"), F.sum("cost").alias("spent")).collect())
+    before, rows, spent, position = {}, {}, carry.spent, carry.position
+    for p, n, total in sums:
+        before[p], rows[p] = spent, position
+        spent, position = spent + total, position + n
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, first, last, changes = None, None, None, 0
+        for batch, found in windows(batches, before):
+            if first is None:
+                p, first, last = batch.column("part")[0].as_py(), int(found[0]), int(found[0])
+            changes += int(np.count_nonzero(np.diff(found, prepend=last)))
+            last = int(found[-1])
+        if p is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (p, first, last, changes)], names=["part", "first", "last", "changes"])
+
+    edges = ranged.select("part", "cost").mapInArrow(ends, "part long, first long, last long, changes long").collect()
+    starts, slot, window = {}, carry.slot, carry.window
+    for p, first, last, changes in sorted(map(tuple, edges)):
+        slot += first != window
+        starts[p] = slot
+        slot, window = slot + changes, last
+
+    schema = StructType([*ranged.schema.fields[: len(names)], StructField("position", LongType()), StructField("slot", LongType())])
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = now = last = None
+        for batch, found in windows(batches, before):
+            if place is None:
+                p = batch.column("part")[0].as_py()
+                place, now, last = rows[p], starts[p], int(found[0])
+            slots = now + np.cumsum(np.diff(found, prepend=last) != 0)
+            positions = np.arange(place + 1, place + 1 + len(found))
+            place, now, last = place + len(found), int(slots[-1]), int(found[-1])
+            columns = [*batch.columns[: len(names)], pa.array(positions), pa.array(slots)]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    placed = ranged.mapInArrow(numbered, schema).select(
+        *[F.col(f"k{i}").alias(c) for i, c in enumerate(names)], "position", "slot"
     )
+    over = F.col(tokens) > tokens_per_minute
+    return placed.withColumn("over_limit", over), Carry(position, spent, window, slot)

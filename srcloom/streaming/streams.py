@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructField, StructType
 
+from srcloom.operators.ordering import Carry, next_rate_slots
 from srcloom.operators.retries import EXPONENTIAL_BASE, MAX_ATTEMPTS, MAX_WAIT_SECONDS
 from srcloom.session import new_folder, ship_package
 from srcloom.sources.sinks import CSV
@@ -205,6 +206,24 @@ def retry_states(
     )
 
 
+def rate_slots_into(stream: DataFrame, order: list[str], tokens: str, sink: str, checkpoint: str, **limits: int) -> None:
+    """Slots of requests that arrive in batches, each behind the one before in the given order, as one batch of all
+    would have them. A batch leaves its carry beside its rows, so one that is repeated starts from the same and
+    overwrites itself."""
+    spark = stream.sparkSession
+    state = "position long, spent long, window long, slot long"
+
+    def save(batch: DataFrame, number: int) -> None:
+        own = Carry(*spark.read.schema(state).parquet(f"{sink}/carry/batch={number - 1}").first()) if number else Carry()
+        placed, after = next_rate_slots(batch, order, tokens, own, **limits)
+        placed.write.mode("overwrite").parquet(f"{sink}/rows/batch={number}")
+        row = spark.createDataFrame([(after.position, after.spent, after.window, after.slot)], state)
+        row.coalesce(1).write.mode("overwrite").parquet(f"{sink}/carry/batch={number}")
+
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(save)
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+
 def append_csv(stream: DataFrame, folder: str, checkpoint: str) -> None:
     """Append a stream's rows to CSV files with a header each; whole batches are committed, none twice."""
     writer = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
