@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from srcloom.functions import text as tx
 from srcloom.functions.csource import FUNCTIONS_TYPE, REJECTS_TYPE, parse_source
 
 LANGUAGES = ("c", "cpp")
@@ -51,6 +52,21 @@ def check_language(language: str) -> str:
     return language
 
 
+def without_bodies(parsed: DataFrame) -> DataFrame:
+    """Parsed files whose functions have their content id and token estimate in place of their text, for tables that
+    are stored and read again by what needs no text."""
+    kept = ("name", "signature", "start_line", "end_line", "params", "return_type")
+    digest = F.transform(
+        "functions",
+        lambda f: F.struct(
+            *[f[c].alias(c) for c in kept],
+            tx.content_hash(f["body"]).alias("chunk_id"),
+            tx.token_estimate(f["body"]).alias("tokens"),
+        ),
+    )
+    return parsed.withColumn("functions", digest)
+
+
 def explode_functions(parsed: DataFrame) -> DataFrame:
     """One row per function with its position and count within the file.
 

@@ -20,17 +20,22 @@ from srcloom.sources.files import list_files, load_files, plain_root, scan_files
 
 
 def chunk_rows(functions: DataFrame, max_tokens: int = ck.MAX_CHUNK_TOKENS) -> DataFrame:
-    """Flat chunk rows within the budget, keyed by file path and start line."""
+    """Flat chunk rows within the budget, keyed by file path and start line; without ``code`` where functions come
+    without their text."""
+    if "body" in functions.columns:
+        text = F.col("body")
+        functions = functions.withColumns({"chunk_id": tx.content_hash(text), "tokens": tx.token_estimate(text), "code": text})
+    code = ["code"] if "code" in functions.columns else []
     rows = functions.select(
-        tx.content_hash(F.col("body")).alias("chunk_id"),
+        "chunk_id",
         F.col("name").alias("chunk_name"),
         "file_path",
         "start_line",
         "end_line",
         "line_count",
         "position",
-        F.col("body").alias("code"),
-        tx.token_estimate(F.col("body")).alias("tokens"),
+        *code,
+        "tokens",
     )
     return ck.within_budget(rows, max_tokens)
 

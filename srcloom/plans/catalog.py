@@ -17,6 +17,7 @@ from srcloom.operators.functions_table import (
     files_without_functions,
     parse_files,
     rejected_blocks,
+    without_bodies,
 )
 from srcloom.plans import incremental, tables
 from srcloom.plans.analysis import analyze_parsed, chunk_rows, prompts_of
@@ -49,7 +50,7 @@ def _functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _analysis(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Parsed files and results; files are parsed once, whatever reads them after."""
-    parsed = written(parse_files(tables.sources(spark, sf_dir)).drop("content"), "parsed")
+    parsed = written(without_bodies(parse_files(tables.sources(spark, sf_dir))).drop("content"), "parsed")
     return parsed, analyze_parsed(parsed, tables.responses(spark, sf_dir), MAX_TOKENS, version="version")
 
 
@@ -58,8 +59,9 @@ def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _written_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Functions for queries whose join looks at them twice."""
-    return written(_functions(spark, sf_dir), "functions")
+    """Functions without their text, for queries whose join looks at them twice."""
+    parsed = without_bodies(parse_files(tables.sources(spark, sf_dir)))
+    return written(explode_functions(parsed), "functions")
 
 
 def _reused_results(spark: SparkSession, sf_dir: str) -> DataFrame:
