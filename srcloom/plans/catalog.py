@@ -466,6 +466,23 @@ def delete_by_file(spark, sf_dir):
     return snapshot.delete_by_file(rows, gone).select("chunk_id", "file_path", "chunk_name")
 
 
+@query
+def call_reach(spark, sf_dir):
+    """Functions that calls lead to from ``main``, by the replies."""
+    edges = graph.call_edges(_results(spark, sf_dir))
+    return graph.reached(edges, spark.range(1).select(F.lit("main").alias("name")))
+
+
+@query
+def dependency_steps(spark, sf_dir):
+    """Steps from the first parts over chains and leaps between parts."""
+    parts = tables.table(spark, sf_dir, "part")
+    chains = parts.where("p_size % 7 <> 0").selectExpr("p_partkey as caller", "p_partkey + 1 as callee")
+    leaps = parts.where("p_size % 3 = 0").selectExpr("p_partkey as caller", "p_partkey * 2 as callee")
+    starts = parts.where("p_partkey between 1 and 10").select(F.col("p_partkey").alias("name"))
+    return graph.reached(chains.unionAll(leaps), starts)
+
+
 @query
 def resolve_calls(spark, sf_dir):
     parsed, rows = _analysis(spark, sf_dir)

@@ -516,6 +516,25 @@ oracle(
         from c_edges e left join c_defined d on e.callee = d.name""",
 )
 oracle("call_edges", "select caller, callee from c_edges")
+CTES["c_called"] = """
+    with recursive walk(name, steps) as (
+        select 'main', cast(0 as bigint)
+        union
+        select e.callee, w.steps + 1 from walk w join c_edges e on e.caller = w.name
+        where e.caller <> e.callee and w.steps < 20)
+    select name, min(steps) as steps from walk group by 1"""
+oracle("call_reach", "select name, steps from c_called")
+# Both kinds of steps ascend, so the walk ends by itself.
+CTES["c_stepped"] = """
+    with recursive walk(name, steps) as (
+        select p_partkey, cast(0 as bigint) from part where p_partkey between 1 and 10
+        union
+        select e.callee, w.steps + 1 from walk w join (
+            select p_partkey as caller, p_partkey + 1 as callee from part where p_size % 7 <> 0
+            union select p_partkey, p_partkey * 2 from part where p_size % 3 = 0) e on e.caller = w.name
+        where w.steps < 400)
+    select name, min(steps) as steps from walk group by 1"""
+oracle("dependency_steps", "select name, steps from c_stepped")
 
 # --- reports --------------------------------------------------------------------------------------------
 _TOTALS = """count(*) as total_chunks, cast(coalesce(sum(tokens), 0) as bigint) as total_tokens,
