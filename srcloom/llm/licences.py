@@ -9,8 +9,11 @@ rules are tried in their order; a rule that occurs as a run of adjacent identifi
 identifiers are used up, so that later and shorter rules do not count them again.
 
 Defined cases: null, empty and wordless texts have no sentences and no licences; a licence named twice is
-listed once; known sentences that no rule used are counted; a kept column with the name of an added
-one is replaced; rows are judged one by one, so repeated rows get equal results.
+listed once; known sentences that no rule used are counted, also one such as "MIT" that is a sentence by itself
+and names a licence only behind its tag; the holder's name in a clause has up to ``SOME_WORDS`` characters, a clause
+with a longer one is unknown; a kept column with the name of an added
+one is replaced; rows are judged one by one, so repeated rows get equal results; an empty table gives an empty
+result, and texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -49,6 +52,34 @@ cczero Licensed under CC0 1.0.
 mplform This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.
 public This work is in the public domain.
 reserved All rights reserved.
+lgplfree This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.
+lgplthree This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+lgplhope This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+lgplsee See the GNU Lesser General Public License for more details.
+agplfree This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+agplsee See the GNU Affero General Public License for more details.
+iscgrant Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+iscold Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+unlicence This is free and unencumbered software released into the public domain.
+mitfile Licensed under the MIT License - see LICENSE.
+mitproject This project is licensed under the MIT License.
+mitdetails This project is licensed under the MIT License - see the LICENSE file for details.
+apacheproject This project is licensed under the Apache License, Version 2.0.
+spdxmit SPDX-License-Identifier: MIT
+spdxapache SPDX-License-Identifier: Apache-2.0
+spdxgpl2 SPDX-License-Identifier: GPL-2.0-only
+spdxgpl2old SPDX-License-Identifier: GPL-2.0
+spdxgpl2later SPDX-License-Identifier: GPL-2.0-or-later
+spdxgpl3 SPDX-License-Identifier: GPL-3.0-only
+spdxgpl3later SPDX-License-Identifier: GPL-3.0-or-later
+spdxlgpl SPDX-License-Identifier: LGPL-2.1-or-later
+spdxagpl SPDX-License-Identifier: AGPL-3.0-or-later
+spdxbsd2 SPDX-License-Identifier: BSD-2-Clause
+spdxbsd3 SPDX-License-Identifier: BSD-3-Clause
+spdxisc SPDX-License-Identifier: ISC
+spdxmpl SPDX-License-Identifier: MPL-2.0
+spdxzero SPDX-License-Identifier: CC0-1.0
+spdxunlicense SPDX-License-Identifier: Unlicense
 """
 
 # Ordered rules: a licence and the identifiers that name it, the longer ones first.
@@ -73,10 +104,38 @@ CC-BY-4.0 ccby
 CC0-1.0 cczero
 MPL-2.0 mplform
 Public-Domain public
+LGPL-2.1-or-later lgplfree lgplhope lgplsee
+LGPL-3.0-or-later lgplthree lgplhope lgplsee
+AGPL-3.0-or-later agplfree gplhope agplsee
+LGPL-2.1-or-later lgplfree
+LGPL-3.0-or-later lgplthree
+AGPL-3.0-or-later agplfree
+ISC iscgrant
+ISC iscold
+Unlicense unlicence
+MIT mitfile
+MIT mitproject
+MIT mitdetails
+Apache-2.0 apacheproject
+MIT spdxmit
+Apache-2.0 spdxapache
+GPL-2.0 spdxgpl2
+GPL-2.0 spdxgpl2old
+GPL-2.0-or-later spdxgpl2later
+GPL-3.0 spdxgpl3
+GPL-3.0-or-later spdxgpl3later
+LGPL-2.1-or-later spdxlgpl
+AGPL-3.0-or-later spdxagpl
+BSD-2-Clause spdxbsd2
+BSD-3-Clause spdxbsd3
+ISC spdxisc
+MPL-2.0 spdxmpl
+CC0-1.0 spdxzero
+Unlicense spdxunlicense
 All-Rights-Reserved reserved
 """
 
-# Sentences and rules that the SQL below does not know. A star stands for some words, such as the name of a holder.
+# Fixed values like the above. The SQL below does not know these sentences and rules. A star stands for some words, such as the name of a holder.
 CLAUSES = """
 bsdads All advertising materials mentioning features or use of this software must display the following acknowledgement:
 bsdendorse Neither the name of * nor the names of * contributors may be used to endorse or promote products derived from this software without specific prior written permission.

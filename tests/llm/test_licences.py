@@ -84,3 +84,26 @@ def test_query_equals_sql(spark):
 def test_no_python_in_the_plan(spark):
     plan = QUERIES["op7_licences"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+WORDINGS = {
+    "// SPDX-License-Identifier: MIT\nint x;": ["MIT"],
+    "# SPDX-License-Identifier: GPL-3.0-or-later\n": ["GPL-3.0-or-later"],
+    "/* SPDX-License-Identifier: BSD-3-Clause */": ["BSD-3-Clause"],
+    "mit. und so weiter": [],
+    "This project is licensed under the MIT License - see the LICENSE file for details.": ["MIT"],
+    "Licensed under the MIT License - see LICENSE.": ["MIT"],
+    " * This library is free software; you can redistribute it and/or\n * modify it under the terms of the GNU Lesser General Public\n"
+    " * License as published by the Free Software Foundation; either\n * version 2.1 of the License, or (at your option) any later version.\n": ["LGPL-2.1-or-later"],
+    "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\n"
+    "copyright notice and this permission notice appear in all copies.\n": ["ISC"],
+    "This is free and unencumbered software released into the public domain.": ["Unlicense"],
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by "
+    "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": ["AGPL-3.0-or-later"],
+}
+
+
+def test_further_wordings(spark):
+    docs = spark.createDataFrame(list(enumerate(WORDINGS)), "doc_id int, text string")
+    found = {r.doc_id: r.licences for r in licences.scan(docs, ["doc_id"]).collect()}
+    assert [found[i] for i in range(len(WORDINGS))] == list(WORDINGS.values())
