@@ -11,9 +11,8 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Runtime settings the operators count on. The adaptive join splits partitions that turn
-# out large, also where that costs another shuffle; joins on content keys salt their hot
-# keys themselves (operators/skew.py).
+# Runtime settings the operators count on. The adaptive join splits partitions that turn out large, also where
+# that costs another shuffle; operators/skew.py gives it joins that it can split.
 RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
