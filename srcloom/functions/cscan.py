@@ -134,6 +134,11 @@ def groups(head: str) -> list[tuple[int, int]]:
     return found
 
 
+# A word other than those of storage, and what may stand between parameters and a macro behind them.
+_TYPED = re.compile(r"\b(?!(?:static|extern|inline|__inline|__inline__|register|_Noreturn)\b)[A-Za-z_]\w*")
+_WORDS = re.compile(r"\s*(?:[A-Za-z_]\w*\s*(?:\([^()]*\)\s*)?)*")
+
+
 def _without_attributes(head: str) -> str:
     """Attribute words and their parentheses as blanks."""
     while m := _ATTRIBUTE.search(head):
@@ -162,6 +167,8 @@ def declarator(head: str, first: bool = False) -> tuple[str, str, int, int] | No
     for k in order:
         start, end = found[k]
         if name := _NAME_BEFORE.search(head, 0, start):
+            if not first and (own := _before_macro(head, found[:k], name.start(1))):
+                return own
             return name[1], head[start + 1 : end], name.start(1), end + 1
         if k and not head[found[k - 1][1] + 1 : start].strip():
             a, b = found[k - 1]
@@ -172,6 +179,15 @@ def declarator(head: str, first: bool = False) -> tuple[str, str, int, int] | No
     return None
 
 
+def _before_macro(head: str, found: list[tuple[int, int]], stop: int) -> tuple[str, str, int, int] | None:
+    """The first declarator with a type before it, where a macro with parentheses stands behind the parameters."""
+    for start, end in found:
+        name = _NAME_BEFORE.search(head, 0, start)
+        if name and name[1] not in TYPE_WORDS and _TYPED.search(head, 0, name.start(1)) and _WORDS.fullmatch(head, end + 1, stop):
+            return name[1], head[start + 1 : end], name.start(1), end + 1
+    return None
+
+
 def _listed(text: str) -> list[str]:
     """Parts of a list at its top-level commas."""
     if "(" not in text and "[" not in text:
@@ -347,7 +363,7 @@ def _function(head: str, old_style: bool) -> tuple[dict | None, str]:
         return None, "type" if _TAG.search(after) else "no parameter list before the block"
     if name in CONTROL_WORDS or (first := _FIRST_WORD.match(head)) and first[0] in CONTROL_WORDS:
         return None, "control statement"
-    kind = before if not after else f"{before}{after}"
+    kind = before if _WORDS.fullmatch(after) else f"{before}{after}"
     return {
         "name": name,
         "signature": " ".join(head[start:end].split()),

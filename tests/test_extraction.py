@@ -216,3 +216,22 @@ def test_positions_come_from_the_row(spark):
     assert got == [("a.c", "f", 1, 2), ("a.c", "g", 2, 2), ("b.c", "h", 1, 1)]
     plan = functions._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+@pytest.mark.parametrize(
+    ("head", "name", "kind", "params"),
+    [
+        ("static void f(struct x *y) __acquires(y->lock) {}", "f", "void", ["y"]),
+        ("int f(int a) NONNULL(1) {}", "f", "int", ["a"]),
+        ("unsigned long f(int a) ATTR(1) MORE(2) {}", "f", "unsigned long", ["a"]),
+        ("DECLARE(int) f(int a) {}", "f", None, ["a"]),
+        ("static DECLARE(int) f(int a) {}", "f", None, ["a"]),
+        ("int (*f(int a))(double) {}", "f", None, ["a"]),
+    ],
+)
+def test_macros_behind_parameters(head, name, kind, params):
+    from srcloom.functions.cscan import scan
+
+    (found,) = scan(head)["functions"]
+    assert found["name"] == name and found["params"] == params
+    assert kind is None or found["return_type"].split()[-len(kind.split()) :] == kind.split()
