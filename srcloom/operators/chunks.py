@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from srcloom.functions import csource
 from srcloom.functions import text as tx
 from srcloom.functions.fold import bind, last_at_most, let, positions, settle, window_of, with_running_sum
+from srcloom.operators.ordering import with_neighbours
 
 # Default token budget, minimum size, context budget.
 MAX_CHUNK_TOKENS = 18000
@@ -169,6 +170,18 @@ def overlap_functions(
     )
 
 
+def overlap_parts(parts: DataFrame, file: str, order: list[str], code: str = "code", lines: int = OVERLAP_LINES) -> DataFrame:
+    """Parts of split files or functions as rows, each with the last lines of the one before it in the file and the
+    first lines of the one behind it around its ``code``; tokens are those of the whole."""
+    cut = F.split(F.col(code), "\n", -1)
+    last = F.array_join(F.slice(cut, -F.least(F.size(cut), F.lit(lines)), F.lit(lines)), "\n")
+    first = F.array_join(F.slice(cut, 1, lines), "\n")
+    near = with_neighbours(parts, file, order, last, first)
+    whole = F.concat_ws("\n", "before", code, "after")
+    kept = [c for c in parts.columns if c not in (code, "tokens")]
+    return near.select(*kept, whole.alias(code)).withColumn("tokens", tx.token_estimate(F.col(code)))
+
+
 def with_file_context(parsed: DataFrame, max_tokens: int = CONTEXT_MAX_TOKENS) -> DataFrame:
     """Add ``context``: includes and macro names of the file, whole lines within the context budget, and
     ``context_truncated`` where lines were left out."""

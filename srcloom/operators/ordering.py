@@ -12,9 +12,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from srcloom.session import checkpointed, ship_package, written
 
@@ -173,3 +173,68 @@ def next_rate_slots(
     )
     over = F.col(tokens) > tokens_per_minute
     return placed.withColumn("over_limit", over), Carry(position, spent, window, slot)
+
+
+def with_neighbours(rows: DataFrame, group: str, order: list[str], tail: Column, head: Column) -> DataFrame:
+    """Add ``before``, the ``tail`` of the row before within the group, and ``after``, the ``head`` of the row behind it;
+    null at a group's ends. ``tail`` and ``head`` are texts.
+
+    The table is sorted by group and order over ranges, so a group of any size is spread over tasks. Within a range rows see
+    their neighbours as they pass; across ranges the first head and last tail of each, as many as there are ranges, come
+    from a small job when the plan is built.
+    """
+    spark = rows.sparkSession
+    ship_package(spark)
+    names, keys = rows.columns, ["g", *[f"o{i}" for i in range(len(order))]]
+    keyed = rows.select(
+        *[F.col(c).alias(f"k{i}") for i, c in enumerate(names)],
+        F.col(group).alias("g"),
+        *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)],
+        tail.cast("string").alias("t"),
+        head.cast("string").alias("h"),
+    )
+    ranged = keyed.repartitionByRange(*keys).sortWithinPartitions(*keys).drop(*keys[1:])
+    part = F.shiftright(F.monotonically_increasing_id(), 33).cast("int")
+    ranged = checkpointed(ranged.withColumn("part", part))
+    edge_type = StructType([ranged.schema["part"], *[ranged.schema[c] for c in ("g", "h")], StructField("g2", ranged.schema["g"].dataType), ranged.schema["t"]])
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = last = None
+        for batch in batches:
+            if batch.num_rows:
+                first = first or [batch.column(c).slice(0, 1) for c in ("part", "g", "h")]
+                last = [batch.column(c).slice(batch.num_rows - 1, 1) for c in ("g", "t")]
+        if first is not None:
+            yield pa.RecordBatch.from_arrays([*first, *last], names=edge_type.names)
+
+    edges = sorted(ranged.select("part", "g", "h", "t").mapInArrow(ends, edge_type).collect(), key=lambda r: r["part"])
+    left = {b["part"]: (a["g2"], a["t"]) for a, b in zip(edges, edges[1:])}
+    right = {a["part"]: (b["g"], b["h"]) for a, b in zip(edges, edges[1:])}
+    schema = StructType([*ranged.schema.fields[: len(names)], StructField("before", StringType()), StructField("after", StringType())])
+
+    def joined(batch: pa.RecordBatch, previous: tuple | None, following: tuple | None) -> pa.RecordBatch:
+        g, t, h = (batch.column(c).to_pylist() for c in ("g", "t", "h"))
+        fronts = [previous, *zip(g, t)]
+        backs = [*list(zip(g, h))[1:], following]
+        before = [p[1] if p is not None and p[0] == own else None for p, own in zip(fronts, g)]
+        after = [p[1] if p is not None and p[0] == own else None for p, own in zip(backs, g)]
+        columns = [*batch.columns[: len(names)], pa.array(before, pa.string()), pa.array(after, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, previous, p = None, None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is None:
+                p = batch.column("part")[0].as_py()
+                previous = left.get(p)
+            else:
+                yield joined(held, previous, (batch.column("g")[0].as_py(), batch.column("h")[0].as_py()))
+                previous = (held.column("g")[-1].as_py(), held.column("t")[-1].as_py())
+            held = batch
+        if held is not None:
+            yield joined(held, previous, right.get(p))
+
+    found = ranged.mapInArrow(run, schema)
+    return found.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(names)], "before", "after")

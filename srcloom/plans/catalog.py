@@ -292,6 +292,15 @@ def block_split(spark, sf_dir):
     )
 
 
+@query
+def part_overlap(spark, sf_dir):
+    """Blocks of files with the edges of their neighbours, over rows of a table."""
+    blocks = ck.block_split(tables.files(spark, sf_dir), "path", "content", BLOCK_TOKENS)
+    return ck.overlap_parts(blocks, "path", ["block"]).select(
+        "path", F.col("block").cast("bigint").alias("block"), "tokens", F.md5("code").alias("digest")
+    )
+
+
 @query
 def hybrid_split(spark, sf_dir):
     parts = ck.hybrid_split(_functions(spark, sf_dir), MAX_TOKENS)

@@ -358,6 +358,13 @@ oracle(
     "block_split",
     f"select path, block, {TOKENS.format('code')} as tokens, md5(code) as digest from c_file_blocks",
 )
+CTES["c_near_blocks"] = """
+    select path, block, concat_ws(chr(10),
+        lag(last) over (partition by path order by block), code, lead(first) over (partition by path order by block)) as code
+    from (select path, block, code, array_to_string(ls[greatest(len(ls) - 9, 1):], chr(10)) as last,
+            array_to_string(ls[1:10], chr(10)) as first
+        from (select path, block, code, string_split(code, chr(10)) as ls from c_file_blocks))"""
+oracle("part_overlap", f"select path, block, {TOKENS.format('code')} as tokens, md5(code) as digest from c_near_blocks")
 CTES["c_large"] = f"select file_path, name, code from (select file_path, chunk_name as name, code, tokens from c_all_chunks) where tokens > {q.MAX_TOKENS}"
 CTES["c_large_keyed"] = "select concat(file_path, '|', name) as id, code from c_large"
 CTES["c_large_blocks"] = _packed("c_large_keyed", "id", "code", q.MAX_TOKENS)
