@@ -24,6 +24,8 @@ from srcloom.session import ship_package
 TOP_K = 5
 # Bytes of vectors, as doubles, on either side of a cell.
 CELL_BYTES = 4 << 20
+# Candidates beyond k that are ranked exactly.
+SPARE = 3
 # Buckets: tables of 2^BITS buckets each, the share of a table's buckets that a query looks into, and
 # the leading bits of a bucket that name its cell.
 TABLES, BITS, SHARE, GROUP_BITS = 4, 12, 0.16, 3
@@ -147,23 +149,29 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
 def nearest(own: np.ndarray, wanted: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query, row and squared distance of the k nearest rows of each query, ties by place.
 
-    The matrix product loses digits, so it only picks candidates: all within its error of the k-th distance. These are
-    ranked by exact differences.
+    The matrix product loses digits, so it only picks candidates: a few more than k, or all within its error of the k-th
+    distance where those are not enough. Candidates are ranked by exact differences.
     """
     squares, sizes = (own**2).sum(1), (wanted**2).sum(1)
     rough = sizes[:, None] + squares - 2 * (wanted @ own.T)
     slack = 1e-9 * (sizes + squares.max() + 1)
     k = min(k, len(own))
-    last = np.partition(rough, k - 1, axis=1)[:, k - 1]
-    which, found, distance = [], [], []
-    for q, near in enumerate(rough <= (last + slack)[:, None]):
-        chosen = np.flatnonzero(near)
-        exact = ((own[chosen] - wanted[q]) ** 2).sum(1)
-        best = np.argsort(exact, kind="stable")[:k]
-        which.append(np.full(k, q))
-        found.append(chosen[best])
-        distance.append(exact[best])
-    return np.concatenate(which), np.concatenate(found), np.concatenate(distance)
+    wide = min(len(own), k + SPARE)
+    if wide < len(own):
+        chosen = np.sort(np.argpartition(rough, wide - 1, axis=1)[:, :wide], axis=1)
+    else:
+        chosen = np.broadcast_to(np.arange(wide), (len(wanted), wide))
+    exact = ((own[chosen] - wanted[:, None, :]) ** 2).sum(2)
+    best = np.argsort(exact, axis=1, kind="stable")[:, :k]
+    found, distance = np.take_along_axis(chosen, best, 1), np.take_along_axis(exact, best, 1)
+    if wide < len(own):
+        reach = np.take_along_axis(rough, chosen, 1).max(1)
+        for q in np.flatnonzero(reach <= distance[:, -1] + slack).tolist():
+            near = np.flatnonzero(rough[q] <= distance[q, -1] + slack[q])
+            all_near = ((own[near] - wanted[q]) ** 2).sum(1)
+            order = np.argsort(all_near, kind="stable")[:k]
+            found[q], distance[q] = near[order], all_near[order]
+    return np.repeat(np.arange(len(wanted)), k), found.ravel(), distance.ravel()
 
 
 def _all_of_a_cell(left: pa.Table, right: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
