@@ -26,6 +26,8 @@ TOP_K = 5
 CELL_BYTES = 4 << 20
 # Candidates beyond k that are ranked exactly.
 SPARE = 3
+# Bytes of distances that a task holds at a time.
+BLOCK_BYTES = 8 << 20
 # Buckets: tables of 2^BITS buckets each, the share of a table's buckets that a query looks into, and
 # the leading bits of a bucket that name its cell.
 TABLES, BITS, SHARE, GROUP_BITS = 4, 12, 0.16, 3
@@ -150,12 +152,26 @@ def nearest(own: np.ndarray, wanted: np.ndarray, k: int) -> tuple[np.ndarray, np
     """Query, row and squared distance of the k nearest rows of each query, ties by place.
 
     The matrix product loses digits, so it only picks candidates: a few more than k, or all within its error of the k-th
-    distance where those are not enough. Candidates are ranked by exact differences.
+    distance where those are not enough. Candidates are ranked by exact differences. Queries are taken a block at a time,
+    so that distances to all rows never take more than ``BLOCK_BYTES``, or one query's.
     """
-    squares, sizes = (own**2).sum(1), (wanted**2).sum(1)
-    rough = sizes[:, None] + squares - 2 * (wanted @ own.T)
-    slack = 1e-9 * (sizes + squares.max() + 1)
+    squares = (own**2).sum(1)
     k = min(k, len(own))
+    block = max(1, BLOCK_BYTES // (8 * max(len(own), min(len(own), k + SPARE) * own.shape[1])))
+    found, distance = np.empty((len(wanted), k), np.int64), np.empty((len(wanted), k))
+    for at in range(0, len(wanted), block):
+        part = slice(at, at + block)
+        found[part], distance[part] = _nearest_of_block(own, squares, wanted[part], k)
+    return np.repeat(np.arange(len(wanted)), k), found.ravel(), distance.ravel()
+
+
+def _nearest_of_block(own: np.ndarray, squares: np.ndarray, wanted: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and squared distances of the k nearest, a line for each query."""
+    sizes = (wanted**2).sum(1)
+    rough = wanted @ own.T
+    rough *= -2
+    rough += sizes[:, None] + squares
+    slack = 1e-9 * (sizes + squares.max() + 1)
     wide = min(len(own), k + SPARE)
     if wide < len(own):
         chosen = np.sort(np.argpartition(rough, wide - 1, axis=1)[:, :wide], axis=1)
@@ -171,7 +187,7 @@ def nearest(own: np.ndarray, wanted: np.ndarray, k: int) -> tuple[np.ndarray, np
             all_near = ((own[near] - wanted[q]) ** 2).sum(1)
             order = np.argsort(all_near, kind="stable")[:k]
             found[q], distance[q] = near[order], all_near[order]
-    return np.repeat(np.arange(len(wanted)), k), found.ravel(), distance.ravel()
+    return found, distance
 
 
 def _all_of_a_cell(left: pa.Table, right: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

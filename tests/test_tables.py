@@ -152,6 +152,28 @@ def test_many_queries_in_cells(points, monkeypatch, size):
     assert [r.vec_id for r in got] == [i for q in range(380, 400) for i in nearest(data, data[q], 3)]
 
 
+def peak_mb(work):
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        return work(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_full_cell_is_ranked_in_blocks():
+    """Not all distances of a cell are held at once: those of all its queries to all its rows would be 200 MB."""
+    rng = np.random.default_rng(5)
+    own, wanted = rng.integers(0, 9, size=(6000, 4)).astype(float), rng.integers(0, 9, size=(4096, 4)).astype(float)
+    (which, found, distance), peak = peak_mb(lambda: vectors.nearest(own, wanted, 3))
+    assert peak < 64
+    assert which.tolist() == np.repeat(np.arange(4096), 3).tolist()
+    for q in range(0, 4096, 97):
+        assert found[3 * q : 3 * q + 3].tolist() == nearest(own, wanted[q], 3)
+        assert distance[3 * q : 3 * q + 3].tolist() == sorted(((own - wanted[q]) ** 2).sum(1))[:3]
+
+
 def test_odd_vectors(spark):
     rows = [("a", [0.0, 0.0]), ("b", None), ("c", [1.0, 0.0, 5.0]), ("d", [3.0, 4.0]), ("e", [0.0, 0.0])]
     table = spark.createDataFrame(rows, "vec_id string, embedding array<double>")
