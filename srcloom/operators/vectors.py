@@ -26,8 +26,9 @@ TOP_K = 5
 CELL_BYTES = 4 << 20
 # Candidates beyond k that are ranked exactly.
 SPARE = 3
-# Bytes of distances that a task holds at a time.
-BLOCK_BYTES = 8 << 20
+# Bytes of distances that a task holds at a time, pairs that it holds before it keeps the k best of each query, and queries
+# whose buckets it finds at a time.
+BLOCK_BYTES, PAIRS, PROBED = 8 << 20, 200_000, 64
 # Buckets: tables of 2^BITS buckets each, the share of a table's buckets that a query looks into, and
 # the leading bits of a bucket that name its cell.
 TABLES, BITS, SHARE, GROUP_BITS = 4, 12, 0.16, 3
@@ -238,21 +239,24 @@ def _probes(points: DataFrame, tables: int, bits: int, share: float) -> DataFram
     many, shift = max(1, int(share * (1 << bits))), max(0, bits - GROUP_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, cells, probed = [], [], []
+        known: dict[int, np.ndarray] = {}
+        for batch in (whole.slice(at, PROBED) for whole in batches for at in range(0, whole.num_rows, PROBED)):
+            rows, cells, probed, ends = [], [], [], [0]
             for i, v in enumerate(batch.column(3).to_pylist()):
-                for t, table in enumerate(planes(len(v), tables, bits)):
+                if len(v) not in known:
+                    known[len(v)] = planes(len(v), tables, bits)
+                for t, table in enumerate(known[len(v)]):
                     margins = table @ np.asarray(v, np.float64)
                     cost = ((every != (margins > 0)) * margins**2).sum(1)
                     chosen = np.sort(np.argpartition(cost, many - 1)[:many])
                     groups, starts = np.unique(chosen >> shift, return_index=True)
-                    for g, part in zip(groups.tolist(), np.split(chosen, starts[1:])):
-                        rows.append(i)
-                        cells.append(t << GROUP_BITS | g)
-                        probed.append(part.tolist())
+                    rows += [i] * len(groups)
+                    cells += (t << GROUP_BITS | groups).tolist()
+                    ends += (ends[-1] + np.append(starts[1:], many)).tolist()
+                    probed.append(chosen)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(probed), pa.int32()))
             kept = [c.take(pa.array(rows, pa.int64())) for c in batch.columns]
-            more = [pa.array(cells, pa.int32()), pa.array(probed, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*kept, *more], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(cells, pa.int32()), lists], names=schema.names)
 
     return points.select("read", "dims", "query_id", "q").mapInArrow(run, schema)
 
@@ -267,12 +271,21 @@ def _buckets_of_a_cell(left: pa.Table, right: pa.Table, k: int) -> tuple[np.ndar
     bucket = left.column("bucket").to_numpy()
     members = np.argsort(bucket, kind="stable")
     edges = np.flatnonzero(np.diff(bucket[members])) + 1
-    parts = []
+    parts, pairs = [], 0
     for rows in np.split(members, edges):
         a, b = np.searchsorted(probed, [bucket[rows[0]], bucket[rows[0]] + 1])
         if a < b:
             which, found, distance = nearest(own[rows], wanted[asked[a:b]], k)
             parts.append((asked[a:b][which], rows[found], distance))
+            pairs += len(which)
+            if pairs > PAIRS:
+                parts = [_best(parts, k)]
+                pairs = len(parts[0][0]) // 2
+    return _best(parts, k)
+
+
+def _best(parts: list[tuple[np.ndarray, ...]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query in lists of queries, rows and distances, ties by place."""
     if not parts:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
     which, found, distance = (np.concatenate(p) for p in zip(*parts))

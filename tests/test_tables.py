@@ -174,6 +174,24 @@ def test_a_full_cell_is_ranked_in_blocks():
         assert distance[3 * q : 3 * q + 3].tolist() == sorted(((own - wanted[q]) ** 2).sum(1))[:3]
 
 
+def test_pairs_of_many_buckets_are_cut_as_they_come():
+    """Only the best pairs of a query are kept from bucket to bucket; all of them would be 40 MB, and their order more."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    own, wanted = rng.integers(0, 5, size=(2560, 2)).astype(float), rng.integers(0, 5, size=(1000, 2)).astype(float)
+    bucket = np.arange(2560) % 256
+    probed = [np.sort(rng.choice(256, 255 if i % 2 else 128, replace=False)) for i in range(1000)]
+    left = pa.table({"v": pa.array(own.tolist()), "bucket": pa.array(bucket, pa.int32())})
+    right = pa.table({"q": pa.array(wanted.tolist()), "probed": pa.array([p.tolist() for p in probed], pa.list_(pa.int32()))})
+    (which, found, distance), peak = peak_mb(lambda: vectors._buckets_of_a_cell(left, right, 8))
+    assert peak < 64
+    assert which.tolist() == np.repeat(np.arange(1000), 8).tolist()
+    for q in range(0, 1000, 41):
+        offered = set(probed[q].tolist())
+        assert found[8 * q : 8 * q + 8].tolist() == nearest(own, wanted[q], 8, lambda i: i % 256 in offered)
+
+
 def test_odd_vectors(spark):
     rows = [("a", [0.0, 0.0]), ("b", None), ("c", [1.0, 0.0, 5.0]), ("d", [3.0, 4.0]), ("e", [0.0, 0.0])]
     table = spark.createDataFrame(rows, "vec_id string, embedding array<double>")
