@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from srcloom.functions import text as tx
 from srcloom.operators import chunks as ck
 from srcloom.operators import reports, snapshot, stored
-from srcloom.operators.functions_table import parse_files
+from srcloom.operators.functions_table import explode_functions, parse_files, without_bodies
 from srcloom.operators.results import MISSING, OK
 from srcloom.plans.analysis import analyze_parsed
 from srcloom.session import written
@@ -101,8 +101,11 @@ def update(
     fresh = written(new.unionAll(again).distinct().join(removed, "path", "left_anti"), "fresh-paths")
     stale = written(old.unionAll(again).distinct(), "stale-paths")
 
-    parsed = written(ck.with_file_context(parse_files(load(fresh))).drop("content"), "parsed")
-    results = written(analyze_parsed(parsed, responses, max_tokens, version), "results")
+    # Neither totals nor results have the text of a function, and only replies to these files' chunks are validated.
+    parsed = written(without_bodies(ck.with_file_context(parse_files(load(fresh)))).drop("content"), "parsed")
+    asked = explode_functions(parsed).select("chunk_id").distinct()
+    answers = responses.join(asked, "chunk_id", "left_semi")
+    results = written(analyze_parsed(parsed, answers, max_tokens, version), "results")
     counters = written(file_counters(parsed, results), "counters")
 
     gone = stored.read(spark, f"{store}/outcomes", before["outcomes_version"], keys=stale).join(stale, "path", "left_semi")

@@ -127,6 +127,39 @@ def test_three_snapshots_equal_a_full_run(spark, tmp_path, seed):
         files.unpersist()
 
 
+def test_a_run_asks_only_for_what_it_needs(spark, tmp_path, monkeypatch):
+    """Functions are stored without their text, and only the replies to chunks of files that are read are validated."""
+    store, stored_as, asked = str(tmp_path / "store"), {}, []
+    incremental.start(spark, store, parts=4)
+    write, analyze = incremental.written, incremental.analyze_parsed
+
+    def written(df, label):
+        stored_as[label] = df.schema
+        return write(df, label)
+
+    def analyzed(parsed, responses, *more):
+        asked.append(sorted(r.chunk_id for r in responses.collect()))
+        return analyze(parsed, responses, *more)
+
+    monkeypatch.setattr(incremental, "written", written)
+    monkeypatch.setattr(incremental, "analyze_parsed", analyzed)
+    texts = {f"x{i}.c": f"int f{i}(int a) {{ return {i % 4}; }}" for i in range(6)}
+    texts["twice.c"] = texts["x1.c"]
+    known = {}
+    for step in range(2):
+        raw = spark.createDataFrame([(p, bytearray(t.encode())) for p, t in texts.items()], "path string, bytes binary")
+        files = load_files(raw)
+        ids = {r.path: r.id for r in parse_files(files).select("path", tx.content_hash(F.col("functions")[0]["body"]).alias("id")).collect()}
+        known |= dict.fromkeys(ids.values(), REPLY)
+        replies = spark.createDataFrame([*[(i, r, 7) for i, r in known.items()], (None, REPLY, 7), ("unasked", "no", 7)], "chunk_id string, raw string, tokens long")
+        done = incremental.update(spark, store, files.select("path", "hash"), lambda fresh: files.join(fresh, "path", "left_semi"), replies)
+        assert (done["files"], done["successful_chunks"]) == (7, 7)
+        assert asked[-1] == sorted(set(ids.values()) if step == 0 else {ids["x2.c"]})
+        texts["x2.c"] = "int other(void) { return 9; }"
+    kept = stored_as["parsed"]["functions"].dataType.elementType.names
+    assert "body" not in kept and {"chunk_id", "tokens", "start_line"} <= set(kept)
+
+
 def test_folder_reads_changed_files_only(spark, tmp_path):
     root, store = tmp_path / "src", str(tmp_path / "store")
     root.mkdir()
