@@ -10,11 +10,14 @@ import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import StructField, StructType, TimestampNTZType, TimestampType
 
 from srcloom.operators.ordering import Carry, next_rate_slots
 from srcloom.operators.retries import EXPONENTIAL_BASE, MAX_ATTEMPTS, MAX_WAIT_SECONDS
@@ -25,6 +28,8 @@ TTL = "30 days"
 REPLY_LIMIT, REPLY_DELAY = "300 seconds", "60 seconds"
 # Groups in which a key's copies are reduced before they meet; batches whose progress is kept.
 SALTS, KEPT_PROGRESS = 64, 10_000
+# Groups of chunks whose tries are followed together.
+TRY_BUCKETS = 1024
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -144,8 +149,26 @@ def with_replies(
     return met.withColumn("replied", F.col("reply_key").isNotNull()).drop("reply_key")
 
 
-ATTEMPT_STATE = "failures int, succeeded boolean, first_at long, last_at long"
+ATTEMPT_STATE = "tries binary"
 ATTEMPT_ROW = "failures int, succeeded boolean, elapsed_seconds long, gave_up boolean, next_wait_seconds double"
+# What is kept of a chunk's tries, and how it is put together.
+KEPT_TRIES = {"failures": "sum", "succeeded": "any", "first_at": "min", "last_at": "max", "fresh": "any"}
+
+
+def _by_chunk(tries: pa.Table) -> pa.Table:
+    """One row of each chunk. Arrow groups by plain values only, so ids with parts meet by how they are written."""
+    ids = tries["chunk_id"]
+    names = pa.array(map(repr, ids.to_pylist()), "string") if pa.types.is_nested(ids.type) else ids
+    named = tries.set_column(0, "name", names).append_column("place", pa.array(np.arange(len(ids))))
+    met = named.group_by("name", use_threads=False).aggregate([("place", "min"), *KEPT_TRIES.items()])
+    return pa.table([ids.take(met["place_min"]), *[met[f"{c}_{how}"] for c, how in KEPT_TRIES.items()]], ["chunk_id", *KEPT_TRIES])
+
+
+def _packed(tries: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, tries.schema) as out:
+        out.write_table(tries)
+    return sink.getvalue().to_pybytes()
 
 
 def retry_states(
@@ -154,6 +177,7 @@ def retry_states(
     max_wait: int = MAX_WAIT_SECONDS,
     base: int = EXPONENTIAL_BASE,
     delay: str = "0 seconds",
+    buckets: int = TRY_BUCKETS,
 ) -> DataFrame:
     """Tries of each chunk as they come in: (chunk_id, failures, succeeded, elapsed_seconds, gave_up, next_wait_seconds),
     a row whenever a chunk has new ones.
@@ -161,47 +185,59 @@ def retry_states(
     A chunk has a timer at its first try plus ``max_wait``. If it has failed and not succeeded by then it is given
     up, whether or not a further row comes; its state goes, as that of a chunk that succeeded or failed too often does when its
     timer ends.
+
+    Chunks are followed in ``buckets`` by a hash of their id, as a call of Python for each costs more than its rows: a state is a
+    small Arrow table of a bucket's chunks whose timers run, and its timer the first of theirs. A checkpoint belongs to one number
+    of buckets.
     """
     ship_package(attempts.sparkSession)
-    fields = [StructField("chunk_id", attempts.schema["chunk_id"].dataType)]
+    kind = attempts.schema["chunk_id"].dataType
+    fields = [StructField("chunk_id", kind)]
     schema = StructType([*fields, *StructType.fromDDL(ATTEMPT_ROW).fields])
+    # Pandas holds times without their zone.
+    stored = to_arrow_type(TimestampNTZType() if isinstance(kind, TimestampType) else kind)
     marked = attempts.where(F.col("chunk_id").isNotNull() & F.col("ts").isNotNull()).select(
+        F.pmod(F.xxhash64("chunk_id"), F.lit(buckets)).alias("bucket"),
         "chunk_id",
-        (F.col("outcome") == "transient").alias("failed"),
-        (F.col("outcome") == "success").alias("succeeded"),
+        F.coalesce(F.col("outcome") == "transient", F.lit(False)).alias("failed"),
+        F.coalesce(F.col("outcome") == "success", F.lit(False)).alias("succeeded"),
         F.col("ts").cast("timestamp").alias("ts"),
         F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"),
     )
 
-    def row(key: tuple, failures: int, succeeded: bool, seconds: int, over: bool) -> pd.DataFrame:
-        gave_up = not succeeded and failures > 0 and (over or failures >= max_attempts or seconds >= max_wait)
-        waits = not succeeded and not gave_up and failures > 0
-        wait = min(float(base) ** (failures - 1), float(max_wait - seconds)) if waits else None
-        return pd.DataFrame([(key[0], failures, succeeded, seconds, gave_up, wait)], columns=schema.names)
+    def rows(tries: pa.Table, over: np.ndarray) -> pd.DataFrame:
+        failures, succeeded, first, last = (tries[c].to_numpy() for c in ("failures", "succeeded", "first_at", "last_at"))
+        seconds = last - first
+        failing = ~succeeded & (failures > 0)
+        gave_up = failing & (over | (failures >= max_attempts) | (seconds >= max_wait))
+        waits = failing & ~gave_up
+        wait = np.full(len(seconds), np.nan)
+        wait[waits] = np.minimum(float(base) ** (failures[waits] - 1), max_wait - seconds[waits])
+        return pd.DataFrame(dict(zip(schema.names, (tries["chunk_id"].to_pandas(), failures, succeeded, seconds, gave_up, wait))))
 
     def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        failures, succeeded, first, last = state.get if state.exists else (0, False, None, None)
-        if state.hasTimedOut:
-            yield row(key, failures, succeeded, last - first, True)
-            state.remove()
-            return
-        for batch in batches:
-            failures += int(batch["failed"].sum())
-            succeeded = bool(succeeded or batch["succeeded"].any())
-            first = min(int(batch["at"].min()), first) if first is not None else int(batch["at"].min())
-            last = max(int(batch["at"].max()), last) if last is not None else int(batch["at"].max())
-        state.update((failures, succeeded, first, last))
-        end = (first + max_wait) * 1000
-        over = end <= state.getCurrentWatermarkMs()
-        if over:
+        known = [pa.ipc.open_stream(state.get[0]).read_all()] if state.exists else []
+        for batch in () if state.hasTimedOut else batches:
+            at = pa.array(batch["at"])
+            columns = (pa.array(batch["chunk_id"], stored, from_pandas=True), pa.array(batch["failed"].astype("int64")), pa.array(batch["succeeded"]), at, at)
+            known.append(_by_chunk(pa.table([*columns, pa.repeat(True, len(batch))], ["chunk_id", *KEPT_TRIES])))
+        tries = _by_chunk(pa.concat_tables(known))
+        fresh, now = tries["fresh"].to_numpy(), state.getCurrentWatermarkMs()
+        end = (tries["first_at"].to_numpy() + max_wait) * 1000
+        # A timer ends when the watermark is beyond it; a chunk with new rows is judged at once.
+        over = (end < now) | (fresh & (end == now))
+        runs = tries.filter(pa.array(~over)).set_column(5, "fresh", pa.repeat(False, int((~over).sum())))
+        if runs.num_rows:
+            state.update((_packed(runs),))
+            state.setTimeoutTimestamp(int(end[~over].min()))
+        elif state.exists:
             state.remove()
-        else:
-            state.setTimeoutTimestamp(end)
-        yield row(key, failures, succeeded, last - first, over)
+        told = fresh | over
+        yield rows(tries.filter(pa.array(told)), over[told])
 
     return (
         marked.withWatermark("ts", delay)
-        .groupBy("chunk_id")
+        .groupBy("bucket")
         .applyInPandasWithState(follow, schema, ATTEMPT_STATE, "append", GroupStateTimeout.EventTimeTimeout)
     )
 

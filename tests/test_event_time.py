@@ -171,3 +171,36 @@ def test_given_up_on_time_without_a_further_row(few_partitions, tmp_path):
     assert [(r.failures, r.gave_up, r.next_wait_seconds) for r in rows] == [(1, False, 1.0), (1, True, None)]
     assert {r.chunk_id for r in spark.read.parquet(sink).where("gave_up").collect()} == {3}
     assert done.late_rows == 0
+
+
+def test_chunks_share_states(few_partitions, tmp_path):
+    """More chunks than buckets: a state holds many, and each has the row that the summary gives it."""
+    spark = few_partitions
+    outcomes = ["transient", "in flight", "transient", "success", None]
+    log = tries(spark, [(c, outcomes[(c + t * t) % 5], c % 50 + 40 * t * (c % 4)) for c in range(3000) for t in range(3)])
+    log.coalesce(1).write.parquet(str(tmp_path / "in"))
+    sink = str(tmp_path / "out")
+    states = streams.retry_states(streams.file_stream(spark, str(tmp_path / "in")), max_wait=200, delay="1 hour")
+    done = streams.run_counted(states, sink, str(tmp_path / "log"))
+    assert 0 < done.state_rows <= streams.TRY_BUCKETS < 3000 and done.late_rows == 0
+    columns = ["chunk_id", "failures", "elapsed_seconds", "gave_up"]
+    found, wanted = spark.read.parquet(sink), retries.attempt_summary(log, max_wait=200)
+    assert sorted(found.select(columns).collect()) == sorted(wanted.select(columns).collect())
+    waits = found.where("next_wait_seconds is not null").select(*columns[:3], "next_wait_seconds")
+    assert sorted(waits.collect()) == sorted(retries.retry_queue(log, max_wait=200).collect())
+
+
+@pytest.mark.parametrize("kind", ["chunk_id", "concat('c', chunk_id)", "array(chunk_id, null)"])
+def test_timers_end_in_a_bucket_with_new_rows(few_partitions, tmp_path, kind):
+    """Chunk 1 is given up when the watermark, the newest row before the batch, is beyond its timer at 300 seconds."""
+    spark = few_partitions
+    parts = [tries(spark, [row]).withColumn("chunk_id", F.expr(kind)) for row in [(1, "transient", 0), (3, "in flight", 300), (3, None, 301), (3, "in flight", 302)]]
+    stream = file_after_file(spark, str(tmp_path / "in"), parts)
+    told = []
+
+    def save(batch, number):
+        told.extend((number, r.failures, r.gave_up) for r in batch.orderBy(F.desc("failures")).collect())
+
+    writer = streams.retry_states(stream, buckets=1).writeStream.option("checkpointLocation", str(tmp_path / "log"))
+    writer.foreachBatch(save).trigger(availableNow=True).start().awaitTermination()
+    assert told == [(0, 1, False), (1, 0, False), (2, 0, False), (3, 1, True), (3, 0, False)]
