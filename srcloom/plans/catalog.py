@@ -850,12 +850,17 @@ def stream_replies(spark, sf_dir):
     return streams.append_results(rows.select("file_path", "chunk_name", "status", "function_role"), lambda same: same)
 
 
+# No chunk that an event belongs to.
+NO_CHUNK = -(2**63)
+
+
 @query
 def stream_retries(spark, sf_dir):
     """Last state of each chunk's tries, all timers over: what has not succeeded by then is given up."""
-    events = streams.closed(streams.file_stream(spark, f"{sf_dir}/events.parquet*").selectExpr("event_id", "event_type", "cast(ts as timestamp) as ts"), ts=END)
-    attempts = events.selectExpr("event_id div 4 as chunk_id", f"{tables.OUTCOME} as outcome", "ts")
-    rows = streams.append_results(streams.retry_states(attempts, max_attempts=3, max_wait=3600), lambda same: same)
+    events = streams.file_stream(spark, f"{sf_dir}/events.parquet*")
+    attempts = events.selectExpr("event_id div 4 as chunk_id", f"{tables.OUTCOME} as outcome", "cast(ts as timestamp) as ts")
+    closed = streams.closed(attempts, chunk_id=NO_CHUNK, ts=END)
+    rows = streams.append_results(streams.retry_states(closed, max_attempts=3, max_wait=3600), lambda same: same).where(F.col("chunk_id") != NO_CHUNK)
     last = F.max_by(F.struct("failures", "succeeded", "elapsed_seconds", "gave_up"), F.struct(F.col("gave_up"), "failures")).alias("last")
     return rows.groupBy("chunk_id").agg(last).select("chunk_id", F.col("last.failures").cast("bigint").alias("failures"), "last.succeeded", "last.elapsed_seconds", "last.gave_up")
 

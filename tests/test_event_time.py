@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from srcloom.operators import retries
+from srcloom.plans.catalog import CATALOG
 from srcloom.streaming import streams
 
 START = "timestamp '2024-01-01 00:00:00'"
@@ -204,3 +205,14 @@ def test_timers_end_in_a_bucket_with_new_rows(few_partitions, tmp_path, kind):
     writer = streams.retry_states(stream, buckets=1).writeStream.option("checkpointLocation", str(tmp_path / "log"))
     writer.foreachBatch(save).trigger(availableNow=True).start().awaitTermination()
     assert told == [(0, 1, False), (1, 0, False), (2, 0, False), (3, 1, True), (3, 0, False)]
+
+
+def test_no_timer_runs_at_the_end_of_the_query(spark, tmp_path):
+    """What fails in the last hour is given up too; the row that closes the stream is no chunk."""
+    types = ["error", "view", "click", "signup", "error", "purchase", "error", "error"]
+    events = spark.range(40).selectExpr(
+        "id as event_id", f"{START} + make_dt_interval(0, 0, 0, id * 97) as ts", f"array({', '.join(map(repr, types))})[id % 8] as event_type"
+    )
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    found = CATALOG["stream_retries"](spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in found} == {(c, 3 if c % 2 else 1, c % 2 == 1, 3 * 97, c % 2 == 0) for c in range(10)}
